@@ -10,6 +10,8 @@ is the better choice, and the panel operators use that.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,47 +69,41 @@ def lagged(df: DataFrame, keys: list[str], order: list[str], value: str, name: s
     )
 
 
-def first_reaching(
-    df: DataFrame, keys: list[str], value: str, weight: str, targets: DataFrame, label: str, target: str
+def values_at(
+    df: DataFrame, keys: list[str], value: str, weight: str, targets: Callable[[Column], dict[str, Column]]
 ) -> DataFrame:
-    """Per (keys, label): the smallest value whose running weight reaches the target.
+    """Per group, the smallest value whose running weight reaches each target.
 
-    ``df`` comes from in_pieces(keys, [value]) and has one row per (keys, value);
-    ``targets`` has rows (keys, label, target).  Only the piece that holds the
-    answer is ever sorted.
+    ``df`` comes from in_pieces(keys, [value]) and has one row per (keys, value).
+    ``targets`` gives {name: target} from the group's total weight.  The result has
+    the keys, one column per target and the total as ``__total``.  The piece that
+    holds a target is found on one row per piece; only such pieces are sorted.
     """
-    before = Window.partitionBy(*keys).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*keys, PIECE).agg(F.sum(weight).alias("__in"))
-    edges = totals.withColumn("__before", F.coalesce(F.sum("__in").over(before), F.lit(0.0)))
-    wanted = targets.select(*[F.col(k).alias(f"__t_{k}") for k in keys], label, target)
-    hits = edges.join(wanted, same_key([edges[k] for k in keys], [wanted[f"__t_{k}"] for k in keys]))
-    # the first piece whose end reaches the target; the last piece takes what
-    # rounding in the sums leaves over
-    place = F.coalesce(
-        F.min(F.when(reached(F.col("__before") + F.col("__in"), F.col(target)), F.col(PIECE))), F.max(PIECE)
-    )
-    chosen = hits.groupBy(*keys, label, target).agg(place.alias("__at"))
-    start = edges.select(*[F.col(k).alias(f"__e_{k}") for k in keys], F.col(PIECE).alias("__e_piece"), "__before")
-    chosen = chosen.join(
-        start,
-        same_key([chosen[k] for k in keys] + [chosen["__at"]], [start[f"__e_{k}"] for k in keys] + [start["__e_piece"]]),
-    ).select(*[chosen[k].alias(f"__c_{k}") for k in keys], label, target, "__at", "__before")
-    # each piece's running weight is computed once and shared by all its targets
-    needed = chosen.select(*[f"__c_{k}" for k in keys], "__at").distinct()
-    detail = df.join(
-        needed, same_key([df[k] for k in keys] + [df[PIECE]], [needed[f"__c_{k}"] for k in keys] + [needed["__at"]]),
-        "left_semi",
-    )
-    inside = Window.partitionBy(*keys, PIECE).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    detail = detail.withColumn("__running", F.sum(weight).over(inside))
-    matched = detail.join(
-        chosen,
-        same_key([detail[k] for k in keys] + [detail[PIECE]], [chosen[f"__c_{k}"] for k in keys] + [chosen["__at"]]),
+    group, time = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(PIECE)
+    ends = df.groupBy(*keys, PIECE).agg(F.sum(weight).alias("__in"))
+    ends = ends.withColumn("__end", F.sum("__in").over(time.rowsBetween(Window.unboundedPreceding, 0)))
+    edges = ends.select(
+        *keys, PIECE, "__end", F.lag("__end", 1, 0.0).over(time).alias("__before"), F.max("__end").over(group).alias("__total")
     )
-    answer = F.coalesce(
-        F.min(F.when(reached(F.col("__before") + F.col("__running"), F.col(target)), F.col(value))), F.max(value)
+    wanted = targets(F.col("__total"))
+    cells = F.array(*[F.struct(F.lit(n).alias("name"), t.alias("target")) for n, t in wanted.items()])
+    inside = F.filter(
+        cells, lambda c: reached(F.col("__end"), c["target"]) & ~reached(F.col("__before"), c["target"])
     )
-    return matched.groupBy(*keys, label).agg(answer.alias(value))
+    chosen = edges.select(
+        *[F.col(k).alias(f"__c_{k}") for k in keys], F.col(PIECE).alias("__c_piece"), "__before", "__total", inside.alias("__cells")
+    ).filter(F.size("__cells") > 0)
+    on = same_key([F.col(k) for k in [*keys, PIECE]], [F.col(f"__c_{k}") for k in keys] + [F.col("__c_piece")])
+    rows = Window.partitionBy(*keys, PIECE).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    running = df.join(chosen, on).withColumn("__running", F.col("__before") + F.sum(weight).over(rows))
+    hits = running.select(*keys, value, "__running", "__total", F.explode("__cells").alias("__cell"))
+    picks = []
+    for name in wanted:
+        here = F.col("__cell.name") == name
+        hit = here & reached(F.col("__running"), F.col("__cell.target"))
+        # the piece's last value takes what rounding in the sums leaves over
+        picks.append(F.coalesce(F.min(F.when(hit, F.col(value))), F.max(F.when(here, F.col(value)))).alias(name))
+    return hits.groupBy(*keys).agg(F.max("__total").alias("__total"), *picks)
 
 
 def reached(running: Column, target: Column) -> Column:

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.numbers import floor_bin, ratio
-from tallyframe.operators.attach import same_key
-from tallyframe.operators.ordered import first_reaching, in_pieces
+from tallyframe.operators.ordered import in_pieces, values_at
 
 
 def weighted_mean(x: Column, w: Column) -> Column:
@@ -79,34 +78,24 @@ def weighted_quantiles(
         .agg(F.sum(w).alias("__w"))
     )
     pieces = in_pieces(per_value, by, ["__x"])
-    total = pieces.groupBy(*by).agg(F.sum("__w").alias("__total"))
-    wanted = []
-    for name, q in probs.items():
-        if interpolate:
-            position = 1 + (F.col("__total") - 1) * q
-            low = F.greatest(F.floor(position).cast("double"), F.lit(1.0))
-            wanted.append((f"{name}|lo", low))
-            wanted.append((f"{name}|hi", F.least(low + 1, F.col("__total"))))
-        else:
-            wanted.append((name, F.col("__total") * q))
-    targets = total.select(
-        *by,
-        F.inline(F.array(*[F.struct(F.lit(n).alias("__label"), t.alias("__target")) for n, t in wanted])),
-    )
-    found = first_reaching(pieces, by, "__x", "__w", targets, "__label", "__target")
-    wide = found.groupBy(*by).agg(
-        *[F.max(F.when(F.col("__label") == n, F.col("__x"))).alias(n) for n, _ in wanted]
-    )
     if not interpolate:
-        return wide
-    group_total = total.select(*[F.col(b).alias(f"__g_{b}") for b in by], "__total")
-    wide = wide.join(group_total, same_key([wide[b] for b in by], [group_total[f"__g_{b}"] for b in by]))
+        found = values_at(pieces, by, "__x", "__w", lambda total: {name: total * q for name, q in probs.items()})
+        return found.drop("__total")
+
+    def neighbours(total: Column) -> dict[str, Column]:
+        out = {}
+        for name, q in probs.items():
+            low = F.greatest(F.floor(1 + (total - 1) * q).cast("double"), F.lit(1.0))
+            out[f"{name}|lo"], out[f"{name}|hi"] = low, F.least(low + 1, total)
+        return out
+
+    found = values_at(pieces, by, "__x", "__w", neighbours)
     out = []
     for name, q in probs.items():
         position = 1 + (F.col("__total") - 1) * q
         part = position - F.floor(position)
         out.append(((1 - part) * F.col(f"{name}|lo") + part * F.col(f"{name}|hi")).alias(name))
-    return wide.select(*by, *out)
+    return found.select(*by, *out)
 
 
 def weighted_summary(df: DataFrame, weight: str, measures: list[str], probs: dict[str, float]) -> DataFrame:

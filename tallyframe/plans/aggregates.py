@@ -183,12 +183,12 @@ def group_filter(t: Tables):
 
 
 @query("""
-SELECT o_orderkey, round(o_totalprice * 31 / (max(dayofyear(o_orderdate)) OVER w - min(dayofyear(o_orderdate)) OVER w + 1), 4) AS monthly
+SELECT o_orderkey, o_totalprice * 31 / (max(dayofyear(o_orderdate)) OVER w - min(dayofyear(o_orderdate)) OVER w + 1) AS monthly
 FROM orders WINDOW w AS (PARTITION BY o_custkey)""")
 def rate_rescale(t: Tables):
     rows = t.orders.select("o_orderkey", "o_custkey", F.dayofyear("o_orderdate").alias("day"), "o_totalprice")
     scaled = crosswalk.rate_rescaled(rows, "o_custkey", "day", "o_totalprice", 31, "monthly", spread=["o_orderkey"])
-    return rounded(scaled.select("o_orderkey", "monthly"), 4, "monthly")
+    return scaled.select("o_orderkey", "monthly")
 
 
 @query(f"""

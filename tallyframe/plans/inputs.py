@@ -132,13 +132,13 @@ def types(t: Tables) -> DataFrame:
 
 
 TARGETS = """targets AS (
-  SELECT type AS series, period, round(cons * 1.02, 6) AS value, round(se_raw, 6) AS se FROM days WHERE n > 1)"""
+  SELECT type AS series, period, cons * 1.02 AS value, round(se_raw, 6) AS se FROM days WHERE n > 1)"""
 
 
 def targets(t: Tables) -> DataFrame:
     """Target moments with standard errors."""
     return days(t).filter("n > 1").select(
-        F.col("type").alias("series"), "period", F.round(F.col("cons") * 1.02, 6).alias("value"), F.round("se_raw", 6).alias("se")
+        F.col("type").alias("series"), "period", (F.col("cons") * 1.02).alias("value"), F.round("se_raw", 6).alias("se")
     )
 
 

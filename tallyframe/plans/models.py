@@ -131,13 +131,13 @@ def fit_distance(t: Tables):
 
 @query(f"""
 WITH {MODELS}, fit AS (SELECT name, series, sum(d) AS distance FROM gaps GROUP BY 1, 2)
-SELECT series, period, round(value, 8) AS value, round(value - 1.96 * se, 8) AS lower, round(value + 1.96 * se, 8) AS upper, 'Data' AS label FROM targets
-UNION ALL SELECT series, period, round(value, 8), round(value, 8), round(value, 8), name || ', GOF=' || CAST(floor(distance) AS BIGINT)
+SELECT series, period, value, value - 1.96 * se AS lower, value + 1.96 * se AS upper, 'Data' AS label FROM targets
+UNION ALL SELECT series, period, value, value, value, name || ', GOF=' || CAST(floor(distance) AS BIGINT)
 FROM models LEFT JOIN fit USING (name, series)""")
 def series_long(t: Tables):
     models = fitted(t)
     fit = series.fit_distance(models, targets(t), ["name"], "series", "period", "value", "se").dropna(subset=["series"])
-    return rounded(series.series_long(targets(t), models, fit), 8, "value", "lower", "upper")
+    return series.series_long(targets(t), models, fit)
 
 
 @query(f"""

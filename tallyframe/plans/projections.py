@@ -17,17 +17,15 @@ def project_cols(t: Tables):
 
 
 @query("""
-SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(net, 6) AS net, round(gross, 6) AS gross,
-       round(gross / l_quantity, 8) AS unit
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, net, gross, gross / l_quantity AS unit
 FROM (SELECT *, net * (1 + l_tax) AS gross FROM (SELECT *, l_extendedprice * (1 - l_discount) AS net FROM lineitem))""")
 def derive_seq(t: Tables):
-    steps = (
+    return (
         t.lineitem.withColumn("net", F.col("l_extendedprice") * (1 - F.col("l_discount")))
         .withColumn("gross", F.col("net") * (1 + F.col("l_tax")))
         .withColumn("unit", F.col("gross") / F.col("l_quantity"))
         .select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "net", "gross", "unit")
     )
-    return rounded(rounded(steps, 6, "net", "gross"), 8, "unit")
 
 
 @query("""

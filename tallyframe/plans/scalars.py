@@ -130,10 +130,10 @@ def lenient_cast(t: Tables):
     return t.events.select("event_id", text.lenient_double(k).alias("k"), text.lenient_double(shown).alias("v"))
 
 
-@query("SELECT l_orderkey, l_partkey, l_suppkey, round(l_tax / nullif(l_discount, 0), 6) AS r FROM lineitem")
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_tax / nullif(l_discount, 0) AS r FROM lineitem")
 def safe_ratio(t: Tables):
     r = numbers.ratio(F.col("l_tax"), F.col("l_discount"))
-    return rounded(t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", r.alias("r")), 6, "r")
+    return t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", r.alias("r"))
 
 
 @query("""
@@ -167,13 +167,12 @@ def series_align(t: Tables):
 
 @query(f"""
 WITH {TYPES}, {TARGETS}
-SELECT series, period, round(value - 1.96 * se, 8) AS low, round(value + 1.96 * se, 8) AS high,
-       round(((value + 1.96 * se) - (value - 1.96 * se)) / 3.92, 8) AS se_back FROM targets""")
+SELECT series, period, value - 1.96 * se AS low, value + 1.96 * se AS high,
+       ((value + 1.96 * se) - (value - 1.96 * se)) / 3.92 AS se_back FROM targets""")
 def confidence_band(t: Tables):
     low, high = numbers.band(F.col("value"), F.col("se"))
     bands = targets(t).select("series", "period", low.alias("low"), high.alias("high"))
-    bands = bands.withColumn("se_back", numbers.se_from_band(F.col("low"), F.col("high")))
-    return rounded(bands, 8, "low", "high", "se_back")
+    return bands.withColumn("se_back", numbers.se_from_band(F.col("low"), F.col("high")))
 
 
 @query(f"""

@@ -204,7 +204,7 @@ q AS (SELECT key, min(cons_prior) FILTER (cum >= 0.5 * tot) AS median_cons FROM
       SELECT key, cons_prior, sum(wt) OVER (PARTITION BY key ORDER BY cons_prior RANGE UNBOUNDED PRECEDING) AS cum, sum(wt) OVER (PARTITION BY key) AS tot FROM at_start) GROUP BY 1),
 a AS (SELECT key, median_cons, cons, effort, up FROM m JOIN q USING (key)
       UNION ALL SELECT 'Unemployed: Benefit, paid by transfer', NULL, cons * 0.86, effort, up FROM m WHERE key = 'Unemployed: Benefit')
-SELECT key, round(median_cons, 9) AS median_cons, round(cons, 6) AS cons, round(effort, 6) AS effort, round(up, 6) AS up FROM a""")
+SELECT key, round(median_cons, 9) AS median_cons, round(cons, 10) AS cons, round(effort, 10) AS effort, round(up, 10) AS up FROM a""")
 def representativeness_table(t: Tables):
     rows = cohorts(t).withColumn("wt", (1 + F.col("agent") % 3).cast("double"))
     rows = rows.withColumn("cons_prior", F.round("cons_prior", 9))
@@ -216,4 +216,4 @@ def representativeness_table(t: Tables):
         ("median_cons", "cons_prior"),
         scaled=("Unemployed: Benefit", "Unemployed: Benefit, paid by transfer", 0.86, ["cons"]),
     )
-    return rounded(rounded(out, 9, "median_cons"), 6, "cons", "effort", "up")
+    return rounded(rounded(out, 9, "median_cons"), 10, "cons", "effort", "up")
