@@ -33,6 +33,8 @@ def attach(
     ``spread`` names columns that tell rows of one group apart (a row id); the
     default is all columns.  The only broadcast is the list of groups with more
     than ``hot_rows`` rows: there are at most (rows of df / hot_rows) of them.
+    ``df`` is read three times, with few columns for the first two; write it first
+    when it is costly to compute.
     """
     renamed = [f"__key_{k}" for k in keys]
     groups = df.groupBy(*keys).agg(*aggregates, F.count(F.lit(1)).alias("__rows"))

@@ -188,22 +188,25 @@ def payment_mix(
 
     Amounts are blown up from each person's active days to ``days``.  The scaling
     is linear per person, so the diary is summed to (person, payment, category)
-    first and the active days are taken on those few rows per person.
+    first; the active days and the number of persons come from those few rows per
+    person, without reading the diary again.
     """
     per_person = df.groupBy(person, payment.alias("payment"), category.alias("category")).agg(
         F.sum(F.col(amount) * F.col(weight)).alias("__spend"), F.min(day).alias("__first"), F.max(day).alias("__last")
     )
     whole = Window.partitionBy(person)
     active = F.max("__last").over(whole) - F.min("__first").over(whole) + 1
+    one_per_person = F.row_number().over(whole.orderBy("payment", "category")) == 1
     monthly = per_person.select(
-        "payment", "category", (F.col("__spend") * days / active).alias("__spend")
+        "payment", "category", (F.col("__spend") * days / active).alias("__spend"), one_per_person.alias("__person")
     )
-    people = df.agg(F.count_distinct(person))
-    cells = (
-        monthly.filter("payment IS NOT NULL AND category IS NOT NULL")
-        .groupBy("payment", "category")
-        .agg(F.sum("__spend").alias("__spend"))
-        .select("payment", "category", (F.col("__spend") * scale / people.scalar()).alias("__spend"))
+    # from here on there is one row per payment and category
+    sums = monthly.groupBy("payment", "category").agg(
+        F.sum("__spend").alias("__spend"), F.count_if("__person").alias("__people")
+    )
+    people = F.sum("__people").over(Window.partitionBy())
+    cells = sums.select("payment", "category", (F.col("__spend") * scale / people).alias("__spend")).filter(
+        "payment IS NOT NULL AND category IS NOT NULL"
     )
     table = wide(cells, ["payment"], "category", category_levels, F.sum("__spend"), round_to=2)
     table = total_row(table, "payment", category_levels)

@@ -25,6 +25,7 @@ from tallyframe.functions.numbers import (
 from tallyframe.functions.text import pasted, repaired_code
 from tallyframe.operators.attach import attach
 from tallyframe.operators.weights import weighted_means, weighted_quantiles
+from tallyframe.session import materialise
 
 AGE_BIN = 10
 OLDEST_BIN = 70
@@ -94,9 +95,13 @@ def price_index(prices: DataFrame, period: str, price: str) -> DataFrame:
 def deflate(
     panel: DataFrame, prices: DataFrame, on: str, period: str, price: str, amounts: list[str], suffix: str = "_adj"
 ) -> DataFrame:
-    """Amounts in last-period money; ``on`` is the panel's month column to match."""
+    """Amounts in last-period money; ``on`` is the panel's month column to match.
+
+    ``prices`` has one row per month, so its size is bounded by the calendar and it
+    is broadcast; the panel is not shuffled by month.
+    """
     index = price_index(prices, period, price).withColumnRenamed(period, "__period")
-    joined = panel.join(index, panel[on] == index["__period"], "left").drop("__period")
+    joined = panel.join(F.broadcast(index), F.col(on) == F.col("__period"), "left").drop("__period")
     return joined.select(
         "*", *[(F.col(a) * F.col("price_index")).alias(f"{a}{suffix}") for a in amounts]
     )
@@ -247,11 +252,17 @@ def representativeness_table(
 
     ``median`` is (new name, column).  ``scaled`` (cohort, new label, factor,
     measures) adds a variant row whose listed means are scaled; it has no median.
+    The start rows, one per entity and cohort, are written once for both statistics.
     """
     at_start = stack.filter(F.col(period) == F.col("start_date"))
-    rows = at_start.select("key", weight, *[c.cast("double").alias(n) for n, c in measures.items()])
+    rows = materialise(
+        at_start.select(
+            "key", weight, F.col(median[1]).alias("__median"), *[c.cast("double").alias(n) for n, c in measures.items()]
+        ),
+        "starts",
+    )
     means = weighted_means(rows, ["key"], list(measures), weight)
-    medians = weighted_quantiles(at_start, ["key"], median[1], weight, {median[0]: 0.5})
+    medians = weighted_quantiles(rows, ["key"], "__median", weight, {median[0]: 0.5})
     table = means.join(medians, "key", "left").select("key", median[0], *measures)
     if scaled is None:
         return table

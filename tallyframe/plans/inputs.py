@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.numbers import month_index
 from tallyframe.plans.registry import Tables, cents
+from tallyframe.session import materialise
 
 FIRST_YEAR = 1995
 
@@ -122,7 +123,7 @@ def days(t: Tables) -> DataFrame:
 
 def types(t: Tables) -> DataFrame:
     """Types with a starting share, a consumption path and a hazard path in (0, 1)."""
-    daily = days(t)
+    daily = materialise(days(t), "days")
     counted = daily.groupBy("type").agg(F.sum("n").alias("of_type"))
     start = counted.select("type", (F.col("of_type") / counted.agg(F.sum("of_type")).scalar()).alias("w_init"))
     most = daily.agg((F.max("n") * 4).alias("most"))
@@ -170,11 +171,19 @@ benchmark_spend AS (
 
 def category_spend(t: Tables) -> DataFrame:
     """Spending by category (thousands)."""
-    value = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return (
-        t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+        part_spend(t)
+        .join(t.part, F.col("p_partkey") == F.col("l_partkey"))
         .groupBy(F.col("p_type").alias("category"))
-        .agg(F.round(F.sum(value) / 1000, 4).alias("amount"))
+        .agg(F.round(F.sum("net") / 1000, 4).alias("amount"))
+    )
+
+
+def part_spend(t: Tables) -> DataFrame:
+    """Line items summed per part before any join, so a popular part is one row."""
+    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    return t.lineitem.groupBy("l_partkey").agg(
+        F.sum(net).alias("net"), F.sum("l_extendedprice").alias("gross"), F.count(F.lit(1)).alias("n")
     )
 
 

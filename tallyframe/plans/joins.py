@@ -92,7 +92,8 @@ def join_anti(t: Tables):
 WITH {MONTHS}, {PRICES}
 SELECT id, period, round(amount / price, 6) AS in_units FROM months LEFT JOIN prices ON period = month_cal""")
 def join_period(t: Tables):
-    joined = months(t).join(prices(t), F.col("period") == F.col("month_cal"), "left")
+    # one price per month: the calendar bounds what is broadcast
+    joined = months(t).join(F.broadcast(prices(t)), F.col("period") == F.col("month_cal"), "left")
     return rounded(joined.select("id", "period", (F.col("amount") / F.col("price")).alias("in_units")), 6, "in_units")
 
 

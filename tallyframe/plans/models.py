@@ -9,7 +9,7 @@ from tallyframe.operators import inference, runs, series
 from tallyframe.plans.inputs import HISTORY, TARGETS, TYPES, days, history, targets, types
 from tallyframe.plans.registry import Tables, query, rounded
 from tallyframe.plans.scans import CONFIGS, configs
-from tallyframe.session import new_path
+from tallyframe.session import materialise, new_path
 from tallyframe.sources import readers, writers
 
 
@@ -145,7 +145,7 @@ WITH {HISTORY}, f AS (SELECT avg((state = 0)::INT) AS e, avg(effort) AS s FROM h
 SELECT 'share_' || state AS statistic, round(count(*) / (SELECT count(*) FROM history), 8) AS value FROM history GROUP BY state
 UNION ALL SELECT 'employment_rate', round(e, 8) FROM f UNION ALL SELECT 'avg_effort', round(s / (1 - e), 8) FROM f""")
 def state_occupancy(t: Tables):
-    rows = history(t)
+    rows = written_history(t)
     shares = states.state_counts(rows, [], "state").select(
         F.concat(F.lit("share_"), F.col("state").cast("string")).alias("statistic"), F.col("share").alias("value")
     )
@@ -159,13 +159,18 @@ SCHEDULE = f"""{HISTORY}, occupancy AS (
 schedule AS (SELECT state, round(1 - 0.1 * state + avg(cons) / 1000, 6) AS pay FROM history GROUP BY 1)"""
 
 
-def weekly(t: Tables):
-    return history(t).withColumn("week", F.floor(F.col("period") / 7))
+def written_history(t: Tables):
+    """The panel as a written table, for queries that read it more than once."""
+    return materialise(history(t), "history")
 
 
-def schedule(t: Tables):
+def weekly(rows):
+    return rows.withColumn("week", F.floor(F.col("period") / 7))
+
+
+def schedule(rows):
     """Pay by state: a benefit that falls with the state."""
-    return history(t).groupBy("state").agg(F.round(1 - 0.1 * F.col("state") + F.avg("cons") / 1000, 6).alias("pay"))
+    return rows.groupBy("state").agg(F.round(1 - 0.1 * F.col("state") + F.avg("cons") / 1000, 6).alias("pay"))
 
 
 @query(f"""
@@ -174,8 +179,9 @@ SELECT week, round(coalesce(sum(share * (pay - 0.2)) FILTER (state > 0), 0), 6)
        round(coalesce(sum(share * (1 - pay)) FILTER (state = 0), 0), 6) AS revenue, round(sum(share), 6) AS occupied
 FROM occupancy JOIN schedule USING (state) GROUP BY 1""")
 def programme_budget(t: Tables):
-    occupancy = states.state_counts(weekly(t), ["week"], "state")
-    out = states.programme_budget(occupancy, schedule(t), ["week"], "state", "pay", base_income=0.2)
+    rows = written_history(t)
+    occupancy = states.state_counts(weekly(rows), ["week"], "state")
+    out = states.programme_budget(occupancy, schedule(rows), ["week"], "state", "pay", base_income=0.2)
     return rounded(out, 6, "cost", "revenue", "occupied")
 
 
@@ -228,14 +234,15 @@ def welfare_decomposition(t: Tables):
         ),
         F.struct(F.lit("numeraire").alias("scenario"), (cons * 1.01).alias("c"), F.lit(1.0).alias("pain")),
     )
-    rows = history(t).select((F.col("agent") % 2).alias("type"), "agent", "period", "state", "effort", F.inline(worlds))
+    panel = written_history(t)
+    rows = panel.select((F.col("agent") % 2).alias("type"), "agent", "period", "state", "effort", F.inline(worlds))
     value = states.npv_by_entity(rows, ["scenario", "pain", "type"], "period", "state", "c", "effort", **UTILITY)
     value = value.withColumn("u_search", F.col("u_search") * F.col("pain")).withColumn("u_tot", F.col("u_cons") + F.col("u_search"))
     budget = rows.groupBy("scenario", "type").agg(
         (F.sum(F.when(~working, F.col("c"))) / F.count(F.lit(1))).alias("ui_ex"),
         (F.sum(F.when(working, F.col("c"))) / F.count(F.lit(1))).alias("tax_rev"),
     )
-    people = history(t).groupBy((F.col("agent") % 2).alias("type")).agg(F.count_distinct("agent").alias("n"))
+    people = panel.groupBy((F.col("agent") % 2).alias("type")).agg(F.count_distinct("agent").alias("n"))
     weight = people.select("type", (F.col("n") / people.agg(F.sum("n")).scalar()).alias("w"))
     table = value.join(budget, ["scenario", "type"]).join(weight, "type")
     out = states.welfare_decomposition(table, "type", "w", "scenario", "modified", "base", "numeraire")
@@ -251,14 +258,14 @@ x AS (SELECT sum((mod - base) * pow(c, -2.0) * share) FILTER (state = 0) AS tax,
 r AS (SELECT unnest(['increase', 'fixed_drop', 'extension']) AS reading, unnest([tax + mu_time * up, tax + covered * pow((1 - 0.068) * c0, -2.0) * up, tax + ext]) AS net FROM x)
 SELECT reading, round(net, 6) AS net, round(net / (pow(1.01, -1.0) / -1.0 + 1), 5) AS normalised FROM r""")
 def sufficient_stat_gain(t: Tables):
-    rows = history(t)
+    rows = written_history(t)
     shares = states.state_counts(rows, [], "state").drop("n")
     means = rows.groupBy("state").agg(F.avg("cons").alias("c"))
     base = rows.filter("state = 0").agg(F.avg("cons"))
     change = F.when(F.col("state") == 0, -0.01).otherwise(0.05)
     table = (
         shares.join(means, "state")
-        .join(schedule(t), "state")
+        .join(schedule(rows), "state")
         .select("state", "share", (F.col("c") / base.scalar()).alias("c"), F.col("pay").alias("base"), (F.col("pay") + change).alias("mod"))
     )
     out = states.sufficient_stat_gain(
@@ -285,9 +292,10 @@ x AS (SELECT *, nxt * (zl - zn) AS mc, nxt * (zl - zn) * 1.3 / e AS tax FROM r),
 SELECT week, round(mc, 6) AS mechanical_cost, round(tax, 6) AS tax, round(db, 6) AS benefit_change,
        round((z0 + tax) / z0 - 1, 6) AS tax_rate, round(db / z1, 6) AS benefit_rate FROM y""")
 def budget_neutral_change(t: Tables):
-    occupancy = states.state_counts(weekly(t), ["week"], "state")
+    rows = written_history(t)
+    occupancy = states.state_counts(weekly(rows), ["week"], "state")
     out = states.budget_neutral_change(
-        occupancy, schedule(t), ["week"], "state", "pay", last_covered=2, cost_extension=1.3, cost_increase=1.2
+        occupancy, schedule(rows), ["week"], "state", "pay", last_covered=2, cost_extension=1.3, cost_increase=1.2
     )
     return rounded(out, 6, *[c for c in out.columns if c != "week"])
 
@@ -300,7 +308,7 @@ UNION ALL SELECT 'onset_drop_25th', round(quantile_cont(d, 0.25), 6) FROM drops
 UNION ALL SELECT 'onset_drop_50th', round(quantile_cont(d, 0.5), 6) FROM drops
 UNION ALL SELECT 'onset_drop_75th', round(quantile_cont(d, 0.75), 6) FROM drops""")
 def onset_profile(t: Tables):
-    return rounded(states.onset_profile(history(t), "agent", "period", "state", "cons"), 6, "value")
+    return rounded(states.onset_profile(written_history(t), "agent", "period", "state", "cons"), 6, "value")
 
 
 PARAMETERS = ["rho", "phi"]

@@ -8,7 +8,7 @@ from tallyframe.functions import arrays, numbers, text
 from tallyframe.operators import quality, reshape
 from tallyframe.operators.history import state_counts
 from tallyframe.operators.weights import facts_long, survey_facts
-from tallyframe.plans.inputs import HISTORY, HOUSEHOLDS, TARGETS, TYPES, history, households, targets, types
+from tallyframe.plans.inputs import HISTORY, HOUSEHOLDS, TARGETS, TYPES, history, households, part_spend, targets, types
 from tallyframe.plans.registry import Tables, query, rounded
 
 
@@ -104,8 +104,8 @@ def level_collapse(t: Tables):
     mapping = t.part.select("p_type").distinct().select(
         F.col("p_type").alias("old"), F.when(F.col("p_type").isin("SMALL", "MEDIUM"), "compact").when(F.col("p_type") == "PROMO", "sale").alias("new")
     ).dropna()
-    rows = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select(F.col("p_type").alias("kind"), "l_extendedprice")
-    spend = rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("l_extendedprice").alias("spend"))
+    rows = part_spend(t).join(t.part, F.col("p_partkey") == F.col("l_partkey")).select(F.col("p_type").alias("kind"), "n", "gross")
+    spend = rows.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("gross").alias("spend"))
     few = reshape.mapped_levels(spend, "kind", mapping).groupBy("kind").agg(F.sum("n").alias("n"), F.sum("spend").alias("spend"))
     return rounded(few, 2, "spend")
 

@@ -8,6 +8,7 @@ from tallyframe.functions.numbers import wave_of
 from tallyframe.operators import panel
 from tallyframe.plans.inputs import HISTORY, MONTHS, PRICES, history, months, prices
 from tallyframe.plans.registry import Tables, query, rounded
+from tallyframe.session import materialise
 
 INTERVIEWS = """interviews AS (
   SELECT o_custkey, c_nationkey, c_acctbal, c_mktsegment, m AS period,
@@ -51,7 +52,7 @@ SELECT id, id_fam, period_index, period_index_cal, fam_head, hfam_age, n_members
        CAST(CASE WHEN hfam_age < 70 THEN floor(hfam_age / 10) * 10 ELSE 70 END AS DOUBLE) AS hfam_age_bin, least(adults, 4) AS n_adults FROM h""")
 def build_panel(t: Tables):
     built = panel.build_panel(
-        interviews(t),
+        materialise(interviews(t), "waves"),
         unit="unit",
         entity="entity",
         person="person",

@@ -18,8 +18,10 @@ from tallyframe.plans.inputs import (
     diary,
     households,
     months,
+    part_spend,
 )
 from tallyframe.plans.registry import Tables, query, rounded
+from tallyframe.session import materialise
 
 
 @query(f"""
@@ -126,9 +128,10 @@ SELECT code, dollars, round(dollars / 118018, 8) AS spend_month, grp, label FROM
 def code_spend(t: Tables):
     code = F.substring("p_brand", 7, 10).cast("int")
     spend = (
-        t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+        part_spend(t)
+        .join(t.part, F.col("p_partkey") == F.col("l_partkey"))
         .groupBy(code.alias("code"), F.rpad(F.nullif(F.col("p_type"), F.lit("PROMO")), 30, " ").alias("grp"))
-        .agg((-F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2)).alias("dollars"))
+        .agg((-F.round(F.sum("net"), 2)).alias("dollars"))
     )
     labels = t.part.groupBy(code.alias("code")).agg(F.min_by("p_name", "p_partkey").alias("label"))
     out = crosswalk.code_spend(
@@ -204,7 +207,7 @@ two AS (SELECT category, CASE category WHEN 'LARGE' THEN 0.14 * amount
 
 
 def reallocated(t: Tables):
-    amounts = category_spend(t)
+    amounts = materialise(category_spend(t), "amounts")
     for stage in (STAGE_ONE, STAGE_TWO):
         rules = t.spark.createDataFrame(stage, RULES)
         sources = amounts.withColumnRenamed("category", "source")
