@@ -113,7 +113,8 @@ def coverage_table(
     ``amounts`` is ``{column: table of (category, column)}``, one row per category.
     ``merge`` collapses categories first; a merged category is looked up in
     ``options`` like any other.  Shares and ratios are taken before amounts are
-    rounded.  Rows come in the order of ``group_levels``.
+    rounded.  ``complete_only`` drops rows without a group and rows where every
+    amount is 0 or missing.  Rows come in the order of ``group_levels``.
     """
     names = list(amounts)
     cells = reduce(
@@ -129,11 +130,12 @@ def coverage_table(
     for name, column in (shares or {}).items():
         shared = shared.withColumn(name, ratio(F.col(column), sums.agg(F.sum(column)).scalar()))
     table = options.select(group, category).join(shared, F.col(category) == F.col("__category"), "left").drop("__category")
+    if complete_only:
+        spent = reduce(Column.__or__, [F.coalesce(F.col(n), F.lit(0.0)) != 0 for n in names])
+        table = table.filter(F.col(group).isNotNull() & spent)
     table = table.select("*", *[ratio(F.col(a), F.col(b)).alias(n) for n, (a, b) in ratios.items()])
     rounded = map_columns(table, lambda c: c in names, lambda c: F.bround(c, 0))
     rounded = map_columns(rounded, lambda c: c in ratios or c in (shares or {}), lambda c: F.bround(c, 2))
-    if complete_only:
-        rounded = rounded.dropna("any")
     return rounded.withColumn("sort_key", level_order(F.col(group), group_levels)).orderBy("sort_key", category)
 
 

@@ -38,21 +38,22 @@ def total_row(df: DataFrame, label: str, values: list[str], total: str = "Total"
     return both.select(name.alias(label), *values)
 
 
-def level_map(groups: dict[str, list | str]) -> Column:
-    """``{new: [old, ...]}`` as a literal map from old level text to new."""
-    pairs = [(old, new) for new, olds in groups.items() for old in ([olds] if isinstance(olds, str) else olds)]
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(dict(pairs).items())])
+def renamed_level(level: Column, pairs: dict[str, str]) -> Column:
+    text = level.cast("string")
+    known = F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs.items())])
+    return F.coalesce(F.try_element_at(known, text), text)
 
 
 def collapsed(level: Column, groups: dict[str, list | str]) -> Column:
-    """Many levels to few; a level that is not listed stays as it is."""
-    text = level.cast("string")
-    return F.coalesce(F.try_element_at(level_map(groups), text), text)
+    """Many levels to few, ``{new: [old, ...]}``; a level not listed stays as it is."""
+    return renamed_level(
+        level, {old: new for new, olds in groups.items() for old in ([olds] if isinstance(olds, str) else olds)}
+    )
 
 
 def recoded(level: Column, names: dict[str, str]) -> Column:
-    """One-to-one new names ``{old: new}``; others stay."""
-    return collapsed(level, {new: [old] for old, new in names.items()})
+    """New names ``{old: new}``; others stay."""
+    return renamed_level(level, names)
 
 
 def level_order(level: Column, levels: list[str]) -> Column:
