@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
+MOST_HOT_GROUPS = 100_000
 
 
 def same_key(left: list[Column], right: list[Column]) -> Column:
@@ -31,18 +32,21 @@ def attach(
     """``df`` plus the named ``aggregates`` of each row's group.
 
     ``spread`` names columns that tell rows of one group apart (a row id); the
-    default is all columns.  The only broadcast is the list of groups with more
-    than ``hot_rows`` rows: there are at most (rows of df / hot_rows) of them.
-    ``df`` is read three times, with few columns for the first two; write it first
-    when it is costly to compute.
+    default is all columns.  The only broadcast is the list of hot groups.  A group
+    is hot when it has more than ``hot_rows`` rows and more than its part of
+    MOST_HOT_GROUPS equal parts of the table, so the list never has more than
+    MOST_HOT_GROUPS rows however large the table is.  ``df`` is read three times,
+    with few columns for the first two; write it first when it is costly to compute.
     """
     renamed = [f"__key_{k}" for k in keys]
     groups = df.groupBy(*keys).agg(*aggregates, F.count(F.lit(1)).alias("__rows"))
     names = [c for c in groups.columns if c not in keys and c != "__rows"]
+    whole = groups.agg(F.coalesce(F.sum("__rows"), F.lit(0))).scalar()
+    share_rows = F.greatest(F.lit(hot_rows), whole / MOST_HOT_GROUPS)
     groups = groups.select(
         *[F.col(k).alias(r) for k, r in zip(keys, renamed)],
         *names,
-        F.ceil(F.col("__rows") / hot_rows).cast("int").alias("__shares"),
+        F.ceil(F.col("__rows") / share_rows).cast("int").alias("__shares"),
     )
     hot = groups.filter("__shares > 1").select(*[F.col(r).alias(f"__hot{r}") for r in renamed], "__shares")
     share = F.pmod(F.xxhash64(*(spread or df.columns)), F.coalesce("__shares", F.lit(1))).cast("int")
