@@ -25,12 +25,13 @@ def in_pieces(df: DataFrame, keys: list[str], order: list[str], pieces: int | No
     """``df`` with a piece number that rises with (keys, order).
 
     The range cut comes from Spark's own sampling, so it follows the data: a hot
-    group gets many pieces, and many small groups share one.  (keys, order) should
-    be unique.  The table is written before use because a second evaluation could
-    cut elsewhere.
+    group gets many pieces, and many small groups share one.  Without ``pieces``
+    there are up to ``spark.sql.shuffle.partitions``, fewer when adaptive execution
+    finds them small.  (keys, order) should be unique.  The table is written before
+    use because a second evaluation could cut elsewhere.
     """
-    count = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(count, *keys, *order)
+    by = [*keys, *order]
+    cut = df.repartitionByRange(*by) if pieces is None else df.repartitionByRange(pieces, *by)
     return materialise(cut.withColumn(PIECE, F.spark_partition_id()), "pieces")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,22 +37,21 @@ def total_row(df: DataFrame, label: str, values: list[str], total: str = "Total"
     return both.select(name.alias(label), *values)
 
 
-def renamed_level(level: Column, pairs: dict[str, str]) -> Column:
-    text = level.cast("string")
-    known = F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs.items())])
-    return F.coalesce(F.try_element_at(known, text), text)
-
-
 def collapsed(level: Column, groups: dict[str, list | str]) -> Column:
     """Many levels to few, ``{new: [old, ...]}``; a level not listed stays as it is."""
-    return renamed_level(
-        level, {old: new for new, olds in groups.items() for old in ([olds] if isinstance(olds, str) else olds)}
-    )
+    text = level.cast("string")
+    out = text
+    for new, olds in groups.items():
+        out = F.when(text.isin([olds] if isinstance(olds, str) else list(olds)), F.lit(new)).otherwise(out)
+    return out
 
 
 def recoded(level: Column, names: dict[str, str]) -> Column:
     """New names ``{old: new}``; others stay."""
-    return renamed_level(level, names)
+    groups: dict[str, list] = {}
+    for old, new in names.items():
+        groups.setdefault(new, []).append(old)
+    return collapsed(level, groups)
 
 
 def level_order(level: Column, levels: list[str]) -> Column:

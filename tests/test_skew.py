@@ -104,6 +104,7 @@ def quantile(pairs, q):
 @pytest.mark.parametrize("partitions", ["1", "8", "40"])
 def test_weighted_quantiles_of_a_hot_group(spark, df, rows, partitions):
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         probs = {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p100": 1.0}
         got = weighted_quantiles(df, ["key"], "value", "w", probs).collect()
@@ -114,6 +115,7 @@ def test_weighted_quantiles_of_a_hot_group(spark, df, rows, partitions):
             assert [r[p] for p in probs] == [quantile(pairs, q) for q in probs.values()]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_linear_percentiles_equal_numpy(df, rows):
