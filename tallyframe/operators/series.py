@@ -157,21 +157,40 @@ def target_moments(moments: DataFrame, longest: DataFrame, *, digits: int = 3, s
 
 
 def type_mixture(df: DataFrame, keys: list[str], dimensions: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
-    """Every combination of two-valued types, weighted by the product of shares.
+    """Every combination of types, weighted by the product of their shares.
 
     ``dimensions`` is ``{parameter: (low value, high value, share of low)}`` in
-    columns of the row; each row unfolds into 2^n type rows in place.
+    columns of the row; a NULL high value means one level of share 1.  Each row
+    unfolds into its type rows in place.  ``type`` numbers them from 0, the last
+    dimension varying fastest.
     """
-    out = df.select(*keys, *[F.struct(lo.alias("lo"), hi.alias("hi"), w.alias("w")).alias(f"__{d}") for d, (lo, hi, w) in dimensions.items()], F.lit(1.0).alias("weight"))
+    out = df.select(
+        *keys,
+        *[F.struct(lo.alias("lo"), hi.alias("hi"), w.alias("w")).alias(f"__{d}") for d, (lo, hi, w) in dimensions.items()],
+        F.lit(0).alias("type"),
+        F.lit(1.0).alias("weight"),
+    )
     done: list[str] = []
     for d in dimensions:
         low, high, share = (F.col(f"__{d}")[part] for part in ("lo", "hi", "w"))
-        levels = F.array(F.struct(low.alias(d), share.alias("__w")), F.struct(high.alias(d), (1 - share).alias("__w")))
+
+        def level(value: Column, part: Column, number: int) -> Column:
+            return F.struct(value.alias(d), part.cast("double").alias("__w"), F.lit(number).alias("__n"))
+
+        two = F.array(level(low, share, 0), level(high, 1 - share, 1))
+        levels = F.when(high.isNotNull(), two).otherwise(F.array(level(low, F.lit(1.0), 0)))
         waiting = [f"__{x}" for x in dimensions if x != d and x not in done]
-        out = out.select(*keys, *done, *waiting, "weight", F.inline(levels))
-        out = out.select(*keys, *done, d, *waiting, (F.col("weight") * F.col("__w")).alias("weight"))
+        out = out.select(*keys, *done, *waiting, "type", "weight", F.size(levels).alias("__of"), F.inline(levels))
+        out = out.select(
+            *keys,
+            *done,
+            d,
+            *waiting,
+            (F.col("type") * F.col("__of") + F.col("__n")).alias("type"),
+            (F.col("weight") * F.col("__w")).alias("weight"),
+        )
         done.append(d)
-    return out.select(*keys, *done, "weight")
+    return out.select(*keys, "type", *done, "weight")
 
 
 def series_long(targets: DataFrame, models: DataFrame, fit: DataFrame | None = None) -> DataFrame:

@@ -45,8 +45,8 @@ MIXTURE = """base AS (
 
 @query(f"""
 WITH {MIXTURE}
-SELECT opt_type, run, k, b, round(wk * wb, 6) AS weight FROM (
-  SELECT opt_type, run, unnest([k0, k0, k1, k1]) AS k, unnest([b0, b1, b0, b1]) AS b,
+SELECT opt_type, run, type, k, b, round(wk * wb, 6) AS weight FROM (
+  SELECT opt_type, run, unnest([0, 1, 2, 3]) AS type, unnest([k0, k0, k1, k1]) AS k, unnest([b0, b1, b0, b1]) AS b,
          unnest([w_lo_k, w_lo_k, 1 - w_lo_k, 1 - w_lo_k]) AS wk, unnest([w_lo_b, 1 - w_lo_b, w_lo_b, 1 - w_lo_b]) AS wb FROM base)""")
 def type_mixture(t: Tables):
     rows = (

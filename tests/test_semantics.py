@@ -220,8 +220,8 @@ def test_moments_are_padded_in_front_and_repaired(spark):
 def test_mixture_weights_sum_to_one(spark):
     df = spark.createDataFrame([("m", 1.0, 2.0, 0.3, 5.0, 6.0, 0.9)], "run string, k0 double, k1 double, wk double, b0 double, b1 double, wb double")
     out = series.type_mixture(df, ["run"], {"k": (F.col("k0"), F.col("k1"), F.col("wk")), "b": (F.col("b0"), F.col("b1"), F.col("wb"))})
-    assert [r[:3] for r in rows_of(out, "k", "b")] == [("m", 1.0, 5.0), ("m", 1.0, 6.0), ("m", 2.0, 5.0), ("m", 2.0, 6.0)]
-    assert [r.weight for r in out.orderBy("k", "b").collect()] == pytest.approx([0.27, 0.03, 0.63, 0.07])
+    assert [r[:4] for r in rows_of(out, "type")] == [("m", 0, 1.0, 5.0), ("m", 1, 1.0, 6.0), ("m", 2, 2.0, 5.0), ("m", 3, 2.0, 6.0)]
+    assert [r.weight for r in out.orderBy("type").collect()] == pytest.approx([0.27, 0.03, 0.63, 0.07])
     assert quality.check_sum_to_one(out, ["run"], "weight").first()["pass"]
 
 
