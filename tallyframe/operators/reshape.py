@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -78,3 +78,9 @@ def mapped_levels(df: DataFrame, column: str, mapping: DataFrame, old: str = "ol
 
 def stacked(*tables: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
+
+
+def literal_table(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
+    """A few fixed rows as part of the plan, so that Spark knows how small they are."""
+    cells = [F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*cells)))

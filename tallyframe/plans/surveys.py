@@ -194,7 +194,7 @@ STAGE_ONE = [
     ("PROMO", "NOTHING", 1.0, "set"),
 ]
 STAGE_TWO = [("LARGE", "LARGE", 0.14, "set"), ("STANDARD", "LARGE", 0.86, "add")]
-RULES = "category string, source string, coef double, mode string"
+RULES = ["category", "source", "coef", "mode"]
 
 REALLOCATED = """,
 one AS (SELECT category, CASE category
@@ -209,7 +209,7 @@ two AS (SELECT category, CASE category WHEN 'LARGE' THEN 0.14 * amount
 def reallocated(t: Tables):
     amounts = materialise(category_spend(t), "amounts")
     for stage in (STAGE_ONE, STAGE_TWO):
-        rules = t.spark.createDataFrame(stage, RULES)
+        rules = reshape.literal_table(t.spark, RULES, stage)
         sources = amounts.withColumnRenamed("category", "source")
         amounts = crosswalk.reallocate(amounts, sources, rules, "category", "amount")
     return amounts

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.numbers import ratio
 from tallyframe.functions.text import percent_text
 from tallyframe.operators import quality, weights
+from tallyframe.operators.reshape import literal_table
 from tallyframe.surveys import fixed_values as fixed
 
 
@@ -62,7 +63,7 @@ def household_facts(df: DataFrame) -> DataFrame:
 
 def published_facts(facts: DataFrame) -> DataFrame:
     """The facts next to their published texts."""
-    expected = facts.sparkSession.createDataFrame(list(fixed.HOUSEHOLD_FACTS.items()), "fact string, expected string")
+    expected = literal_table(facts.sparkSession, ["fact", "expected"], list(fixed.HOUSEHOLD_FACTS.items()))
     return quality.check_expected(facts, expected, "fact", percent_text(F.col("value")))
 
 

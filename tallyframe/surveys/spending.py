@@ -80,7 +80,7 @@ def sources_of(amounts: DataFrame, shares: DataFrame) -> DataFrame:
 def moved(amounts: DataFrame, sources: DataFrame, rules: dict[str, tuple[str, dict[str, float]]]) -> DataFrame:
     """One stage of reallocation by a rule dictionary of the fixed values."""
     rows = [(c, s, float(k), mode) for c, (mode, parts) in rules.items() for s, k in parts.items()]
-    table = amounts.sparkSession.createDataFrame(rows, "category string, source string, coef double, mode string")
+    table = reshape.literal_table(amounts.sparkSession, ["category", "source", "coef", "mode"], rows)
     return crosswalk.reallocate(amounts, sources, table, "category", "amount")
 
 
