@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="run-", dir="/tmp")
