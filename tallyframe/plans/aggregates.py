@@ -9,6 +9,7 @@ from tallyframe.operators import crosswalk, reshape, weights
 from tallyframe.operators.attach import first_rows, keep_groups, rows_at_max, rows_like_first
 from tallyframe.plans.inputs import DIARY, HISTORY, HOUSEHOLDS, MONTHS, diary, history, households, months
 from tallyframe.plans.registry import Tables, query, rounded
+from tallyframe.session import materialise
 
 
 @query("SELECT round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, count(*) AS n FROM orders")
@@ -195,9 +196,11 @@ def rate_rescale(t: Tables):
 WITH {DIARY}
 SELECT pay_code, round(sum(amount * ind_weight) * 2.5 / (SELECT count(DISTINCT person) FROM diary), 4) AS total FROM diary GROUP BY 1""")
 def population_total(t: Tables):
-    rows = diary(t)
-    people = rows.agg(F.count_distinct("person"))
-    sums = rows.groupBy("pay_code").agg(weights.population_total(F.col("amount"), F.col("ind_weight"), 2.5).alias("total"))
+    spent = weights.population_total(F.col("amount"), F.col("ind_weight"), 2.5).alias("total")
+    # one row per person and payment, read for the sums and for the head count
+    cells = materialise(diary(t).groupBy("pay_code", "person").agg(spent), "cells")
+    people = cells.agg(F.count_distinct("person"))
+    sums = cells.groupBy("pay_code").agg(F.sum("total").alias("total"))
     return rounded(sums.withColumn("total", F.col("total") / people.scalar()), 4, "total")
 
 

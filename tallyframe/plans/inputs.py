@@ -138,7 +138,11 @@ TARGETS = """targets AS (
 
 def targets(t: Tables) -> DataFrame:
     """Target moments with standard errors."""
-    return days(t).filter("n > 1").select(
+    return targets_of(days(t))
+
+
+def targets_of(daily: DataFrame) -> DataFrame:
+    return daily.filter("n > 1").select(
         F.col("type").alias("series"), "period", (F.col("cons") * 1.02).alias("value"), F.round("se_raw", 6).alias("se")
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators import history as states
 from tallyframe.operators import inference, runs, series
-from tallyframe.plans.inputs import HISTORY, TARGETS, TYPES, days, history, targets, types
+from tallyframe.plans.inputs import HISTORY, TARGETS, TYPES, days, history, targets_of, types
 from tallyframe.plans.registry import Tables, query, rounded
 from tallyframe.plans.scans import CONFIGS, configs
 from tallyframe.session import materialise, new_path
@@ -113,19 +113,25 @@ MODELS = f"""{TYPES}, {TARGETS}, models AS (
 gaps AS (SELECT name, series, pow((m.value - t.value) / nullif(se, 0), 2) AS d FROM models m JOIN targets t USING (series, period))"""
 
 
-def fitted(t: Tables):
+def written_days(t: Tables):
+    """Daily moments as a written table, for queries that read them more than once."""
+    return materialise(days(t), "days")
+
+
+def fitted(daily):
     factor = F.array(
         F.struct(F.lit("base").alias("name"), F.col("cons").alias("value")),
         F.struct(F.lit("scaled").alias("name"), (F.col("cons") * 1.02 + 1).alias("value")),
     )
-    return days(t).select(F.col("type").alias("series"), "period", F.inline(factor))
+    return daily.select(F.col("type").alias("series"), "period", F.inline(factor))
 
 
 @query(f"""
 WITH {MODELS}
 SELECT name, series, round(sum(d), 3) AS distance FROM gaps GROUP BY GROUPING SETS ((name, series), (name))""")
 def fit_distance(t: Tables):
-    out = series.fit_distance(fitted(t), targets(t), ["name"], "series", "period", "value", "se")
+    daily = written_days(t)
+    out = series.fit_distance(fitted(daily), targets_of(daily), ["name"], "series", "period", "value", "se")
     return rounded(out, 3, "distance")
 
 
@@ -135,9 +141,10 @@ SELECT series, period, value, value - 1.96 * se AS lower, value + 1.96 * se AS u
 UNION ALL SELECT series, period, value, value, value, name || ', GOF=' || CAST(floor(distance) AS BIGINT)
 FROM models LEFT JOIN fit USING (name, series)""")
 def series_long(t: Tables):
-    models = fitted(t)
-    fit = series.fit_distance(models, targets(t), ["name"], "series", "period", "value", "se").dropna(subset=["series"])
-    return series.series_long(targets(t), models, fit)
+    daily = written_days(t)
+    models, moments = fitted(daily), targets_of(daily)
+    fit = series.fit_distance(models, moments, ["name"], "series", "period", "value", "se").dropna(subset=["series"])
+    return series.series_long(moments, models, fit)
 
 
 @query(f"""
@@ -318,7 +325,7 @@ PERTURBED = f"""{TYPES}, {TARGETS}, runs AS (
 gradient AS (SELECT type, period, parameter, (max(value) FILTER (side = 'plus') - max(value) FILTER (side = 'minus')) / 0.002 AS partial FROM runs GROUP BY 1, 2, 3)"""
 
 
-def gradients(t: Tables):
+def gradients(daily):
     cons = F.col("cons")
 
     def run(parameter, side, value):
@@ -330,13 +337,13 @@ def gradients(t: Tables):
         run("phi", "minus", cons * 0.999 * 0.999),
         run("phi", "plus", cons * 1.001 * 1.001),
     )
-    perturbed = days(t).select(F.concat_ws("/", "type", "period").alias("moment"), F.inline(cells))
+    perturbed = daily.select(F.concat_ws("/", "type", "period").alias("moment"), F.inline(cells))
     return inference.central_difference(perturbed, ["moment", "parameter"], "side", "value", 0.001)
 
 
 @query(f"WITH {PERTURBED} SELECT type || '/' || period AS moment, parameter, round(partial, 4) AS partial FROM gradient")
 def central_difference(t: Tables):
-    return rounded(gradients(t), 4, "partial")
+    return rounded(gradients(days(t)), 4, "partial")
 
 
 @query(f"""
@@ -344,6 +351,7 @@ WITH {PERTURBED}, w AS (SELECT series AS type, period, 1 / (value * value) AS w
 SELECT a.parameter AS param_i, b.parameter AS param_j, round(sum(w * a.partial * b.partial), 3) AS value
 FROM gradient a JOIN gradient b USING (type, period) JOIN w USING (type, period) GROUP BY 1, 2""")
 def weighted_gram(t: Tables):
-    weight = targets(t).select(F.concat_ws("/", "series", "period").alias("moment"), (1 / (F.col("value") * F.col("value"))).alias("w"))
-    out = inference.weighted_gram(gradients(t), "moment", "parameter", PARAMETERS, weight, "w")
+    daily = written_days(t)
+    weight = targets_of(daily).select(F.concat_ws("/", "series", "period").alias("moment"), (1 / (F.col("value") * F.col("value"))).alias("w"))
+    out = inference.weighted_gram(gradients(daily), "moment", "parameter", PARAMETERS, weight, "w")
     return rounded(out, 3, "value")
