@@ -194,14 +194,15 @@ def rate_rescale(t: Tables):
 
 @query(f"""
 WITH {DIARY}
-SELECT pay_code, round(sum(amount * ind_weight) * 2.5 / (SELECT count(DISTINCT person) FROM diary), 4) AS total FROM diary GROUP BY 1""")
+SELECT pay_code, round(sum(amount * ind_weight), 2) * 2.5 / (SELECT count(DISTINCT person) FROM diary) AS total FROM diary GROUP BY 1""")
 def population_total(t: Tables):
-    spent = weights.population_total(F.col("amount"), F.col("ind_weight"), 2.5).alias("total")
     # one row per person and payment, read for the sums and for the head count
-    cells = materialise(diary(t).groupBy("pay_code", "person").agg(spent), "cells")
+    cells = materialise(
+        diary(t).groupBy("pay_code", "person", "ind_weight").agg(F.round(F.sum("amount"), 2).alias("amount")), "cells"
+    )
     people = cells.agg(F.count_distinct("person"))
-    sums = cells.groupBy("pay_code").agg(F.sum("total").alias("total"))
-    return rounded(sums.withColumn("total", F.col("total") / people.scalar()), 4, "total")
+    sums = cells.groupBy("pay_code").agg(weights.population_total(F.col("amount"), F.col("ind_weight"), 1.0).alias("total"))
+    return sums.select("pay_code", (F.round("total", 2) * 2.5 / people.scalar()).alias("total"))
 
 
 @query(f"""
