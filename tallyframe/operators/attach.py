@@ -32,7 +32,8 @@ def attach(
     """``df`` plus the named ``aggregates`` of each row's group.
 
     ``spread`` names columns that tell rows of one group apart (a row id); the
-    default is all columns.  The only broadcast is the list of hot groups.  A group
+    default is all columns.  Rows equal in all of them stay together, so name an id
+    where whole rows repeat.  The only broadcast is the list of hot groups.  A group
     is hot when it has more than ``hot_rows`` rows and more than its part of
     MOST_HOT_GROUPS equal parts of the table, so the list never has more than
     MOST_HOT_GROUPS rows however large the table is.  ``df`` is read three times,
