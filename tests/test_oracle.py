@@ -4,9 +4,10 @@ import pytest
 from compare import connection, differences
 
 import __spark_entry__ as entry
+from tallyframe.plans.registry import ORACLES as SQL
+from tallyframe.plans.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +22,7 @@ def test_query_matches_sql(spark, con, name):
 
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
