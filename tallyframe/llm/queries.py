@@ -7,10 +7,15 @@ from tallyframe.llm.lines import OP6_SQL, op6_line_dedup
 from tallyframe.llm.mixing import OP4_SQL, op4_mix_sources
 from tallyframe.llm.packing import op7_pack_sequences
 from tallyframe.llm.secrets import op9_secret_scan
+from tallyframe.llm.vectors import OP10_SQL, op10_vector_topk
+from tallyframe.llm.warc import op3_warc
 from tallyframe.llm.winnowing import op1_winnowing
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_winnowing, op4_mix_sources, op6_line_dedup, op7_pack_sequences, op8_language_id, op9_secret_scan)
-}
-ORACLES = {"op4_mix_sources": OP4_SQL, "op6_line_dedup": OP6_SQL}
+    for f in (
+        op1_winnowing, op3_warc, op4_mix_sources, op6_line_dedup, op7_pack_sequences, op8_language_id, op9_secret_scan,
+        op10_vector_topk,
+    )
+}
+ORACLES = {"op4_mix_sources": OP4_SQL, "op6_line_dedup": OP6_SQL, "op10_vector_topk": OP10_SQL}
