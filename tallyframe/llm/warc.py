@@ -94,6 +94,8 @@ def parse(data: bytes, at: int) -> tuple[int, dict]:
         name, colon, value = line.partition(":")
         if not colon or not name.strip():
             raise Damaged("header line without a name")
+        if HEAD.decode() in value and name.strip().lower() != "warc-target-uri" or value.endswith(("WARC/1.0", "WARC/1.1")):
+            raise Damaged("header runs into another record")
         fields.setdefault(name.strip().lower(), value.strip())
     length = fields.get("content-length", "")
     if not (length.isascii() and length.isdigit() and len(length) < 19):

@@ -61,7 +61,7 @@ def archive(n, zipped):
 
 
 def test_salvage_recovers_what_is_sound():
-    rng = random.Random(4)
+    rng = random.Random(43)
     for zipped in (False, True):
         for _ in range(60):
             parts = archive(12, zipped)
