@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallyframe.llm.chosen_path import op2_ngram_join
 from tallyframe.llm.language import op8_language_id
 from tallyframe.llm.lines import OP6_SQL, op6_line_dedup
 from tallyframe.llm.mixing import OP4_SQL, op4_mix_sources
@@ -14,7 +15,7 @@ from tallyframe.llm.winnowing import op1_winnowing
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_winnowing, op3_warc, op4_mix_sources, op6_line_dedup, op7_pack_sequences, op8_language_id, op9_secret_scan,
+        op1_winnowing, op2_ngram_join, op3_warc, op4_mix_sources, op6_line_dedup, op7_pack_sequences, op8_language_id, op9_secret_scan,
         op10_vector_topk,
     )
 }
