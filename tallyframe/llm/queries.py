@@ -8,6 +8,7 @@ from tallyframe.llm.lines import OP6_SQL, op6_line_dedup
 from tallyframe.llm.mixing import OP4_SQL, op4_mix_sources
 from tallyframe.llm.packing import op7_pack_sequences
 from tallyframe.llm.secrets import op9_secret_scan
+from tallyframe.llm.suffixes import op5_suffix_dedup
 from tallyframe.llm.vectors import OP10_SQL, op10_vector_topk
 from tallyframe.llm.warc import op3_warc
 from tallyframe.llm.winnowing import op1_winnowing
@@ -15,7 +16,7 @@ from tallyframe.llm.winnowing import op1_winnowing
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_winnowing, op2_ngram_join, op3_warc, op4_mix_sources, op6_line_dedup, op7_pack_sequences, op8_language_id, op9_secret_scan,
+        op1_winnowing, op2_ngram_join, op3_warc, op4_mix_sources, op5_suffix_dedup, op6_line_dedup, op7_pack_sequences, op8_language_id, op9_secret_scan,
         op10_vector_topk,
     )
 }
