@@ -16,7 +16,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import base64
 import json
 import re
 import zlib
@@ -215,5 +214,10 @@ def pack(
     return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(work, RESULT)
 
 
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the pieces of all documents; a document that the mix repeats has pieces for each round."""
+    return pack(docs)
+
+
 def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
