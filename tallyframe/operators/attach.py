@@ -1,9 +1,11 @@
 """Group aggregates on every row, safe when one group holds most of the rows.
 
 A window over the group would bring the whole group into one task.  Here the
-aggregate is computed with map-side combine and joined back; rows of a hot group
-are spread over several join partitions, each with its own copy of the one
-aggregate row.  Nothing is dropped, and cold groups pay nothing for it.
+aggregate is computed with map-side combine, written (one row per group) and joined
+back.  Where no group is hot this is a plain join, which Spark broadcasts by the size
+of the written table.  Otherwise rows of a hot group are spread over several join
+partitions, each with its own copy of the one aggregate row.  Nothing is dropped, and
+cold groups pay nothing for it.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.session import materialise
+
 HOT_ROWS = 1_000_000
 MOST_HOT_GROUPS = 100_000
 
@@ -36,19 +40,19 @@ def attach(
     where whole rows repeat.  The only broadcast is the list of hot groups.  A group
     is hot when it has more than ``hot_rows`` rows and more than its part of
     MOST_HOT_GROUPS equal parts of the table, so the list never has more than
-    MOST_HOT_GROUPS rows however large the table is.  ``df`` is read three times,
-    with few columns for the first two; write it first when it is costly to compute.
+    MOST_HOT_GROUPS rows however large the table is.  ``df`` is read twice, with few
+    columns for the first time; write it first when it is costly to compute.
     """
     renamed = [f"__key_{k}" for k in keys]
     groups = df.groupBy(*keys).agg(*aggregates, F.count(F.lit(1)).alias("__rows"))
     names = [c for c in groups.columns if c not in keys and c != "__rows"]
-    whole = groups.agg(F.coalesce(F.sum("__rows"), F.lit(0))).scalar()
-    share_rows = F.greatest(F.lit(hot_rows), whole / MOST_HOT_GROUPS)
-    groups = groups.select(
-        *[F.col(k).alias(r) for k, r in zip(keys, renamed)],
-        *names,
-        F.ceil(F.col("__rows") / share_rows).cast("int").alias("__shares"),
-    )
+    groups = materialise(groups.select(*[F.col(k).alias(r) for k, r in zip(keys, renamed)], *names, "__rows"), "groups")
+    sizes = groups.agg(F.sum("__rows").alias("whole"), F.max("__rows").alias("most")).first()
+    share_rows = max(hot_rows, (sizes["whole"] or 0) / MOST_HOT_GROUPS)
+    if (sizes["most"] or 0) <= share_rows:
+        matched = same_key([F.col(k) for k in keys], [F.col(r) for r in renamed])
+        return df.join(groups, matched, "inner").select(*df.columns, *names)
+    groups = groups.withColumn("__shares", F.ceil(F.col("__rows") / share_rows).cast("int"))
     hot = groups.filter("__shares > 1").select(*[F.col(r).alias(f"__hot{r}") for r in renamed], "__shares")
     share = F.pmod(F.xxhash64(*(spread or df.columns)), F.coalesce("__shares", F.lit(1))).cast("int")
     rows = df.join(

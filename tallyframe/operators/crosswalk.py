@@ -12,6 +12,7 @@ from tallyframe.functions.text import money_to_double, percent_text
 from tallyframe.operators.attach import attach, rows_at_max
 from tallyframe.operators.ordered import in_pieces, lagged, numbered
 from tallyframe.operators.reshape import collapsed, level_order, long, map_columns, total_row, wide
+from tallyframe.session import materialise
 
 
 def code_spend(
@@ -203,11 +204,14 @@ def payment_mix(
         "payment", "category", (F.col("__spend") * days / active).alias("__spend"), one_per_person.alias("__person")
     )
     # from here on there is one row per payment and category
-    sums = monthly.groupBy("payment", "category").agg(
-        F.sum("__spend").alias("__spend"), F.count_if("__person").alias("__people")
+    sums = materialise(
+        monthly.groupBy("payment", "category").agg(
+            F.sum("__spend").alias("__spend"), F.count_if("__person").alias("__people")
+        ),
+        "payments",
     )
-    people = F.sum("__people").over(Window.partitionBy())
-    cells = sums.select("payment", "category", (F.col("__spend") * scale / people).alias("__spend")).filter(
+    people = sums.agg(F.sum("__people")).scalar()
+    cells = sums.select("payment", "category", ratio(F.col("__spend") * scale, people).alias("__spend")).filter(
         "payment IS NOT NULL AND category IS NOT NULL"
     )
     table = wide(cells, ["payment"], "category", category_levels, F.sum("__spend"), round_to=2)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.numbers import effort_cost, isoelastic, marginal_isoelastic, ratio
 from tallyframe.operators.weights import weighted_quantiles
+from tallyframe.session import materialise
 
 CONSUMPTION_FLOOR = 0.0001
 NUMERAIRE_STEP = 0.01
@@ -23,12 +24,15 @@ def state_counts(history: DataFrame, by: list[str], state: str) -> DataFrame:
     return counts.select(*by, state, "n", ratio(F.col("n"), total).alias("share"))
 
 
-def state_occupancy(history: DataFrame, by: list[str], state: str, effort: str) -> DataFrame:
-    """Employment rate and mean effort per unemployed period."""
+def state_occupancy(
+    history: DataFrame, by: list[str], state: str, effort: str, means: list[str] | None = None
+) -> DataFrame:
+    """Employment rate, mean effort per unemployed period, and plain means (assets, say) as avg_{name}."""
     employed = F.avg((F.col(state) == 0).cast("double"))
     return history.groupBy(*by).agg(
         employed.alias("employment_rate"),
         ratio(F.avg(effort), 1 - employed).alias("avg_effort"),
+        *[F.avg(m).alias(f"avg_{m}") for m in means or []],
     )
 
 
@@ -218,18 +222,21 @@ def budget_neutral_change(
 def onset_drops(history: DataFrame, agent: str, period: str, state: str, cons: str) -> DataFrame:
     """Fall in consumption from the period before to the first unemployed period.
 
-    Agents that start in that state have no period before and drop out.
+    Agents that start in that state have no period before and drop out, and so does an
+    onset whose period before is not in the history.
     """
     time = Window.partitionBy(agent).orderBy(period)
-    moved = history.withColumn("onset_drop", F.lag(cons).over(time) - F.col(cons))
+    follows = F.lag(period).over(time) == F.col(period) - 1
+    moved = history.withColumn("onset_drop", F.when(follows, F.lag(cons).over(time) - F.col(cons)))
     return moved.filter((F.col(state) == 1) & F.col("onset_drop").isNotNull())
 
 
 def onset_profile(history: DataFrame, agent: str, period: str, state: str, cons: str) -> DataFrame:
-    """Mean consumption by state and the quartiles of the drop at onset, long."""
+    """Mean consumption by state, and the quartiles and the mean of the drop at onset, long."""
     means = history.groupBy(state).agg(F.avg(cons).alias("value"))
+    dropped = materialise(onset_drops(history, agent, period, state, cons).select("onset_drop"), "drops")
     drops = weighted_quantiles(
-        onset_drops(history, agent, period, state, cons),
+        dropped,
         [],
         "onset_drop",
         None,
@@ -238,4 +245,6 @@ def onset_profile(history: DataFrame, agent: str, period: str, state: str, cons:
     )
     return means.select(
         F.concat(F.lit("cbar_"), F.col(state).cast("string")).alias("statistic"), "value"
-    ).unionByName(drops.unpivot([], drops.columns, "statistic", "value"))
+    ).unionByName(drops.unpivot([], drops.columns, "statistic", "value")).unionByName(
+        dropped.agg(F.avg("onset_drop").alias("value")).select(F.lit("onset_drop_mean").alias("statistic"), "value")
+    )

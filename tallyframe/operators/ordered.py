@@ -10,9 +10,7 @@ is the better choice, and the panel operators use that.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators.attach import same_key
@@ -68,45 +66,3 @@ def lagged(df: DataFrame, keys: list[str], order: list[str], value: str, name: s
         .withColumn(name, F.coalesce("__local", "__carried")[value])
         .drop("__local", "__carried")
     )
-
-
-def values_at(
-    df: DataFrame, keys: list[str], value: str, weight: str, targets: Callable[[Column], dict[str, Column]]
-) -> DataFrame:
-    """Per group, the smallest value whose running weight reaches each target.
-
-    ``df`` comes from in_pieces(keys, [value]) and has one row per (keys, value).
-    ``targets`` gives {name: target} from the group's total weight.  The result has
-    the keys, one column per target and the total as ``__total``.  The piece that
-    holds a target is found on one row per piece; only such pieces are sorted.
-    """
-    group, time = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(PIECE)
-    ends = df.groupBy(*keys, PIECE).agg(F.sum(weight).alias("__in"))
-    ends = ends.withColumn("__end", F.sum("__in").over(time.rowsBetween(Window.unboundedPreceding, 0)))
-    edges = ends.select(
-        *keys, PIECE, "__end", F.lag("__end", 1, 0.0).over(time).alias("__before"), F.max("__end").over(group).alias("__total")
-    )
-    wanted = targets(F.col("__total"))
-    cells = F.array(*[F.struct(F.lit(n).alias("name"), t.alias("target")) for n, t in wanted.items()])
-    inside = F.filter(
-        cells, lambda c: reached(F.col("__end"), c["target"]) & ~reached(F.col("__before"), c["target"])
-    )
-    chosen = edges.select(
-        *[F.col(k).alias(f"__c_{k}") for k in keys], F.col(PIECE).alias("__c_piece"), "__before", "__total", inside.alias("__cells")
-    ).filter(F.size("__cells") > 0)
-    on = same_key([F.col(k) for k in [*keys, PIECE]], [F.col(f"__c_{k}") for k in keys] + [F.col("__c_piece")])
-    rows = Window.partitionBy(*keys, PIECE).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    running = df.join(chosen, on).withColumn("__running", F.col("__before") + F.sum(weight).over(rows))
-    hits = running.select(*keys, value, "__running", "__total", F.explode("__cells").alias("__cell"))
-    picks = []
-    for name in wanted:
-        here = F.col("__cell.name") == name
-        hit = here & reached(F.col("__running"), F.col("__cell.target"))
-        # the piece's last value takes what rounding in the sums leaves over
-        picks.append(F.coalesce(F.min(F.when(hit, F.col(value))), F.max(F.when(here, F.col(value)))).alias(name))
-    return hits.groupBy(*keys).agg(F.max("__total").alias("__total"), *picks)
-
-
-def reached(running: Column, target: Column) -> Column:
-    """Running weight at or past the target, up to rounding in the last bits."""
-    return running >= target - F.abs(target) * 1e-12

@@ -87,7 +87,11 @@ def build_panel(
 
 
 def price_index(prices: DataFrame, period: str, price: str) -> DataFrame:
-    """(period, index): the factor that turns amounts into last-period money."""
+    """(period, index): the factor that turns amounts into last-period money.
+
+    The prices are written once: the last price and every row come from that table.
+    """
+    prices = materialise(prices.select(period, price), "prices")
     last = prices.agg(F.max_by(price, period))
     return prices.select(period, ratio(last.scalar(), F.col(price)).alias("price_index"))
 
@@ -97,11 +101,11 @@ def deflate(
 ) -> DataFrame:
     """Amounts in last-period money; ``on`` is the panel's month column to match.
 
-    ``prices`` has one row per month, so its size is bounded by the calendar and it
-    is broadcast; the panel is not shuffled by month.
+    With one row per month the written prices are small enough for Spark's own size
+    check to broadcast them, so the panel is not shuffled by month.
     """
     index = price_index(prices, period, price).withColumnRenamed(period, "__period")
-    joined = panel.join(F.broadcast(index), F.col(on) == F.col("__period"), "left").drop("__period")
+    joined = panel.join(index, F.col(on) == F.col("__period"), "left").drop("__period")
     return joined.select(
         "*", *[(F.col(a) * F.col("price_index")).alias(f"{a}{suffix}") for a in amounts]
     )
@@ -165,16 +169,25 @@ def prior_window_mean(
     panel: DataFrame, entity: str, period: str, event_date: str, measures: dict[str, str], months: int = 12
 ) -> DataFrame:
     """Mean of measures ``{new: old}`` over the rows in the ``months`` periods before
-    the event, on every row, with the number of months seen."""
+    the event, on every row, with the number of months seen.
+
+    A NULL amount among them makes the mean NULL: it is not known, and not zero.
+    """
     whole = Window.partitionBy(entity)
     since = F.col(period) - F.col(event_date)
     inside = F.coalesce((since >= -months) & (since < 0), F.lit(False))
     seen = F.count_if(inside).over(whole)
-    return panel.select(
-        "*",
-        seen.alias("mos_in_horizon"),
-        *[ratio(F.sum(F.when(inside, F.col(old))).over(whole), seen).alias(new) for new, old in measures.items()],
-    )
+
+    def mean(old: str) -> Column:
+        return ratio(_known_sum(inside, F.col(old), whole), seen)
+
+    return panel.select("*", seen.alias("mos_in_horizon"), *[mean(old).alias(new) for new, old in measures.items()])
+
+
+def _known_sum(inside: Column, value: Column, over: Window) -> Column:
+    """Sum of the values inside, NULL when one of them is."""
+    unknown = F.count_if(inside & value.isNull()).over(over)
+    return F.when(unknown == 0, F.sum(F.when(inside, value)).over(over))
 
 
 def pseudo_event(
@@ -213,7 +226,7 @@ def cohort_stack(
 
     ``cohorts`` is ``{label: (start date column, extra condition on the entity)}``.
     An entity may be in several cohorts; it is copied once per cohort, and window
-    means are taken within (entity, cohort).
+    means are taken within (entity, cohort) and are NULL when an amount in the window is.
     """
     first, last = window
     months = first - last + 1
@@ -234,7 +247,7 @@ def cohort_stack(
         "*",
         F.count_if("in_horizon").over(group).alias("__seen"),
         *[
-            (F.sum(F.when(F.col("in_horizon"), F.col(old).cast("double"))).over(group) / months).alias(new)
+            (_known_sum(F.col("in_horizon"), F.col(old).cast("double"), group) / months).alias(new)
             for new, old in measures.items()
         ],
     ).filter(F.col("__seen") == months).drop("__seen")

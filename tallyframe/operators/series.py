@@ -108,40 +108,68 @@ def fit_distance(
 ) -> DataFrame:
     """Sum of squared standardised gaps to the target, by series and in total.
 
-    The total row has NULL in ``series``.
+    The total row has NULL in ``series``.  ``undefined`` counts the terms that have no
+    value: periods that only the model or only the target has, missing values, and
+    standard errors that are NULL or zero.  With any of them the distance is NULL, not
+    the smaller sum of the rest.
     """
-    t = target.select(series, period, F.col(value).alias("__target"), F.col(se).alias("__se"))
+    t = target.select(series, period, F.col(value).alias("__target"), F.col(se).alias("__se"), F.lit(1).alias("__in"))
     gap = ratio(F.col(value) - F.col("__target"), F.col("__se"))
-    squared = model.join(t, [series, period]).select(*by, series, (gap * gap).alias("__d"))
-    by_series = squared.groupBy(*by, series).agg(F.sum("__d").alias("distance"))
+    squared = model.join(t, [series, period], "left").select(*by, series, (gap * gap).alias("__d"), "__in")
+    sums = squared.groupBy(*by, series).agg(
+        F.sum("__d").alias("__d"), F.count_if(F.col("__d").isNull()).alias("__open"), F.count("__in").alias("__met")
+    )
+    wanted = target.groupBy(F.col(series).alias("__series")).agg(F.count(F.lit(1)).alias("__of"))
+    by_series = sums.join(wanted, F.col(series) == F.col("__series"), "left").select(
+        *by, series, "__d", (F.col("__open") + F.coalesce("__of", F.lit(0)) - F.col("__met")).alias("undefined")
+    )
     parts = F.array(F.col(series), F.lit(None).cast("string"))
     return (
-        by_series.select(*by, F.explode(parts).alias(series), "distance")
+        by_series.select(*by, F.explode(parts).alias(series), "__d", "undefined")
         .groupBy(*by, series)
-        .agg(F.sum("distance").alias("distance"))
+        .agg(F.sum("undefined").alias("undefined"), F.sum("__d").alias("__d"))
+        .select(*by, series, F.when(F.col("undefined") == 0, F.col("__d")).alias("distance"), "undefined")
     )
 
 
-def target_moments(moments: DataFrame, longest: DataFrame, *, digits: int = 3, se_digits: int = 6) -> DataFrame:
+def target_moments(
+    moments: DataFrame,
+    longest: DataFrame,
+    *,
+    digits: int | dict[str, int] = 3,
+    se_digits: int | dict[str, int] = 6,
+    repair: list[str] | None = None,
+) -> DataFrame:
     """Moments (series, period, value, se, low, high) as aligned target vectors.
 
-    Values are rounded half-even.  Without a standard error it is taken from the
-    band; the first one of each series is replaced by the second.  Shorter series
-    are padded in front to the length in the one-row table ``longest``, so the
-    last positions of all series match.
+    Values are rounded half-even; digits are given for all series or by series (others
+    are left unrounded).  Without a standard error it is taken from the band.  The first
+    error of the series in ``repair`` is replaced by the second, that of others stays.
+    Shorter series are padded in front to the length in the one-row table ``longest``,
+    so the last positions of all series match.
     """
     time = over_time(["series"], "period")
     whole = Window.partitionBy("series")
-    se = F.bround(F.coalesce("se", se_from_band(F.col("low"), F.col("high"))), se_digits)
+
+    def rounded(column: Column, places: int | dict[str, int]) -> Column:
+        if isinstance(places, int):
+            return F.bround(column, places)
+        out = column
+        for name, n in places.items():
+            out = F.when(F.col("series") == name, F.bround(column, n)).otherwise(out)
+        return out
+
+    se = rounded(F.coalesce("se", se_from_band(F.col("low"), F.col("high"))), se_digits)
     rows = moments.select(
         "series",
-        F.bround("value", digits).alias("value"),
+        rounded(F.col("value"), digits).alias("value"),
         se.alias("__se"),
         F.row_number().over(time).alias("__n"),
         F.count(F.lit(1)).over(whole).alias("__len"),
         F.lead(se).over(time).alias("__next"),
     )
-    repaired = F.when(F.col("__n") == 1, F.coalesce("__next", "__se")).otherwise(F.col("__se"))
+    mended = (F.col("__n") == 1) & F.col("series").isin(repair or [])
+    repaired = F.when(mended, F.coalesce("__next", "__se")).otherwise(F.col("__se"))
     pad = (longest.scalar() - F.col("__len")).cast("int")
     placed = rows.select(
         "series", (F.col("__n") + pad).cast("int").alias("position"), "value", repaired.alias("se"), pad.alias("__pad"), "__n"
@@ -197,7 +225,8 @@ def series_long(targets: DataFrame, models: DataFrame, fit: DataFrame | None = N
     """Targets with bands and models with zero-width bands in one long table.
 
     ``targets`` (series, period, value, se); ``models`` (name, series, period,
-    value); ``fit`` (name, series, distance) adds the whole distance to the label.
+    value); ``fit`` (name, series, distance) adds the whole distance to the label,
+    where it is known.
     """
     low, high = band(F.col("value"), F.col("se"))
     data = targets.select(
@@ -206,7 +235,7 @@ def series_long(targets: DataFrame, models: DataFrame, fit: DataFrame | None = N
     label: Column = F.col("name")
     if fit is not None:
         models = models.join(fit, ["name", "series"], "left")
-        label = F.concat("name", F.lit(", GOF="), F.col("distance").cast("long").cast("string"))
+        label = F.coalesce(F.concat("name", F.lit(", GOF="), F.col("distance").cast("long").cast("string")), F.col("name"))
     drawn = models.select(
         "series", "period", "value", F.col("value").alias("lower"), F.col("value").alias("upper"), label.alias("label")
     )

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.numbers import floor_bin, ratio
-from tallyframe.operators.ordered import in_pieces, values_at
+from tallyframe.operators.attach import same_key
+from tallyframe.session import materialise
+
+#: Digits after the point with which weights are summed; finer parts of a weight are rounded.
+WEIGHT_DIGITS = 6
+CELLS_PER_OCTAVE = 64
+TARGET = "decimal(38,12)"
 
 
 def weighted_mean(x: Column, w: Column) -> Column:
@@ -62,40 +69,85 @@ def weighted_quantiles(
     """Quantiles per group as columns named by ``probs``.
 
     The default is the smallest value whose running weight reaches q times the
-    total.  ``interpolate`` reads position 1 + (total - 1) q between the two
-    neighbouring order statistics, which for unit weights is the usual linear
-    percentile.  Equal values are summed first, so a value that fills a third of
-    the table is one row from there on, and a group of any size is cut into
-    pieces of which only those with an answer are sorted.
+    total; probability 0 gives the smallest value.  ``interpolate`` reads position
+    1 + (total - 1) q between the two neighbouring order statistics, which for unit
+    weights is the usual linear percentile.  A group without values or weight has NULL.
+
+    The table is read twice.  First weights are summed by group and cell of an
+    ordered scale (``scale_cell``), which combines before the shuffle; the cells are
+    written, and from them follows the cell that holds each answer.  Then only the
+    rows of those cells are read again, summed by value and put in order.  Weights
+    are summed as decimals with ``WEIGHT_DIGITS`` digits after the point, so running
+    sums are exact and compare without a tolerance.
     """
     if not by:
         whole = weighted_quantiles(df.withColumn("__all", F.lit(1)), ["__all"], value, weight, probs, interpolate)
         return whole.drop("__all")
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    per_value = (
-        df.filter(F.col(value).isNotNull() & w.isNotNull())
-        .groupBy(*by, F.col(value).cast("double").alias("__x"))
-        .agg(F.sum(w).alias("__w"))
+    w = F.lit(1) if weight is None else F.col(weight)
+    x = F.col(value).cast("double")
+    rows = df.select(*by, x.alias("__x"), F.when(x.isNotNull(), w).cast(f"decimal(20,{WEIGHT_DIGITS})").alias("__w"))
+    cells = rows.groupBy(*by, F.when(F.col("__w").isNotNull(), scale_cell(F.col("__x"))).alias("__cell"))
+    cells = materialise(cells.agg(F.sum("__w").alias("__w")), "cells")
+    group = Window.partitionBy(*by)
+    run = group.orderBy(F.col("__cell").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    own = F.coalesce("__w", F.lit(0))
+    ends = cells.select(*by, "__cell", F.sum(own).over(run).alias("__end"), F.sum("__w").over(group).alias("__total"), own.alias("__own"))
+    wanted = _positions(probs, interpolate)
+    marks = F.array(*[F.struct(F.lit(n).alias("name"), t.alias("target")) for n, t in wanted.items()])
+    reached = ends.filter(F.col("__cell").isNotNull()).select(
+        *by, "__cell", "__end", (F.col("__end") - F.col("__own")).alias("__before"), F.col("__total"), F.inline(marks)
+    )
+    reached = reached.filter((F.col("__total") > 0) & (F.col("__end") >= F.col("target")))
+    first = F.min(F.struct("__cell", "__before", "target")).alias("__at")
+    holds = materialise(reached.groupBy(*by, "name").agg(first).select(*by, "name", "__at.*"), "held")
+    near = holds.groupBy(*[F.col(k).alias(f"__c_{k}") for k in by], F.col("__cell").alias("__c_cell")).agg(
+        F.first("__before").alias("__before"), F.collect_list(F.struct("name", "target")).alias("__marks")
     )
-    pieces = in_pieces(per_value, by, ["__x"])
+    cell = scale_cell(F.col("__x"))
+    on = same_key([F.col(k) for k in by], [F.col(f"__c_{k}") for k in by]) & (cell == F.col("__c_cell"))
+    # the cells asked for are a few per group; their rows are summed by value before the shuffle
+    inside = rows.filter(F.col("__w").isNotNull()).join(near, on).groupBy(*by, "__c_cell", "__x")
+    inside = inside.agg(F.sum("__w").alias("__w"), F.first("__before").alias("__before"), F.first("__marks").alias("__marks"))
+    order = Window.partitionBy(*by, "__c_cell").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("__end", F.col("__before") + F.sum("__w").over(order))
+    hits = inside.select(*by, "__x", "__end", F.inline("__marks")).filter(F.col("__end") >= F.col("target"))
+    found = hits.groupBy(*by).agg(*[F.min(F.when(F.col("name") == n, F.col("__x"))).alias(n) for n in wanted])
+    groups = cells.groupBy(*[F.col(k).alias(f"__g_{k}") for k in by]).agg(F.sum("__w").alias("__total"))
+    both = groups.join(found, same_key([F.col(f"__g_{k}") for k in by], [F.col(k) for k in by]), "left")
+    keys = [F.col(f"__g_{k}").alias(k) for k in by]
     if not interpolate:
-        found = values_at(pieces, by, "__x", "__w", lambda total: {name: total * q for name, q in probs.items()})
-        return found.drop("__total")
-
-    def neighbours(total: Column) -> dict[str, Column]:
-        out = {}
-        for name, q in probs.items():
-            low = F.greatest(F.floor(1 + (total - 1) * q).cast("double"), F.lit(1.0))
-            out[f"{name}|lo"], out[f"{name}|hi"] = low, F.least(low + 1, total)
-        return out
-
-    found = values_at(pieces, by, "__x", "__w", neighbours)
+        return both.select(*keys, *probs)
     out = []
     for name, q in probs.items():
-        position = 1 + (F.col("__total") - 1) * q
-        part = position - F.floor(position)
+        position = _exact(q) * (F.col("__total") - 1) + 1
+        part = (position - F.floor(position)).cast("double")
         out.append(((1 - part) * F.col(f"{name}|lo") + part * F.col(f"{name}|hi")).alias(name))
-    return found.select(*by, *out)
+    return both.select(*keys, *out)
+
+
+def scale_cell(x: Column) -> Column:
+    """A whole number that never falls as ``x`` rises: ``CELLS_PER_OCTAVE`` cells for each doubling."""
+    size = F.abs(x)
+    step = F.floor(F.log2(size) * CELLS_PER_OCTAVE) + 2048 * CELLS_PER_OCTAVE
+    step = F.when(size == float("inf"), 4096 * CELLS_PER_OCTAVE).otherwise(step)
+    return F.when(F.isnan(x), 8192 * CELLS_PER_OCTAVE).when(x > 0, step).when(x < 0, -step).otherwise(F.when(x == 0, 0)).cast("int")
+
+
+def _exact(q: float) -> Column:
+    return F.lit(Decimal(repr(float(q))))
+
+
+def _positions(probs: dict[str, float], interpolate: bool) -> dict[str, Column]:
+    """The running weights to look for, in terms of the group's total."""
+    total, out = F.col("__total"), {}
+    for name, q in probs.items():
+        if interpolate:
+            low = F.greatest(F.floor(_exact(q) * (total - 1) + 1), F.lit(1).cast("decimal(20,0)"))
+            out[f"{name}|lo"] = low.cast(TARGET)
+            out[f"{name}|hi"] = F.least(low + 1, total).cast(TARGET)
+        else:
+            out[name] = (_exact(q) * total).cast(TARGET)
+    return out
 
 
 def weighted_summary(df: DataFrame, weight: str, measures: list[str], probs: dict[str, float]) -> DataFrame:
@@ -138,7 +190,8 @@ def multi_distribution(parts: list[tuple[DataFrame, str, dict[str, Column]]]) ->
     for df, weight, bins in parts:
         cells = F.array(*[F.struct(F.lit(n).alias("label"), b.alias("bin")) for n, b in bins.items()])
         binned.append(df.select(F.inline(cells), F.col(weight).alias("__w")).groupBy("label", "bin").agg(F.sum("__w").alias("weight")))
-    stacked = reduce(DataFrame.unionByName, binned)
+    # a row per label and bin, written so that totals do not compute the parts again
+    stacked = materialise(reduce(DataFrame.unionByName, binned), "bins")
     totals = stacked.groupBy("label").agg(F.sum("weight").alias("total"))
     shares = stacked.join(totals, "label").withColumn("share", ratio(F.col("weight"), F.col("total")))
     return shares.groupBy("bin").agg(

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.functions.numbers import floor_bin
+from tallyframe.functions.numbers import floor_bin, ratio
 from tallyframe.operators.attach import attach
 from tallyframe.plans.inputs import HOUSEHOLDS, MONTHS, PRICES, households, months, prices
 from tallyframe.plans.registry import Tables, query, rounded
+from tallyframe.session import materialise
 
 
 @query("""
@@ -92,9 +93,10 @@ def join_anti(t: Tables):
 WITH {MONTHS}, {PRICES}
 SELECT id, period, round(amount / price, 6) AS in_units FROM months LEFT JOIN prices ON period = month_cal""")
 def join_period(t: Tables):
-    # one price per month: the calendar bounds what is broadcast
-    joined = months(t).join(F.broadcast(prices(t)), F.col("period") == F.col("month_cal"), "left")
-    return rounded(joined.select("id", "period", (F.col("amount") / F.col("price")).alias("in_units")), 6, "in_units")
+    # written, so that Spark knows the size of the price table when it picks the join
+    monthly = materialise(prices(t), "prices")
+    joined = months(t).join(monthly, F.col("period") == F.col("month_cal"), "left")
+    return rounded(joined.select("id", "period", ratio(F.col("amount"), F.col("price")).alias("in_units")), 6, "in_units")
 
 
 @query(f"""
@@ -103,7 +105,7 @@ SELECT id, nation, round(balance * wgt / sum(wgt) OVER (PARTITION BY nation), 6)
 def join_agg_back(t: Tables):
     with_total = attach(households(t), ["nation"], [F.sum("wgt").alias("total")], spread=["id"])
     return rounded(
-        with_total.select("id", "nation", (F.col("balance") * F.col("wgt") / F.col("total")).alias("part")), 6, "part"
+        with_total.select("id", "nation", ratio(F.col("balance") * F.col("wgt"), F.col("total")).alias("part")), 6, "part"
     )
 
 

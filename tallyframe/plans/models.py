@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyframe.functions.numbers import ratio
 from tallyframe.operators import history as states
 from tallyframe.operators import inference, runs, series
 from tallyframe.plans.inputs import HISTORY, TARGETS, TYPES, days, history, targets_of, types
@@ -17,11 +18,12 @@ from tallyframe.sources import readers, writers
 WITH {TYPES}, raw AS (
   SELECT type AS series, period, cons AS value, CASE WHEN type <> 'error' THEN se_raw END AS se, cons - 1.96 * se_raw AS low, cons + 1.96 * se_raw AS high
   FROM days WHERE type <> 'view' OR period >= 5),
-r AS (SELECT series, round_even(value, 3) AS value, round_even(coalesce(se, (high - low) / 3.92), 6) AS se,
+r AS (SELECT series, round_even(value, 3) AS value,
+             round_even(coalesce(se, (high - low) / 3.92), CASE WHEN series = 'view' THEN 6 WHEN series = 'click' THEN 5 ELSE 3 END) AS se,
       row_number() OVER (PARTITION BY series ORDER BY period) AS n, count(*) OVER (PARTITION BY series) AS len FROM raw),
 l AS (SELECT max(len) AS longest FROM r),
 p AS (SELECT series, CAST(n + longest - len AS INTEGER) AS position, value,
-      CASE WHEN n = 1 THEN coalesce(lead(se) OVER (PARTITION BY series ORDER BY n), se) ELSE se END AS se FROM r, l)
+      CASE WHEN n = 1 AND series = 'view' THEN coalesce(lead(se) OVER (PARTITION BY series ORDER BY n), se) ELSE se END AS se FROM r, l)
 SELECT * FROM p UNION ALL
 SELECT series, CAST(unnest(range(1, longest - len + 1)) AS INTEGER), NULL, NULL FROM (SELECT DISTINCT series, len FROM r), l WHERE longest > len""")
 def target_moments(t: Tables):
@@ -34,7 +36,8 @@ def target_moments(t: Tables):
         (F.col("cons") + 1.96 * F.col("se_raw")).alias("high"),
     )
     longest = raw.groupBy("series").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"))
-    return series.target_moments(raw, longest)
+    digits = {"view": 6, "click": 5, **{s: 3 for s in ("error", "login", "logout", "purchase", "signup")}}
+    return series.target_moments(raw, longest, se_digits=digits, repair=["view"])
 
 
 MIXTURE = """base AS (
@@ -110,7 +113,12 @@ def type_paths(t: Tables):
 MODELS = f"""{TYPES}, {TARGETS}, models AS (
   SELECT 'base' AS name, type AS series, period, cons AS value FROM days
   UNION ALL SELECT 'scaled', type, period, cons * 1.02 + 1 FROM days),
-gaps AS (SELECT name, series, pow((m.value - t.value) / nullif(se, 0), 2) AS d FROM models m JOIN targets t USING (series, period))"""
+gaps AS (
+  SELECT name, series, pow((m.value - t.value) / nullif(se, 0), 2) AS d
+  FROM models m FULL JOIN (SELECT n.name, targets.* FROM targets, (SELECT DISTINCT name FROM models) n) t USING (name, series, period)),
+fits AS (
+  SELECT name, series, CASE WHEN count(*) FILTER (d IS NULL) = 0 THEN sum(d) END AS distance, count(*) FILTER (d IS NULL) AS undefined
+  FROM gaps GROUP BY GROUPING SETS ((name, series), (name)))"""
 
 
 def written_days(t: Tables):
@@ -128,7 +136,7 @@ def fitted(daily):
 
 @query(f"""
 WITH {MODELS}
-SELECT name, series, round(sum(d), 3) AS distance FROM gaps GROUP BY GROUPING SETS ((name, series), (name))""")
+SELECT name, series, round(distance, 3) AS distance, undefined FROM fits""")
 def fit_distance(t: Tables):
     daily = written_days(t)
     out = series.fit_distance(fitted(daily), targets_of(daily), ["name"], "series", "period", "value", "se")
@@ -136,9 +144,9 @@ def fit_distance(t: Tables):
 
 
 @query(f"""
-WITH {MODELS}, fit AS (SELECT name, series, sum(d) AS distance FROM gaps GROUP BY 1, 2)
+WITH {MODELS}, fit AS (SELECT * FROM fits WHERE series IS NOT NULL)
 SELECT series, period, value, value - 1.96 * se AS lower, value + 1.96 * se AS upper, 'Data' AS label FROM targets
-UNION ALL SELECT series, period, value, value, value, name || ', GOF=' || CAST(floor(distance) AS BIGINT)
+UNION ALL SELECT series, period, value, value, value, coalesce(name || ', GOF=' || CAST(floor(distance) AS BIGINT), name)
 FROM models LEFT JOIN fit USING (name, series)""")
 def series_long(t: Tables):
     daily = written_days(t)
@@ -148,15 +156,16 @@ def series_long(t: Tables):
 
 
 @query(f"""
-WITH {HISTORY}, f AS (SELECT avg((state = 0)::INT) AS e, avg(effort) AS s FROM history)
+WITH {HISTORY}, f AS (SELECT avg((state = 0)::INT) AS e, avg(effort) AS s, avg(cons) AS c FROM history)
 SELECT 'share_' || state AS statistic, round(count(*) / (SELECT count(*) FROM history), 8) AS value FROM history GROUP BY state
-UNION ALL SELECT 'employment_rate', round(e, 8) FROM f UNION ALL SELECT 'avg_effort', round(s / (1 - e), 8) FROM f""")
+UNION ALL SELECT 'employment_rate', round(e, 8) FROM f UNION ALL SELECT 'avg_effort', round(s / (1 - e), 8) FROM f
+UNION ALL SELECT 'avg_cons', round(c, 8) FROM f""")
 def state_occupancy(t: Tables):
     rows = written_history(t)
     shares = states.state_counts(rows, [], "state").select(
         F.concat(F.lit("share_"), F.col("state").cast("string")).alias("statistic"), F.col("share").alias("value")
     )
-    rates = states.state_occupancy(rows, [], "state", "effort")
+    rates = states.state_occupancy(rows, [], "state", "effort", means=["cons"])
     return rounded(shares.unionByName(rates.unpivot([], rates.columns, "statistic", "value")), 8, "value")
 
 
@@ -309,11 +318,13 @@ def budget_neutral_change(t: Tables):
 
 @query(f"""
 WITH {HISTORY}, drops AS (SELECT prior - cons AS d FROM (
-  SELECT *, lag(cons) OVER (PARTITION BY agent ORDER BY period) AS prior FROM history) WHERE state = 1 AND prior IS NOT NULL)
+  SELECT *, lag(cons) OVER w AS prior, lag(period) OVER w AS prior_period FROM history WINDOW w AS (PARTITION BY agent ORDER BY period))
+  WHERE state = 1 AND prior IS NOT NULL AND prior_period = period - 1)
 SELECT 'cbar_' || state AS statistic, round(avg(cons), 6) AS value FROM history GROUP BY state
 UNION ALL SELECT 'onset_drop_25th', round(quantile_cont(d, 0.25), 6) FROM drops
 UNION ALL SELECT 'onset_drop_50th', round(quantile_cont(d, 0.5), 6) FROM drops
-UNION ALL SELECT 'onset_drop_75th', round(quantile_cont(d, 0.75), 6) FROM drops""")
+UNION ALL SELECT 'onset_drop_75th', round(quantile_cont(d, 0.75), 6) FROM drops
+UNION ALL SELECT 'onset_drop_mean', round(avg(d), 6) FROM drops""")
 def onset_profile(t: Tables):
     return rounded(states.onset_profile(written_history(t), "agent", "period", "state", "cons"), 6, "value")
 
@@ -352,6 +363,6 @@ SELECT a.parameter AS param_i, b.parameter AS param_j, round(sum(w * a.partial *
 FROM gradient a JOIN gradient b USING (type, period) JOIN w USING (type, period) GROUP BY 1, 2""")
 def weighted_gram(t: Tables):
     daily = written_days(t)
-    weight = targets_of(daily).select(F.concat_ws("/", "series", "period").alias("moment"), (1 / (F.col("value") * F.col("value"))).alias("w"))
+    weight = targets_of(daily).select(F.concat_ws("/", "series", "period").alias("moment"), ratio(F.lit(1), F.col("value") * F.col("value")).alias("w"))
     out = inference.weighted_gram(gradients(daily), "moment", "parameter", PARAMETERS, weight, "w")
     return rounded(out, 3, "value")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyframe.functions.numbers import ratio
 from tallyframe.operators.ordered import in_pieces, numbered
 from tallyframe.operators.reshape import map_columns as change_columns
 from tallyframe.plans.registry import Tables, query, rounded
@@ -23,7 +24,7 @@ def derive_seq(t: Tables):
     return (
         t.lineitem.withColumn("net", F.col("l_extendedprice") * (1 - F.col("l_discount")))
         .withColumn("gross", F.col("net") * (1 + F.col("l_tax")))
-        .withColumn("unit", F.col("gross") / F.col("l_quantity"))
+        .withColumn("unit", ratio(F.col("gross"), F.col("l_quantity")))
         .select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "net", "gross", "unit")
     )
 
@@ -92,8 +93,8 @@ def scalar_lookup(t: Tables):
     supply = t.supplier.filter("s_acctbal > 0").agg(F.sum("s_acctbal"))
     out = sums.select(
         "o_orderpriority",
-        (F.col("total") / urgent.scalar()).alias("to_urgent"),
-        (F.col("total") / supply.scalar()).alias("to_supply"),
+        ratio(F.col("total"), urgent.scalar()).alias("to_urgent"),
+        ratio(F.col("total"), supply.scalar()).alias("to_supply"),
     )
     return rounded(out, 6, "to_urgent", "to_supply")
 

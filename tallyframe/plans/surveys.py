@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.functions.numbers import floor_bin
+from tallyframe.functions.numbers import floor_bin, ratio
 from tallyframe.functions.text import yes_no
 from tallyframe.operators import crosswalk, reshape, weights
 from tallyframe.operators import panel as panels
@@ -45,7 +45,7 @@ def survey_facts(t: Tables):
             "any_card": (claimant, F.col("any_card"), False),
             "one_card": (claimant, F.col("one_card"), False),
         },
-        derived={"outside": F.col("one_card") * (1 - 0.37 / F.col("any_card")) + F.col("any_card")},
+        derived={"outside": F.col("one_card") * (1 - ratio(F.lit(0.37), F.col("any_card"))) + F.col("any_card")},
     )
     return rounded(weights.facts_long(row), 6, "value")
 
@@ -94,10 +94,11 @@ def multi_distribution(t: Tables):
         return 12 * F.sum(column) / F.count(F.lit(1))
 
     weight = (F.sum("n_orders") / F.count(F.lit(1))).alias("wt")
-    early = months(t).filter("period <= 12").groupBy("id").agg(
+    person_months = materialise(months(t), "months")
+    early = person_months.filter("period <= 12").groupBy("id").agg(
         weight, yearly("amount").alias("spend"), yearly("benefit").alias("ben")
     )
-    dated = panels.event_study(months(t).withColumn("ui", F.col("benefit") > 0), "id", "period", {"ui": "ui"})
+    dated = panels.event_study(person_months.withColumn("ui", F.col("benefit") > 0), "id", "period", {"ui": "ui"})
     before = (
         dated.filter("period >= first_ui_date - 12 AND period < first_ui_date")
         .groupBy("id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallyframe.functions.numbers import ratio
 from tallyframe.operators import history as states
 from tallyframe.operators import panel, reshape, series
 from tallyframe.operators.attach import attach
@@ -54,7 +55,7 @@ def running_product(t: Tables):
 WITH {TYPES}
 SELECT type, period, round(n / sum(n) OVER (PARTITION BY period), 8) AS share FROM days""")
 def share_of_period(t: Tables):
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("period"))
+    share = ratio(F.col("n"), F.sum("n").over(Window.partitionBy("period")))
     return rounded(days(t).select("type", "period", share.alias("share")), 8, "share")
 
 
@@ -100,7 +101,8 @@ def event_time(t: Tables):
 @query(f"""
 WITH {HISTORY}
 SELECT agent, period, round(prior - cons, 6) AS onset_drop FROM (
-  SELECT *, lag(cons) OVER (PARTITION BY agent ORDER BY period) AS prior FROM history) WHERE state = 1 AND prior IS NOT NULL""")
+  SELECT *, lag(cons) OVER w AS prior, lag(period) OVER w AS prior_period FROM history WINDOW w AS (PARTITION BY agent ORDER BY period))
+WHERE state = 1 AND prior IS NOT NULL AND prior_period = period - 1""")
 def onset_drop(t: Tables):
     drops = states.onset_drops(history(t), "agent", "period", "state", "cons")
     return rounded(drops.select("agent", "period", "onset_drop"), 6, "onset_drop")

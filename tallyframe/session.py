@@ -3,6 +3,8 @@
 Some operators need one physical assignment of rows to pieces that stays the
 same however often it is read, also after an executor is lost.  They write that
 table once to a shared folder and read it back, which also cuts the lineage.
+The files have to outlive the DataFrames that read them; ``clear`` deletes those of
+this process when its results have been used.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _local_dir: str | None = None
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,7 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tallyframe/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/tallyframe/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this process; DataFrames that read them end with it."""
+    hadoop = spark._jsc.hadoopConfiguration()
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(hadoop).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str = "step") -> DataFrame:

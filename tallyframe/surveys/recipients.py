@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.numbers import floor_bin, month_index
+from tallyframe.functions.numbers import floor_bin, month_index, ratio
 from tallyframe.operators import panel
 from tallyframe.operators.attach import first_rows
 from tallyframe.operators.weights import multi_distribution, share_of_total, weighted_mean
@@ -27,7 +27,7 @@ def recipient_panel(waves: DataFrame, prices: DataFrame, price_on: str = "period
     """Stacked wave rows with keys, real amounts, event flags, dates and prior income.
 
     The published tables match prices on the interview index; ``period_index_cal``
-    matches them on the calendar month.
+    matches them on the calendar month, counted from the base year of the prices.
     """
     built = panel.build_panel(
         waves,
@@ -47,7 +47,12 @@ def recipient_panel(waves: DataFrame, prices: DataFrame, price_on: str = "period
     ).withColumns(
         {"any_coll": F.col("eeducate") >= fixed.COLLEGE_CODE, "any_ba": F.col("eeducate") >= fixed.BACHELOR_CODE}
     )
-    real = panel.deflate(built, prices, price_on, "month_cal", "price", AMOUNTS)
+    if price_on == "period_index_cal":
+        years = fixed.PRICE_BASE_YEAR - fixed.CALENDAR_BASE_YEAR
+        priced = built.withColumn("__price_month", F.col(price_on) - 12 * years)
+        real = panel.deflate(priced, prices, "__price_month", "month_cal", "price", AMOUNTS).drop("__price_month")
+    else:
+        real = panel.deflate(built, prices, price_on, "month_cal", "price", AMOUNTS)
     separated = (F.col("epopstat") == 1) & (F.col("epdjbthn") == 1) & (F.col("ejobcntr") > 0) & (F.col("estlemp1") == 2)
     flagged = panel.flag_events(
         real,
@@ -133,12 +138,16 @@ def income_distributions(df: DataFrame) -> DataFrame:
     """Yearly family earnings and income of everybody and of recipients before
     their benefits, binned, side by side."""
 
+    def mean(column: str) -> Column:
+        # one unknown month leaves the mean unknown
+        return F.when(F.count_if(F.col(column).isNull()) == 0, ratio(F.sum(column), F.count(F.lit(1))))
+
     def yearly(column: str) -> Column:
-        return 12 * F.sum(column) / F.count(F.lit(1))
+        return 12 * mean(column)
 
     def per_person(rows: DataFrame) -> DataFrame:
         return rows.groupBy("id").agg(
-            (F.sum("wpfinwgt") / F.count(F.lit(1))).alias("wt"),
+            mean("wpfinwgt").alias("wt"),
             yearly("tfearn_adj").alias("earn"),
             yearly("tftotinc_adj").alias("inc"),
             (F.max("period_index") - F.min("period_index")).alias("span"),

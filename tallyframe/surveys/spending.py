@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.numbers import ratio
 from tallyframe.operators import crosswalk, reshape
-from tallyframe.operators.attach import rows_like_first
+from tallyframe.operators.attach import first_rows
 from tallyframe.surveys import fixed_values as fixed
 
 
 def code_labels(codes: DataFrame, order: str) -> DataFrame:
-    """(mcc, mcc_merchant_type): rows with the first description of their code."""
+    """(mcc, mcc_merchant_type): the first description of each code, one row per code."""
     named = codes.select(F.col("mcc_code").alias("mcc"), F.col("edited_description").alias("mcc_merchant_type"), order)
-    return rows_like_first(named, ["mcc"], "mcc_merchant_type", [order]).select("mcc", "mcc_merchant_type")
+    return first_rows(named, ["mcc"], [order, "mcc_merchant_type"]).select("mcc", "mcc_merchant_type")
 
 
 def matched_codes(transactions: DataFrame, labels: DataFrame, group: str) -> DataFrame:
@@ -48,6 +48,14 @@ def other_payments(transactions: DataFrame) -> DataFrame:
     )
 
 
+def unlisted_payments(transactions: DataFrame) -> DataFrame:
+    """One row, ``amount``: bills paid from the account that have none of the listed codes."""
+    listed = [fixed.TELECOM_PAYMENT, fixed.UTILITY_PAYMENT, fixed.INSURANCE_PAYMENT]
+    paid = transactions.filter(F.col("at_mcccode").isNull() & F.col("category_description").isNotNull())
+    rest = paid.filter(~F.coalesce(F.col("at_categoryid2").isin(listed), F.lit(False)))
+    return rest.agg((-F.sum("dollars") / fixed.CUSTOMER_MONTHS).alias("amount"))
+
+
 def part_shares(matched: DataFrame, group: str) -> DataFrame:
     """(source, category, share): what part of a category is taxes, casinos, ..."""
     code = F.col("mcc")

@@ -1,13 +1,14 @@
 """Properties that hold for any data, on generated tables."""
 
 import random
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import history, series, weights
-from tallyframe.session import CHECKPOINT_CONF, materialise, shared_dir
+from tallyframe.session import CHECKPOINT_CONF, clear, materialise, shared_dir
 
 
 def table(spark, seed, n=400):
@@ -75,3 +76,15 @@ def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(session_with({"spark.master": "local[2]"})).startswith("/tmp/run-")
     written = materialise(spark.range(5), "t")
     assert written.count() == 5 and shared_dir(spark) in written.inputFiles()[0]
+
+
+def test_a_session_can_leave_no_files_behind(spark):
+    def files():
+        return set(Path(shared_dir(spark)).rglob("*.parquet"))
+
+    others = files()
+    df = spark.createDataFrame([(1.0, 2.0), (3.0, 1.0)], "x double, w double")
+    assert weights.weighted_quantiles(df, [], "x", "w", {"m": 0.5}).first().m == 1.0
+    assert files() - others
+    clear(spark)
+    assert not files() - others

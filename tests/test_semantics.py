@@ -214,7 +214,17 @@ def test_moments_are_padded_in_front_and_repaired(spark):
     longest = spark.sql("SELECT 3 AS n")
     out = rows_of(series.target_moments(df, longest), "series", "position")
     assert out[:3] == [("h", 1, None, None), ("h", 2, None, None), ("h", 3, 0.25, 0.1)]
-    assert [r[3] for r in out[3:]] == [0.5, 0.5, 1.0]
+    assert [r[3] for r in out[3:]] == [0.0, 0.5, 1.0]
+    out = rows_of(series.target_moments(df, longest, repair=["s"], digits={"s": 1, "h": 0}, se_digits={"h": 2}), "series", "position")
+    assert out[2] == ("h", 3, 0.0, 0.1) and [r[3] for r in out[3:]] == [0.5, 0.5, 1.0] and out[3][2] == 1.0
+
+
+def test_only_the_named_series_is_repaired(spark):
+    rows = [("cons", t, 1.0, v, None, None) for t, v in enumerate([0.0, 0.00161, 0.00172])]
+    rows += [("search", t, 0.2, v, None, None) for t, v in enumerate([0.00294, 0.00301, 0.00311])]
+    df = spark.createDataFrame(rows, "series string, period int, value double, se double, low double, high double")
+    out = rows_of(series.target_moments(df, spark.sql("SELECT 3 AS n"), repair=["cons"]), "series", "position")
+    assert [r[3] for r in out] == [0.00161, 0.00161, 0.00172, 0.00294, 0.00301, 0.00311]
 
 
 def test_mixture_weights_sum_to_one(spark):
@@ -233,6 +243,42 @@ def test_onset_ignores_agents_that_start_in_the_state(spark):
     assert [r.onset_drop for r in history.onset_drops(df, "agent", "t", "state", "c").orderBy("t").collect()] == [3.0, 1.0]
 
 
+def test_onset_needs_the_period_before(spark):
+    df = spark.createDataFrame(
+        [(1, 1, 0, 9.0), (1, 9, 1, 4.0), (2, 3, 0, 8.0), (2, 4, 1, 7.0), (3, 5, 0, 6.0), (3, 6, 1, 3.0)], "agent int, t int, state int, c double"
+    )
+    assert sorted(r.onset_drop for r in history.onset_drops(df, "agent", "t", "state", "c").collect()) == [1.0, 3.0]
+    profile = {r.statistic: r.value for r in history.onset_profile(df, "agent", "t", "state", "c").collect()}
+    assert profile["onset_drop_mean"] == 2.0 and profile["onset_drop_50th"] == 2.0
+    means = history.state_occupancy(df, [], "state", "c", means=["c"]).first()
+    assert means.avg_c == pytest.approx(37 / 6) and means.employment_rate == 0.5
+
+
+def test_an_unknown_amount_leaves_the_prior_mean_unknown(spark):
+    rows = [(i, t, 10.0 if (i, t) != (1, 2) else None, 5) for i in (1, 2) for t in range(1, 6)]
+    df = spark.createDataFrame(rows, "id int, t int, x double, start int")
+    out = panel.prior_window_mean(df, "id", "t", "start", {"m": "x"}).select("id", "m", "mos_in_horizon").distinct().collect()
+    assert {(r.id, r.m, r.mos_in_horizon) for r in out} == {(1, None, 4), (2, 10.0, 4)}
+    out = panel.cohort_stack(df, "id", "t", {"all": ("start", None)}, {"m": "x"}, window=(4, 1)).select("id", "m").distinct()
+    assert {(r.id, r.m) for r in out.collect()} == {(1, None), (2, 10.0)}
+
+
+def test_distance_counts_every_term(spark):
+    model = spark.createDataFrame([("m", "s", t, 1.0 + t) for t in range(3)] + [("m", "q", 0, 2.0)], "name string, series string, t int, v double")
+    target = spark.createDataFrame([("s", 0, 0.0, 0.5), ("s", 1, 6.0, 0.0), ("s", 7, 1.0, 1.0), ("q", 0, 1.0, 0.5)], "series string, t int, v double, se double")
+    out = series.fit_distance(model, target, ["name"], "series", "t", "v", "se").collect()
+    # s: a zero error, a period without target, a target without period
+    assert {r.series: (r.distance, r.undefined) for r in out} == {"s": (None, 3), "q": (4.0, 0), None: (None, 3)}
+
+
+def test_zero_denominators_are_null(spark):
+    facts = spark.createDataFrame([(1.0, False, False), (2.0, False, False)], "w double, card boolean, one boolean")
+    row = weights.survey_facts(
+        facts, "w", {"any": (F.lit(True), F.col("card"), False)}, derived={"part": 1 - numbers.ratio(F.lit(0.37), F.col("any"))}
+    ).first()
+    assert row["any"] == 0 and row["part"] is None
+
+
 def test_npv_masks_use_the_floor(spark):
     df = spark.createDataFrame([(1, 0, 0, 2.0, 0.5), (1, 1, 1, 1.0, 0.5)], "agent int, t int, state int, c double, s double")
     r = history.npv_by_entity(df, ["agent"], "t", "state", "c", "s", rate=0.1, rho=2.0, k=2.0, phi=1.0).first()

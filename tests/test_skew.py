@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators.attach import attach, first_rows, keep_groups, rows_at_max, rows_like_first
 from tallyframe.operators.ordered import PIECE, in_pieces, lagged, numbered
-from tallyframe.operators.weights import weighted_quantiles
+from tallyframe.operators.weights import scale_cell, weighted_quantiles
 
 ROWS = 3000
 
@@ -118,6 +118,30 @@ def test_weighted_quantiles_of_a_hot_group(spark, df, rows, partitions):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_smallest_value_and_groups_without_weight(spark):
+    rows = [("a", 3.0, 1.0), ("a", -2.0, 2.0), ("a", 7.5, 1.0), ("b", 1.0, 0.0), ("c", None, 4.0), (None, 5.0, 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double, w double")
+    out = weighted_quantiles(df, ["k"], "x", "w", {"least": 0.0, "half": 0.5, "most": 1.0}).collect()
+    assert {r.k: (r.least, r.half, r.most) for r in out} == {
+        "a": (-2.0, -2.0, 7.5), "b": (None,) * 3, "c": (None,) * 3, None: (5.0,) * 3,
+    }
+    linear = weighted_quantiles(df.filter("w > 0"), ["k"], "x", None, {"least": 0.0, "half": 0.5}, interpolate=True).collect()
+    assert {r.k: (r.least, r.half) for r in linear}["a"] == (-2.0, 3.0)
+
+
+def test_ranks_are_exact_where_a_float_target_is_not(spark):
+    # 0.1 * 30 is above 3 in floating point
+    df = spark.createDataFrame([(float(i),) for i in range(1, 31)], "x double")
+    assert weighted_quantiles(df, [], "x", None, {"p10": 0.1}).first()["p10"] == 3.0
+
+
+def test_cells_rise_with_values(spark):
+    values = [float("-inf"), -1e300, -5.0, -4.99, -1e-300, -0.0, 0.0, 5e-324, 1e-9, 0.5, 1.0, 1.01, 3e7, 1e308, float("inf"), float("nan")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    cells = [r.c for r in df.select("i", scale_cell(F.col("x")).alias("c")).orderBy("i").collect()]
+    assert cells == sorted(cells)
+
+
 def test_linear_percentiles_equal_numpy(df, rows):
     import numpy as np
 

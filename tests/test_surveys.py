@@ -96,6 +96,10 @@ def test_duplicate_codes_keep_their_largest_amount(spark):
         (7399, 663550.21, "onlinemarket", "Business Services"),
     ]
     assert out[0].spend_month == pytest.approx(3641226.73 / 118018)
+    again = codes.union(spark.createDataFrame([(4, 5541, "Service Stations")], codes.schema))
+    assert spending.code_labels(again, "line").count() == 2
+    rest = spending.unlisted_payments(df).first().amount
+    assert rest == pytest.approx((sum(r[4] for r in rows if r[0] is None and r[3]) * -1 - sum(v * 118018 for v in (12.546, 125.887, 96.820))) / 118018, abs=1e-2)
     paid = {r.source: r.amount for r in spending.other_payments(df).collect()}
     assert paid == pytest.approx({"telecom": 12.546, "utilities": 125.887, "insurance": 96.820}, abs=1e-3)
 
@@ -252,6 +256,24 @@ def test_recipient_panel(people):
     assert (c.any_coll, c.any_ba) == (True, True) and (a.any_coll, a.any_ba) == (True, False)
 
 
+def test_calendar_prices_start_with_their_own_january(spark, waves):
+    days = spark.sql("SELECT explode(sequence(DATE'2004-01-01', DATE'2005-12-01', INTERVAL 1 MONTH)) AS day")
+    priced = days.withColumn("price", (F.year("day") - 2000) * 100.0 + F.month("day"))
+    prices = recipients.price_months(priced, "day", "price")
+    rows = recipients.recipient_panel(waves, prices, price_on="period_index_cal").select("period_index_cal", "price_index").distinct().collect()
+    # month 13 of a calendar that starts in 2003 is January 2004
+    index = {r.period_index_cal: r.price_index for r in rows}
+    assert index[13] == pytest.approx(512 / 401) and index[24] == pytest.approx(512 / 412)
+    assert all(v is None for m, v in index.items() if m < 13)
+
+
+def test_an_unknown_month_leaves_yearly_income_unknown(spark, people):
+    gap = people.withColumn("tfearn_adj", F.when(~((F.col("id") == "u011101") & (F.col("period_index") == 9)), F.col("tfearn_adj")))
+    whole = {r.bin: r.wt_earn for r in recipients.income_distributions(people).collect()}
+    out = {r.bin: r.wt_earn for r in recipients.income_distributions(gap).collect()}
+    assert whole[60000.0] - out[60000.0] == 1.0 and out[None] == 1.0
+
+
 def test_cohort_table(people):
     stack = recipients.cohorts(people)
     assert {r.key for r in stack.select("key").distinct().collect()} >= {"Unemployed: All", "Unemployed: Get UI"}
