@@ -7,7 +7,7 @@ from pathlib import Path
 
 import duckdb
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def connection(folder: str) -> duckdb.DuckDBPyConnection:
