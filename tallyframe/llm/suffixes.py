@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm.tables import in_batches, read, rows_of, whole_text, written
 from tallyframe.llm.winnowing import mixed, powers, smallest
 
-SIZE, GRAM, HOT, TASK_BYTES = 400, 160, 50_000, 4_000_000
+SIZE, GRAM, HOT, TASK_BYTES = 400, 160, 50_000, 1_000_000
 STEP = np.uint64(0xA0761D6478BD642F)
 LOW = np.uint64(0xFFFFFFFF)
 SPAN = "doc_id long, tie int, start int, end int"
@@ -96,7 +96,7 @@ def _anchor_rows(docs: DataFrame, size: int, gram: int) -> DataFrame:
                 if len(a):
                     held.append((a.view(np.int64), c.view(np.int64), [doc] * len(a), np.full(len(a), tie_of(raw)), lo, own))
                     count += len(a)
-                if count > 50_000:
+                if count > 10_000:
                     yield made(held)
                     held, count = [], 0
             if held:
