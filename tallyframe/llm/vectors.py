@@ -8,8 +8,9 @@ Exact vectors are then read in two steps in order of the bounds: the k best boun
 then only those whose upper bound reaches the k-th exact score; after that the k-th result
 is certain.
 
-Queries and vectors meet in blocks: a task gets one block of queries and a few blocks of
-approximations.  Of equal vectors only the k + 1 smallest ids can be results, so the rest
+Queries and vectors meet in blocks: a task gets up to ``QUERIES_A_TASK`` blocks of queries
+and ``BLOCKS_A_TASK`` blocks of approximations, so each approximation travels once for every
+16,384 queries.  Of equal vectors only the k + 1 smallest ids can be results, so the rest
 is left out before the scan, wherever its rows are, without gathering them.
 
 Defined cases: rows without id or vector, and vectors that hold null, NaN or infinity take
@@ -26,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.tables import read, written
+from tallyframe.llm.tables import read, shuffle_partitions, written
 
 SCALE, CELLS, K = 256, 64, 5
-BLOCK, QUERY_BLOCK, BLOCKS_A_TASK = 4096, 1024, 4
+BLOCK, QUERY_BLOCK = 4096, 1024
+BLOCKS_A_TASK, QUERIES_A_TASK = 16, 16
 
 
 def scaled(vectors: DataFrame) -> DataFrame:
@@ -76,6 +78,7 @@ def blocks(rows: DataFrame, size: int, low: int, width: int) -> DataFrame:
 def _scan(left: pa.Table, right: pa.Table, low: int, width: int, k: int) -> pa.Table:
     """Vectors of some approximation blocks that may be among the k best of a block of queries."""
     out = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 2]
+    blocks = left.to_pylist()
     for q in right.to_pylist():
         ids = np.frombuffer(q["ids"], "<i8")
         exact = np.frombuffer(q["exact"], "<i8").reshape(len(ids), q["dim"]).astype(float)
@@ -83,7 +86,7 @@ def _scan(left: pa.Table, right: pa.Table, low: int, width: int, k: int) -> pa.T
         below = (width - 1) * np.minimum(exact, 0).sum(axis=1)
         found: list[tuple[np.ndarray, ...]] = []
         best = np.full((len(ids), k), -np.inf)
-        for c in left.to_pylist():
+        for c in blocks:
             if c["dim"] != q["dim"]:
                 continue
             own = np.frombuffer(c["ids"], "<i8")
@@ -115,8 +118,9 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
     n_queries = asked.count()
     low, high = ends["low"] or 0, ends["high"] or 0
     width = max(1, -(-(high - low + 1) // CELLS))
-    tasks = max(1, -(-ends["n"] // (BLOCK * BLOCKS_A_TASK)))
-    groups = max(1, -(-n_queries // QUERY_BLOCK))
+    spread = min(shuffle_partitions(vectors.sparkSession), -(-ends["n"] // BLOCK))
+    tasks = max(1, spread, -(-ends["n"] // (BLOCK * BLOCKS_A_TASK)))
+    groups = max(1, -(-n_queries // (QUERY_BLOCK * QUERIES_A_TASK)))
     cells = blocks(base, BLOCK, low, width).withColumn("task", F.pmod(F.xxhash64("block", "cells"), F.lit(tasks)).cast("int"))
     cells = written(cells, "vector-cells")
     dealt = asked.repartition(groups) if groups > 1 else asked.coalesce(1)
