@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tallyframe.llm.components import components
-from tallyframe.llm.tables import in_batches, packed, read, rows_of, unpacked, whole_text, written
+from tallyframe.llm.tables import cells_of, in_batches, packed, read, rows_of, unpacked, whole_text, written
 from tallyframe.llm.winnowing import mixed, powers
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
@@ -395,15 +395,14 @@ def _marked(sets: DataFrame) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the first document of each class, all columns unchanged."""
     firsts = join(docs).select("first").distinct().select(F.col("first.doc_id").alias("first_id"), F.col("first.tie").alias("first_tie"))
-    rows = packed(docs, doc_id=F.col("doc_id").cast("long"), tie=F.lit(0).cast("long"), text=whole_text())
-    schema = rows.select("row", "doc_id", "tie").schema
+    rows, place = packed(docs, doc_id=F.col("doc_id").cast("long"), tie=F.lit(0).cast("long")), docs.columns.index("text")
 
     def ties(batches):
         for batch in batches:
-            tie = pa.array([tie_of(t) for t in batch.column("text").to_pylist()], pa.int64())
+            tie = pa.array([tie_of(t or "") for t in cells_of(batch.column("row"), place)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), tie], ["row", "doc_id", "tie"])
 
-    rows = rows.mapInArrow(ties, schema)
+    rows = rows.mapInArrow(ties, rows.schema)
     kept = rows.join(firsts, rows["doc_id"].eqNullSafe(firsts["first_id"]) & (rows["tie"] == firsts["first_tie"]), "left_semi")
     return unpacked(kept.dropDuplicates(["doc_id", "tie"]), docs.columns)
 

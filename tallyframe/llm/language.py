@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.tables import in_batches, packed, read, rows_of, unpacked, whole_text
+from tallyframe.llm.tables import cells_of, in_batches, packed, read, rows_of, unpacked
 
 UNKNOWN = "und"
 HIDDEN, SPAN, LANES = 8, 128, 2048
@@ -236,16 +236,15 @@ def predicted(docs: DataFrame, network: Network) -> DataFrame:
 
 def keep_known(docs: DataFrame, network: Network, least_score: float = 0.3) -> DataFrame:
     """Rows of ``docs`` whose language is known; a text without letters or of no clear language goes."""
-    rows = packed(docs, text=F.col("text"))
-    schema = rows.select("row").schema
+    rows, place = packed(docs), docs.columns.index("text")
 
     def work(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            kept = [lang != UNKNOWN and score >= least_score for _, lang, score in network.predict(enumerate(texts))]
-            yield pa.RecordBatch.from_arrays([batch.column("row").filter(pa.array(kept, pa.bool_()))], ["row"])
+            found = network.predict(enumerate(cells_of(batch.column("row"), place)))
+            kept = [lang != UNKNOWN and score >= least_score for _, lang, score in found]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return unpacked(rows.mapInArrow(work, schema), docs.columns)
+    return unpacked(rows.mapInArrow(work, rows.schema), docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

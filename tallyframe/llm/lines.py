@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.tables import in_batches, packed, read, rows_of, unpacked, whole_text, written
+from tallyframe.llm.tables import cells_of, in_batches, packed, read, rows_of, unpacked, whole_text, with_cells, written
 
 LEAST_CHARS, LEAST_DOCS, SHARDS = 40, 5, 64
 GROUP_ROWS = 200_000
@@ -251,20 +251,18 @@ def line_digest(docs: DataFrame) -> DataFrame:
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: all documents, without their repeated lines."""
     lose = dropped(build(docs))
-    rows = packed(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text"))
-    joined = rows.join(lose, F.col("doc_id").eqNullSafe(F.col("loser")), "left").select("row", "text", "keys")
+    rows, place = packed(docs, doc_id=F.col("doc_id").cast("long")), docs.columns.index("text")
+    joined = rows.join(lose, F.col("doc_id").eqNullSafe(F.col("loser")), "left").select("row", "keys")
 
     def work(batches):
         for batch in batches:
-            texts = [
-                cleaned(t, k)[0] if k and t is not None else t
-                for t, k in zip(batch.column("text").to_pylist(), batch.column("keys").to_pylist())
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
-
-    made = joined.mapInArrow(work, joined.select("row", "text").schema)
-    length = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return unpacked(made, docs.columns, text=F.col("text"), **length)
+            texts = cells_of(batch.column("row"), place)
+            kept = [cleaned(t, k)[0] if k and t is not None else t for t, k in zip(texts, batch.column("keys").to_pylist())]
+            yield pa.RecordBatch.from_arrays([with_cells(batch.column("row"), place, pa.array(kept, pa.string()))], ["row"])
+
+    made = joined.mapInArrow(work, joined.select("row").schema)
+    length = {"n_chars": F.length("row.text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return unpacked(made, docs.columns, **length)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

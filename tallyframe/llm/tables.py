@@ -36,6 +36,19 @@ def unpacked(df: DataFrame, names: list[str], **replaced: Column) -> DataFrame:
     return df.select(*[replaced[n].alias(n) if n in replaced else F.col(f"{ROW}.`{n}`") for n in names])
 
 
+def cells_of(rows: pa.StructArray, place: int, size: int = 512) -> Iterator:
+    """One column of packed rows as Python values, a few of them at a time."""
+    column = rows.field(place)
+    for start in range(0, len(column), size):
+        yield from column.slice(start, size).to_pylist()
+
+
+def with_cells(rows: pa.StructArray, place: int, column: pa.Array) -> pa.StructArray:
+    """Packed rows with one column replaced."""
+    columns = [column if i == place else rows.field(i) for i in range(rows.type.num_fields)]
+    return pa.StructArray.from_arrays(columns, fields=list(rows.type))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
