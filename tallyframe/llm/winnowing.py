@@ -31,7 +31,8 @@ from tallyframe.llm.tables import in_batches, read, rows_of, shuffle_partitions,
 GRAM, WINDOW = 32, 64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-MOST_RANGES = 4096
+#: One bound and one id per range pass through the driver.
+MOST_RANGES = 20_000
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -115,6 +116,7 @@ RESULT = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
     "near_edited double, near_next double"
 )
+FIRST = pa.schema([("range", pa.int32()), ("least", pa.int64())])
 DEALT = pa.schema([("range", pa.int32()), ("guest", pa.bool_()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("z", pa.binary())])
 
 
@@ -126,16 +128,20 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     shares = [(i + 1) / parts for i in range(parts - 1)]
     cuts = docs.agg(F.percentile_approx("doc_id", F.lit(shares), F.lit(20 * parts)).alias("at")).first()["at"]
     bounds = sorted(set(cuts or []))
-    # at most one row per range comes to the driver
-    edges = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
-    number = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(edges, lambda b: b < F.col("doc_id"))))
-    firsts = sorted(
-        (r["range"], r["least"] if not r["gap"] else None)
-        for r in docs.select(number.alias("range"), "doc_id")
-        .groupBy("range")
-        .agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("gap"))
-        .collect()
-    )
+
+    def least(batches):
+        for batch in batches:
+            ids = batch.column("doc_id").drop_null().to_numpy(zero_copy_only=False)
+            number, at = np.unique(np.searchsorted(np.array(bounds, np.int64), ids), return_inverse=True)
+            low = np.full(len(number), np.iinfo(np.int64).max)
+            np.minimum.at(low, at, ids)
+            gap = [(0, None)] if batch.column("doc_id").null_count else []
+            yield from in_batches([*zip(number.tolist(), low.tolist()), *gap], FIRST)
+
+    # one row per range comes to the driver
+    found = docs.select("doc_id").mapInArrow(least, "range int, least long").groupBy("range")
+    found = found.agg(F.min("least").alias("least"), F.max(F.col("least").isNull()).alias("gap")).collect()
+    firsts = sorted(((r["range"], None if r["gap"] else r["least"]) for r in found), key=lambda r: r[0])
     before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}  # the first one follows the last
 
     def deal(batches):
