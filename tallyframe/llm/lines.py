@@ -29,9 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.tables import cells_of, in_batches, packed, read, rows_of, unpacked, whole_text, with_cells, written
+from tallyframe.llm.tables import cells_of, in_batches, packed, read, rows_of, shuffle_partitions, unpacked, whole_text, with_cells, written
 
-LEAST_CHARS, LEAST_DOCS, SHARDS = 40, 5, 64
+LEAST_CHARS, LEAST_DOCS = 40, 5
+#: Shards at least; more where the session has more shuffle partitions, so that a filter stays small.
+SHARDS = 64
 GROUP_ROWS = 200_000
 SPACE = " \t\n\x0b\x0c\r"
 REFERENCES = pa.schema([("shard", pa.int32()), ("key", pa.binary()), ("doc_id", pa.int64())])
@@ -117,17 +119,18 @@ class Lines:
     references: DataFrame
     counts: DataFrame
     filters: DataFrame
+    shards: int
     least_docs: int = LEAST_DOCS
 
 
-def references(docs: DataFrame, least_chars: int = LEAST_CHARS, shards: int = SHARDS) -> DataFrame:
+def references(docs: DataFrame, shards: int, least_chars: int = LEAST_CHARS) -> DataFrame:
     """One row per document and different key."""
 
     def work(batches):
         def rows():
             for doc, text in rows_of(batches, "doc_id", "text"):
                 for key in {line_key(line, least_chars) for line in text.split("\n")} - {None}:
-                    yield key[0] % shards, key, doc
+                    yield int.from_bytes(key[:4]) % shards, key, doc
 
         yield from in_batches(rows(), REFERENCES, size=20_000)
 
@@ -154,11 +157,12 @@ def _built(counts: DataFrame, least_docs: int) -> DataFrame:
     return counts.filter(F.col("n_docs") >= least_docs).select("shard", "key").groupBy("shard").applyInArrow(work, "shard int, data binary")
 
 
-def build(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, shards: int = SHARDS) -> Lines:
+def build(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, shards: int | None = None) -> Lines:
     """The state of a first lot of documents."""
-    refs = written(references(docs, least_chars, shards), "line-references")
+    shards = shards or max(SHARDS, shuffle_partitions(docs.sparkSession))
+    refs = written(references(docs, shards, least_chars), "line-references")
     counts = written(counted(refs), "line-counts")
-    return Lines(refs, counts, written(_built(counts, least_docs), "line-filters"), least_docs)
+    return Lines(refs, counts, written(_built(counts, least_docs), "line-filters"), shards, least_docs)
 
 
 def _changed(state: Lines, counts: DataFrame) -> DataFrame:
@@ -180,13 +184,13 @@ def _changed(state: Lines, counts: DataFrame) -> DataFrame:
     return both.groupBy("shard").cogroup(state.filters.groupBy("shard")).applyInArrow(work, "shard int, data binary")
 
 
-def insert(state: Lines, docs: DataFrame, least_chars: int = LEAST_CHARS, shards: int = SHARDS) -> Lines:
+def insert(state: Lines, docs: DataFrame, least_chars: int = LEAST_CHARS) -> Lines:
     """The state with further documents; old references are not read again."""
-    more = written(references(docs, least_chars, shards), "line-references")
+    more = written(references(docs, state.shards, least_chars), "line-references")
     both = state.counts.unionByName(counted(more)).groupBy("shard", "key")
     counts = written(both.agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper")), "line-counts")
     filters = written(_changed(state, counts), "line-filters")
-    return Lines(state.references.unionByName(more), counts, filters, state.least_docs)
+    return Lines(state.references.unionByName(more), counts, filters, state.shards, state.least_docs)
 
 
 def delete(state: Lines, doc_ids: DataFrame) -> Lines:
@@ -194,7 +198,7 @@ def delete(state: Lines, doc_ids: DataFrame) -> Lines:
     gone = doc_ids.select(F.col("doc_id").cast("long").alias("gone")).distinct()
     refs = written(state.references.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti"), "line-references")
     counts = written(counted(refs), "line-counts")
-    return Lines(refs, counts, written(_changed(state, counts), "line-filters"), state.least_docs)
+    return Lines(refs, counts, written(_changed(state, counts), "line-filters"), state.shards, state.least_docs)
 
 
 def dropped(state: Lines) -> DataFrame:
