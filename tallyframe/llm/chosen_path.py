@@ -220,7 +220,7 @@ def by_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def linked_groups(marks: np.ndarray, least: int) -> np.ndarray:
-    """A number per row, equal for rows connected by pairs of signatures that agree in ``least`` places.
+    """The first row that each row is connected to by pairs of signatures that agree in ``least`` places.
 
     Every row that is reached is compared with the rows not reached yet, so a bucket of
     near copies takes one look at each.
@@ -243,7 +243,10 @@ def linked_groups(marks: np.ndarray, least: int) -> np.ndarray:
 
 
 def _candidate_edges(leaves: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) that connect the sets of every bucket whose signatures are near."""
+    """Edges (a, b) that connect the sets of every bucket whose signatures are near.
+
+    A group's edges go to its smallest set, so the buckets of one group mostly repeat them.
+    """
     least = math.ceil((similarity - MARGIN) * SIGNATURE)
     mark = sets.select("key", "mark")
     rows = in_blocks(leaves, "path", F.col("n"), "key", BUCKET_BLOCK).join(mark, "key").select("task", "key", "mark")
@@ -252,10 +255,12 @@ def _candidate_edges(leaves: DataFrame, sets: DataFrame, similarity: float) -> D
     def work(batches):
         def edges():
             for table in by_task(batches):
+                if table.num_rows < 2:
+                    continue
+                table = table.sort_by("key")
                 keys = table.column("key").to_pylist()
                 marks = np.frombuffer(b"".join(table.column("mark").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
-                label = linked_groups(marks, least) if len(keys) > 1 else []
-                for i, root in enumerate(label):
+                for i, root in enumerate(linked_groups(marks, least)):
                     if i != root:
                         yield keys[i], keys[root]
 
