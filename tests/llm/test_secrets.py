@@ -43,6 +43,35 @@ def test_battery_finds_random_tokens_and_leaves_words(spark):
     assert got[found[0]] == "random:4:48"
 
 
+def random_spans(spark, tokens):
+    rows = [(i, f"see {token} there") for i, token in enumerate(tokens)]
+    return [f"random:4:{4 + len(tokens[d])}" in spans for d, *_, spans in sorted(collected(S.scan(spark.createDataFrame(rows, "doc_id long, text string"))))]
+
+
+def test_lone_and_few_random_tokens_are_found(spark):
+    rng = random.Random(11)
+    draw = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    for signs, n in ((S.ENCODINGS[5][1], 44), (S.ENCODINGS[2][1], 32), (S.ENCODINGS[1][1], 40)):
+        for many in (1, 2, 5):
+            assert all(random_spans(spark, [draw(signs, n) for _ in range(many)]))
+
+
+def test_random_tokens_are_found_whatever_shares_their_class(spark):
+    rng = random.Random(12)
+    keys = ["".join(rng.choice(S.ENCODINGS[5][1]) for _ in range(44)) for _ in range(300)]
+    syllables = ["get", "User", "name", "From", "table", "Count", "Index", "read", "List", "verlich", "heit"]
+    names = ["/".join("".join(rng.choice(syllables) for _ in range(3)) for _ in range(4))[:44] for _ in range(600)]
+    alone, among = random_spans(spark, keys), random_spans(spark, keys + names)
+    assert alone == among[:300] and sum(alone) >= 297
+    assert not any(among[300:])
+
+
+def test_ordinary_tokens_that_pass_the_battery_are_left(spark):
+    # ten and more tokens of one class at p >= 0.5 were let through whatever they are
+    names = ["__GetRawExtensionKeys", "TYPE_PARAMS_OF_ListOrSet", "DOM2-Traversal-Range", "nameset-DOT_ATOM_ENDS"] * 3
+    assert not any(random_spans(spark, names))
+
+
 def test_empty_table(no_docs):
     assert collected(S.scan(no_docs)) == []
 
