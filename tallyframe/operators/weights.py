@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import math
 from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.functions.numbers import floor_bin, ratio
 from tallyframe.operators.attach import same_key
 from tallyframe.session import materialise
 
-#: Digits after the point with which weights are summed; finer parts of a weight are rounded.
-WEIGHT_DIGITS = 6
+#: Weights are summed in whole units of a power of ten in which the largest has so many digits.
+WEIGHT_DIGITS = 20
+#: With ``interpolate`` a weight counts copies; their parts have so many digits.
+COPY_DIGITS = 6
 CELLS_PER_OCTAVE = 64
-TARGET = "decimal(38,12)"
+#: A cell with more different values than HEAVY is cut into FINER parts before it is put in order.
+HEAVY, FINER = 1_000_000, 4096
+TARGET = "decimal(38,6)"
 
 
 def weighted_mean(x: Column, w: Column) -> Column:
@@ -76,23 +82,24 @@ def weighted_quantiles(
     The table is read twice.  First weights are summed by group and cell of an
     ordered scale (``scale_cell``), which combines before the shuffle; the cells are
     written, and from them follows the cell that holds each answer.  Then only the
-    rows of those cells are read again, summed by value and put in order.  Weights
-    are summed as decimals with ``WEIGHT_DIGITS`` digits after the point, so running
-    sums are exact and compare without a tolerance.
+    rows of those cells are read again, summed by value and put in order; a cell of very
+    many values is cut finer first.  Weights are summed as whole units (``_units``), so
+    running sums are exact and compare without a tolerance; for weights that are not
+    whole numbers one more read finds the unit.
     """
     if not by:
         whole = weighted_quantiles(df.withColumn("__all", F.lit(1)), ["__all"], value, weight, probs, interpolate)
         return whole.drop("__all")
-    w = F.lit(1) if weight is None else F.col(weight)
     x = F.col(value).cast("double")
-    rows = df.select(*by, x.alias("__x"), F.when(x.isNotNull(), w).cast(f"decimal(20,{WEIGHT_DIGITS})").alias("__w"))
+    w, unit = _units(df.filter(x.isNotNull()), weight, interpolate)
+    rows = df.select(*by, x.alias("__x"), F.when(x.isNotNull(), w).alias("__w"))
     cells = rows.groupBy(*by, F.when(F.col("__w").isNotNull(), scale_cell(F.col("__x"))).alias("__cell"))
     cells = materialise(cells.agg(F.sum("__w").alias("__w")), "cells")
     group = Window.partitionBy(*by)
     run = group.orderBy(F.col("__cell").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     own = F.coalesce("__w", F.lit(0))
     ends = cells.select(*by, "__cell", F.sum(own).over(run).alias("__end"), F.sum("__w").over(group).alias("__total"), own.alias("__own"))
-    wanted = _positions(probs, interpolate)
+    wanted = _positions(probs, interpolate, unit)
     marks = F.array(*[F.struct(F.lit(n).alias("name"), t.alias("target")) for n, t in wanted.items()])
     reached = ends.filter(F.col("__cell").isNotNull()).select(
         *by, "__cell", "__end", (F.col("__end") - F.col("__own")).alias("__before"), F.col("__total"), F.inline(marks)
@@ -100,17 +107,15 @@ def weighted_quantiles(
     reached = reached.filter((F.col("__total") > 0) & (F.col("__end") >= F.col("target")))
     first = F.min(F.struct("__cell", "__before", "target")).alias("__at")
     holds = materialise(reached.groupBy(*by, "name").agg(first).select(*by, "name", "__at.*"), "held")
-    near = holds.groupBy(*[F.col(k).alias(f"__c_{k}") for k in by], F.col("__cell").alias("__c_cell")).agg(
-        F.first("__before").alias("__before"), F.collect_list(F.struct("name", "target")).alias("__marks")
-    )
-    cell = scale_cell(F.col("__x"))
-    on = same_key([F.col(k) for k in by], [F.col(f"__c_{k}") for k in by]) & (cell == F.col("__c_cell"))
+    holds = holds.withColumnRenamed("__cell", "__at")
     # the cells asked for are a few per group; their rows are summed by value before the shuffle
-    inside = rows.filter(F.col("__w").isNotNull()).join(near, on).groupBy(*by, "__c_cell", "__x")
-    inside = inside.agg(F.sum("__w").alias("__w"), F.first("__before").alias("__before"), F.first("__marks").alias("__marks"))
-    order = Window.partitionBy(*by, "__c_cell").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("__end", F.col("__before") + F.sum("__w").over(order))
-    hits = inside.select(*by, "__x", "__end", F.inline("__marks")).filter(F.col("__end") >= F.col("target"))
+    inside = rows.filter(F.col("__w").isNotNull()).withColumn("__at", scale_cell(F.col("__x")))
+    inside = _kept(inside, holds, by).groupBy(*by, "__at", "__x").agg(F.sum("__w").alias("__w"))
+    inside = materialise(inside, "inside")
+    while not (heavy := _heavy(inside, by)).isEmpty():
+        inside, holds = _finer(inside, holds, heavy, by)
+    order = Window.partitionBy(*by, "__at").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    hits = _reached(inside.withColumn("__run", F.sum("__w").over(order)), holds, by)
     found = hits.groupBy(*by).agg(*[F.min(F.when(F.col("name") == n, F.col("__x"))).alias(n) for n in wanted])
     groups = cells.groupBy(*[F.col(k).alias(f"__g_{k}") for k in by]).agg(F.sum("__w").alias("__total"))
     both = groups.join(found, same_key([F.col(f"__g_{k}") for k in by], [F.col(k) for k in by]), "left")
@@ -119,8 +124,7 @@ def weighted_quantiles(
         return both.select(*keys, *probs)
     out = []
     for name, q in probs.items():
-        position = _exact(q) * (F.col("__total") - 1) + 1
-        part = (position - F.floor(position)).cast("double")
+        part = F.pmod(_position(q, unit), unit).cast("double") / unit.cast("double")
         out.append(((1 - part) * F.col(f"{name}|lo") + part * F.col(f"{name}|hi")).alias(name))
     return both.select(*keys, *out)
 
@@ -137,16 +141,90 @@ def _exact(q: float) -> Column:
     return F.lit(Decimal(repr(float(q))))
 
 
-def _positions(probs: dict[str, float], interpolate: bool) -> dict[str, Column]:
+def _units(df: DataFrame, weight: str | None, copies: bool) -> tuple[Column, Column]:
+    """The weight in whole units, and how many units a weight of 1 has where weights count copies.
+
+    The unit is a power of ten in which the largest weight has ``WEIGHT_DIGITS`` digits (or,
+    for ``copies``, ``COPY_DIGITS`` digits after the point), so it fits weights of any size.
+    Whole numbers are their own units.  A weight that is not 0 but would round to 0, or one
+    that does not fit, is an error.  NaN and infinite weights count as unknown.
+    """
+    kind, one = f"decimal({WEIGHT_DIGITS + 2},0)", F.lit(1).cast("decimal(1,0)")
+    if weight is None:
+        return F.lit(1).cast(kind), one
+    if isinstance(df.schema[weight].dataType, T.IntegralType):
+        return F.col(weight).cast(kind), one
+    size = F.abs(F.col(weight).cast("double"))
+    size = F.when(size < float("inf"), size)
+    ends = df.agg(F.max(size).alias("most"), F.min(F.when(size > 0, size)).alias("least")).first()
+    least, most = (math.log10(e) if e else 0.0 for e in (ends["least"], ends["most"]))
+    shift = COPY_DIGITS if copies else WEIGHT_DIGITS - 1 - math.floor(most)
+    if least + shift < math.log10(0.5) or most + shift > WEIGHT_DIGITS + 1:
+        raise ValueError(f"weights of {weight} from {ends['least']} to {ends['most']} do not fit sums in units of 1e{-shift}")
+    text = F.col(weight).cast("string")
+    power = F.when(F.instr(text, "E") > 0, F.substring_index(text, "E", -1)).otherwise("0").try_cast("int") + shift
+    units = F.concat(F.substring_index(text, "E", 1), F.lit("E"), power.cast("string")).try_cast(kind)
+    return units, F.lit(Decimal(10**COPY_DIGITS)) if copies else one
+
+
+def _kept(rows: DataFrame, holds: DataFrame, by: list[str]) -> DataFrame:
+    """The rows (group, __at) of the cells that hold an answer."""
+    near = holds.select(*[F.col(k).alias(f"__c_{k}") for k in by], F.col("__at").alias("__c_at")).distinct()
+    on = same_key([F.col(k) for k in by], [F.col(f"__c_{k}") for k in by]) & (F.col("__at") == F.col("__c_at"))
+    return rows.join(near, on, "left_semi")
+
+
+def _reached(sums: DataFrame, holds: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of each cell at which a target of the cell is reached; __run is the running weight inside the cell."""
+    marks = holds.groupBy(*[F.col(k).alias(f"__c_{k}") for k in by], F.col("__at").alias("__c_at")).agg(
+        F.first("__before").alias("__before"), F.collect_list(F.struct("name", "target")).alias("__marks")
+    )
+    on = same_key([F.col(k) for k in by], [F.col(f"__c_{k}") for k in by]) & (F.col("__at") == F.col("__c_at"))
+    both = sums.join(marks, on).withColumn("__end", F.col("__before") + F.col("__run"))
+    both = both.select(*sums.columns, "__end", F.inline("__marks"))
+    return both.filter(F.col("__end") >= F.col("target"))
+
+
+def _heavy(inside: DataFrame, by: list[str]) -> DataFrame:
+    """Cells of more than ``HEAVY`` different values, with the smallest and the largest."""
+    ends = inside.groupBy(*by, "__at").agg(F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    ends = ends.filter((F.col("__n") > HEAVY) & (F.col("__lo") < F.col("__hi")))
+    names = {**{k: f"__h_{k}" for k in by}, "__at": "__h_at"}
+    return materialise(ends.withColumnsRenamed(names), "heavy")
+
+
+def _finer(inside: DataFrame, holds: DataFrame, heavy: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``inside`` and ``holds`` with heavy cells cut into ``FINER`` equal parts, others left whole."""
+    on = same_key([F.col(k) for k in by], [F.col(f"__h_{k}") for k in by]) & (F.col("__at") == F.col("__h_at"))
+    part = F.floor((F.col("__x") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * (FINER - 1)).cast("int")
+    # heavy cells are at most a millionth of the rows
+    cut = inside.join(F.broadcast(heavy), on, "left").select(*inside.columns, F.coalesce(part, F.lit(0)).alias("__part"))
+    order = Window.partitionBy(*by, "__at").orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
+    sums = cut.groupBy(*by, "__at", "__part").agg(F.sum("__w").alias("__w"))
+    ends = _reached(sums.withColumn("__run", F.sum("__w").over(order)), holds, by)
+    first = F.min(F.struct("__part", (F.col("__end") - F.col("__w")).alias("__before"), "target")).alias("__first")
+    ends = ends.groupBy(*by, "__at", "name").agg(first)
+    inner = F.struct(F.col("__at").alias("cell"), F.col("__first.__part").alias("part")).alias("__at")
+    holds = materialise(ends.select(*by, "name", inner, "__first.__before", "__first.target"), "held")
+    cut = cut.withColumn("__at", F.struct(F.col("__at").alias("cell"), F.col("__part").alias("part"))).drop("__part")
+    return materialise(_kept(cut, holds, by), "inside"), holds
+
+
+def _position(q: float, unit: Column) -> Column:
+    """1 + (total - 1) q, in units."""
+    return _exact(q) * (F.col("__total") - unit).cast("decimal(32,0)") + unit
+
+
+def _positions(probs: dict[str, float], interpolate: bool, unit: Column) -> dict[str, Column]:
     """The running weights to look for, in terms of the group's total."""
     total, out = F.col("__total"), {}
     for name, q in probs.items():
         if interpolate:
-            low = F.greatest(F.floor(_exact(q) * (total - 1) + 1), F.lit(1).cast("decimal(20,0)"))
+            low = F.greatest(_position(q, unit) - F.pmod(_position(q, unit), unit), unit)
             out[f"{name}|lo"] = low.cast(TARGET)
-            out[f"{name}|hi"] = F.least(low + 1, total).cast(TARGET)
+            out[f"{name}|hi"] = F.least(low + unit, total).cast(TARGET)
         else:
-            out[name] = (_exact(q) * total).cast(TARGET)
+            out[name] = (_exact(q) * total.cast("decimal(32,0)")).cast(TARGET)
     return out
 
 

@@ -156,3 +156,41 @@ def test_quantiles_without_groups_and_with_nulls(spark):
     assert weighted_quantiles(df, [], "x", "w", {"m": 0.5, "t": 0.9}).collect() == [(1.0, 3.0)]
     one = spark.createDataFrame([(4.0,)], "x double")
     assert weighted_quantiles(one, [], "x", None, {"m": 0.5}, interpolate=True).collect() == [(4.0,)]
+
+
+@pytest.mark.parametrize("scale", [1e-9, 1e-7, 3e-300, 1.0, 1e15, 1e250])
+def test_weights_of_any_size(spark, scale):
+    rows = [("a", float(i), scale * (1 + i % 5)) for i in range(1, 101)] + [("b", 1.0, scale), ("b", 2.0, scale * 1e-6)]
+    df = spark.createDataFrame(rows, "k string, x double, w double")
+    got = {r.k: (r.p, r.m) for r in weighted_quantiles(df, ["k"], "x", "w", {"p": 0.25, "m": 1.0}).collect()}
+    assert got == {"a": (25.0, 100.0), "b": (1.0, 2.0)}
+
+
+def test_weights_that_fit_no_common_unit_are_an_error(spark):
+    df = spark.createDataFrame([(1.0, 1e-30), (2.0, 1.0)], "x double, w double")
+    with pytest.raises(ValueError, match="do not fit"):
+        weighted_quantiles(df, [], "x", "w", {"m": 0.5})
+
+
+def test_a_cell_of_many_values_is_cut_finer(spark, monkeypatch):
+    from tallyframe.operators import weights
+
+    sizes = []
+    finer = weights._finer
+
+    def seen(inside, holds, heavy, by):
+        out = finer(inside, holds, heavy, by)
+        sizes.append((inside.groupBy("k", "__at").count().agg(F.max("count")).first()[0], out[0].groupBy("k", "__at").count().agg(F.max("count")).first()[0]))
+        return out
+
+    monkeypatch.setattr(weights, "HEAVY", 20)
+    monkeypatch.setattr(weights, "FINER", 8)
+    monkeypatch.setattr(weights, "_finer", seen)
+    rows = [(k, 1.7e9 + i * i, float(1 + i % 3)) for i in range(1000) for k in ("a", None)] + [("b", 5.0, 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double, w double")
+    probs = {"least": 0.0, "p10": 0.1, "p50": 0.5, "most": 1.0}
+    got = weighted_quantiles(df, ["k"], "x", "w", probs).collect()
+    pairs = [(x, w) for k, x, w in rows if k == "a"]
+    want = tuple(quantile(pairs, q) for q in probs.values())
+    assert {r.k: tuple(r)[1:] for r in got} == {"a": want, None: want, "b": (5.0,) * 4}
+    assert len(sizes) > 1 and sizes[-1][1] <= 20 < sizes[0][0]
