@@ -35,7 +35,8 @@ from tallyframe.session import new_path
 
 END, HEAD = b"\r\n\r\n", b"WARC/1."
 MEMBER = b"\x1f\x8b\x08"
-FILE_RECORDS, LEAST_REVISIT, MOST_HEADER = 2000, 0, 1 << 16
+FILE_RECORDS, LEAST_REVISIT = 2000, 0
+ONCE = {"warc-type", "warc-record-id", "warc-date", "content-length"}  # twice in a header: two records have run together
 ID = "urn:x-page:"
 DATE = "2000-01-01T00:00:00Z"
 FIELDS = (
@@ -85,7 +86,8 @@ def parse(data: bytes, at: int) -> tuple[int, dict]:
     """The record that starts at ``at`` and the place after it; raises Damaged."""
     if data[at : at + len(HEAD)] != HEAD:
         raise Damaged("no version line")
-    close = data.find(END, at, at + MOST_HEADER)
+    following = data.find(b"\n" + HEAD, at)
+    close = data.find(END, at, following + 1 if following >= 0 else len(data))
     if close < 0:
         raise Damaged("header without end")
     lines = data[at:close].decode("utf-8", "replace").split("\r\n")
@@ -94,9 +96,10 @@ def parse(data: bytes, at: int) -> tuple[int, dict]:
         name, colon, value = line.partition(":")
         if not colon or not name.strip():
             raise Damaged("header line without a name")
-        if HEAD.decode() in value and name.strip().lower() != "warc-target-uri" or value.endswith(("WARC/1.0", "WARC/1.1")):
+        name = name.strip().lower()
+        if (HEAD.decode() in value and name != "warc-target-uri") or (name in ONCE and name in fields):
             raise Damaged("header runs into another record")
-        fields.setdefault(name.strip().lower(), value.strip())
+        fields.setdefault(name, value.strip())
     length = fields.get("content-length", "")
     if not (length.isascii() and length.isdigit() and len(length) < 19):
         raise Damaged("no length")
@@ -229,5 +232,8 @@ def write_archives(pages: DataFrame, path: str, least_revisit: int = LEAST_REVIS
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "llm-warc")
     write_archives(read(spark, sf_dir, "pages"), path)
-    found = read_archives(spark, path, payloads=False).filter(F.col("kind") == "record")
+    found = read_archives(spark, path, payloads=False)
+    # a gap in archives that were just written is lost pages
+    gap = F.concat(F.lit("gap in a written archive: "), F.concat_ws(" ", "archive", "start", "length", "reason"))
+    found = found.filter(F.when(F.col("kind") == "record", True).otherwise(F.raise_error(gap).cast("boolean")))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

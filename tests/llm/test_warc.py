@@ -86,3 +86,31 @@ def test_salvage_recovers_what_is_sound():
 def test_junk_alone():
     assert [r[:3] for r in W.salvaged(b"no archive")] == [("gap", 0, 10)] and list(W.salvaged(b"")) == []
     assert [r[0] for r in W.salvaged(b"".join(archive(2, False))[:-3])] == ["record", "gap"]
+
+
+def test_very_long_urls_and_urls_that_end_in_a_version_line(spark, monkeypatch):
+    rows = [(1, "http://x/" + "\u6f22" * 30000, "a"), (2, "http://x/WARC/1.0", "b"), (3, "http://x/WARC/1.1", "c"), (4, "WARC/1.1", "a")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((r["kind"], r["page_id"]) for r in round_trip(spark, df)) == [("record", i) for i in (1, 2, 3, 4)]
+    monkeypatch.setattr(W, "read", lambda *_: df)
+    assert sorted(r[0] for r in collected(W.op3_warc(spark, ""))) == [1, 2, 3, 4]
+
+
+def test_a_url_that_runs_into_another_record_is_damage():
+    one, two = archive(2, False)
+    cut = one.index(b"http://x/0") + 8
+    found = list(W.salvaged(one[:cut] + two + one))
+    # the cut record's id must not be given to the page behind it
+    assert [(f[0], f[4].get("page_id")) for f in found] == [("gap", None), ("record", 1), ("record", 0)]
+
+
+def test_query_fails_when_a_written_page_is_not_read(spark, monkeypatch):
+    import pytest
+
+    path = new_path(spark, "test-warc-gap")
+    W.write_archives(pages(spark), path)
+    spark.createDataFrame([("no archive",)], "value string").coalesce(1).write.mode("append").text(path)
+    monkeypatch.setattr(W, "new_path", lambda *_: path)
+    monkeypatch.setattr(W, "write_archives", lambda *_: None)
+    with pytest.raises(Exception, match="gap in a written archive"):
+        W.op3_warc(spark, "/root/testdata/sf0.001").collect()
