@@ -10,8 +10,8 @@ is certain.
 
 Queries and vectors meet in blocks: a task gets up to ``QUERIES_A_TASK`` blocks of queries
 and ``BLOCKS_A_TASK`` blocks of approximations, so each approximation travels once for every
-16,384 queries.  Of equal vectors only the k + 1 smallest ids can be results, so the rest
-is left out before the scan, wherever its rows are, without gathering them.
+16,384 queries.  Of equal vectors only the k + 1 smallest different ids, and k rows of each,
+can be results, so the rest is left out before the scan, wherever its rows are, without gathering them.
 
 Defined cases: rows without id or vector, and vectors that hold null, NaN or infinity take
 no part; only vectors of equal length meet; empty vectors score 0; rows that repeat an id
@@ -109,10 +109,10 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
 
     Both tables have vec_id and embedding.
     """
-    # equal vectors: partial ranks keep k + 1 of them in every task before the exchange
-    same = Window.partitionBy("v").orderBy("vec_id")
-    base = scaled(vectors)
-    base = written(base.withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1).drop("n"), "vectors")
+    # equal vectors: partial ranks keep k rows of an id and k + 1 ids (one may be the query's) in every task before the exchanges
+    own, same = Window.partitionBy("v", "vec_id").orderBy("dim"), Window.partitionBy("v").orderBy("vec_id")
+    base = scaled(vectors).withColumn("n", F.row_number().over(own)).filter(F.col("n") <= k)
+    base = written(base.withColumn("n", F.dense_rank().over(same)).filter(F.col("n") <= k + 1).drop("n"), "vectors")
     asked = written(scaled(queries).distinct(), "vector-queries")
     ends = base.agg(F.min(F.array_min("v")).alias("low"), F.max(F.array_max("v")).alias("high"), F.count(F.lit(1)).alias("n")).first()
     n_queries = asked.count()

@@ -42,3 +42,12 @@ def test_many_small_blocks(spark, monkeypatch, size):
     monkeypatch.setattr(V, "QUERY_BLOCK", 5)
     vectors = read(spark, "/root/testdata/sf0.001", "embeddings")
     assert sorted(found(vectors)) == sorted(by_sql(vectors))
+
+
+def test_rows_that_repeat_a_query_leave_room_for_equal_vectors(spark):
+    rows = [(50, [0.9, 0.8], 0, 0)] * 12 + [(51, [0.9, 0.8], 0, 0)] + [(52, [0.9, 0.8], 0, 0)] * 9 + [(i, [0.1, 0.2], 0, 0) for i in range(60, 70)]
+    vectors = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = sorted({r for r in found(vectors) if r[0] == 50})
+    assert [r[2] for r in got] == [51, 52, 52, 52, 52]
+    others = vectors.filter("vec_id <> 50").union(vectors.filter("vec_id = 50").limit(1))
+    assert got == sorted(r for r in by_sql(others) if r[0] == 50)
