@@ -6,8 +6,8 @@ their own; what remains is placed by the dot-product heuristic: into the open se
 goes the piece that fits and whose needs, as shares of the limits, have the largest
 product with the room that is left.  If none fits, the piece that is largest is cut to
 the gap.  Every task packs its own rows, so nothing is shuffled, and no document is
-larger than its task's memory.  The last open sequence of a task is cut into powers of
-two, which need no padding.
+larger than its task's memory.  The last open sequence of a task, and any that another
+limit closes before it is full, is cut into powers of two, which need no padding.
 
 Defined cases: a null text is an empty text and has the closing id alone; null and
 repeated document ids are packed like others; an empty table gives no rows; other
@@ -166,6 +166,12 @@ def pack_examples(examples: Iterator[tuple], tokens: int, segments: int, loss: i
             yield p.doc, p.start, len(p.ids), zlib.crc32(p.ids.astype("<u4").tobytes()), p.total, number, offset
             offset += len(p.ids)
 
+    def parts(sequences: list[list[Piece]]) -> Iterator[list[Piece]]:
+        """Full sequences as they are; one closed by another limit than ``tokens`` would be padded."""
+        for sequence in sequences:
+            full = sum(len(p.ids) for p in sequence) == tokens
+            yield from [sequence] if full else in_powers(sequence)
+
     for doc, ids, mask in examples:
         whole, total = Piece(doc, 0, ids, mask, len(ids)), len(ids)
         while len(whole.ids) >= tokens and int(whole.loss[:tokens].sum()) <= loss:
@@ -176,15 +182,13 @@ def pack_examples(examples: Iterator[tuple], tokens: int, segments: int, loss: i
             pool.append(whole)
         if len(pool) >= POOL:
             done, pool = fill(pool, limits, last=False)
-            for sequence in done:
-                yield from rows(sequence)
+            for part in parts(done):
+                yield from rows(part)
                 number += 1
     done, _ = fill(pool, limits, last=True)
-    for sequence in done:
-        full = sum(len(p.ids) for p in sequence) == tokens
-        for part in [sequence] if full else in_powers(sequence):
-            yield from rows(part)
-            number += 1
+    for part in parts(done):
+        yield from rows(part)
+        number += 1
 
 
 def pack(

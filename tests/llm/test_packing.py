@@ -71,3 +71,19 @@ def test_special_strings_and_long_runs():
     tok = P.ByteTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
     for text in ("a<|endoftext|>b", "x" * 5000, " " * 4000 + "q", "naïve 🙂\n\n  two", "'s 'LL don't", "   x"):
         assert tok.ids(text).tolist() == tok.exact.encode(text, add_special_tokens=False).ids
+
+
+def test_sequences_closed_by_segments_need_no_padding():
+    import numpy as np
+
+    from tallyframe.llm import packing
+
+    examples = [(i, np.arange(5, dtype=np.uint32), np.ones(5, np.uint8)) for i in range(3 * packing.POOL)]
+    rows = list(packing.pack_examples(iter(examples), 1024, 128, 1024))
+    assert sum(r[2] for r in rows) == 5 * len(examples)
+    pieces, lengths = {}, {}
+    for row in rows:
+        pieces[row[5]] = pieces.get(row[5], 0) + 1
+        lengths[row[5]] = lengths.get(row[5], 0) + row[2]
+    assert max(pieces.values()) <= 128
+    assert all(n & (n - 1) == 0 for n in lengths.values())
