@@ -1,4 +1,4 @@
-"""Removal of byte strings that occur more than once, by longest-previous-factor arrays.
+"""Removal of byte strings that occur more than once, by equal hashes per anchor.
 
 A byte goes if it lies in a string of ``SIZE`` bytes that starts somewhere else as well.
 Suffixes of the whole table cannot be sorted in one place, so they are dealt out first:
@@ -10,11 +10,10 @@ one short range; the bytes they span are its context.
 * Anchors that occur once are done.  Contexts that occur several times whole are repeated
   whole, whatever their number; they are only counted.
 * Where an anchor has different contexts, one copy of each goes to the anchor's task.  There
-  the suffixes that start an owned string are brought into suffix order, read as symbols of
-  a quarter of ``SIZE`` bytes, earlier positions first among equal ones.  In that order the
-  previous smaller position of a suffix that shares SIZE bytes with an earlier one is the
-  suffix before it, and the next larger one the suffix after it: so the factor arrays say
-  for every string whether it occurs earlier, and whether later.
+  the owned strings are sorted as four hashes of a quarter of ``SIZE`` bytes each, earlier
+  positions first among equal ones.  Equal neighbours then say for every string whether it
+  occurs earlier, and whether later.  This is no suffix order, and the lengths of the
+  longest previous factors are not computed.
 * An anchor with more than ``HOT`` different contexts does not go to one task: its strings
   are counted one by one by a 128-bit hash, which is summed before the exchange.
 
