@@ -242,9 +242,8 @@ def onset_profile(history: DataFrame, agent: str, period: str, state: str, cons:
         None,
         {"onset_drop_25th": 0.25, "onset_drop_50th": 0.5, "onset_drop_75th": 0.75},
         interpolate=True,
+        means={"onset_drop_mean": (F.col("onset_drop"), F.lit(1))},
     )
     return means.select(
         F.concat(F.lit("cbar_"), F.col(state).cast("string")).alias("statistic"), "value"
-    ).unionByName(drops.unpivot([], drops.columns, "statistic", "value")).unionByName(
-        dropped.agg(F.avg("onset_drop").alias("value")).select(F.lit("onset_drop_mean").alias("statistic"), "value")
-    )
+    ).unionByName(drops.unpivot([], drops.columns, "statistic", "value"))

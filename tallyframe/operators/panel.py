@@ -24,7 +24,7 @@ from tallyframe.functions.numbers import (
 )
 from tallyframe.functions.text import pasted, repaired_code
 from tallyframe.operators.attach import attach
-from tallyframe.operators.weights import weighted_means, weighted_quantiles
+from tallyframe.operators.weights import weighted_quantiles
 from tallyframe.session import materialise
 
 AGE_BIN = 10
@@ -265,7 +265,8 @@ def representativeness_table(
 
     ``median`` is (new name, column).  ``scaled`` (cohort, new label, factor,
     measures) adds a variant row whose listed means are scaled; it has no median.
-    The start rows, one per entity and cohort, are written once for both statistics.
+    The start rows, one per entity and cohort, are written once; one scan of them gives the
+    means and the cells of the median, a second one the few rows around the median.
     """
     at_start = stack.filter(F.col(period) == F.col("start_date"))
     rows = materialise(
@@ -274,9 +275,8 @@ def representativeness_table(
         ),
         "starts",
     )
-    means = weighted_means(rows, ["key"], list(measures), weight)
-    medians = weighted_quantiles(rows, ["key"], "__median", weight, {median[0]: 0.5})
-    table = means.join(medians, "key", "left").select("key", median[0], *measures)
+    means = {n: (F.col(n), F.col(weight)) for n in measures}
+    table = weighted_quantiles(rows, ["key"], "__median", weight, {median[0]: 0.5}, means=means).select("key", median[0], *measures)
     if scaled is None:
         return table
     cohort, label, factor, names = scaled

@@ -71,6 +71,7 @@ def weighted_quantiles(
     weight: str | None,
     probs: dict[str, float],
     interpolate: bool = False,
+    means: dict[str, tuple[Column, Column]] | None = None,
 ) -> DataFrame:
     """Quantiles per group as columns named by ``probs``.
 
@@ -78,27 +79,45 @@ def weighted_quantiles(
     total; probability 0 gives the smallest value.  ``interpolate`` reads position
     1 + (total - 1) q between the two neighbouring order statistics, which for unit
     weights is the usual linear percentile.  A group without values or weight has NULL.
+    ``means`` are weighted means {name: (value, weight)} over all rows of the group,
+    carried in the first read.
 
     The table is read twice.  First weights are summed by group and cell of an
     ordered scale (``scale_cell``), which combines before the shuffle; the cells are
-    written, and from them follows the cell that holds each answer.  Then only the
-    rows of those cells are read again, summed by value and put in order; a cell of very
-    many values is cut finer first.  Weights are summed as whole units (``_units``), so
-    running sums are exact and compare without a tolerance; for weights that are not
-    whole numbers one more read finds the unit.
+    written, and from them follow the unit of the sums and the cell that holds each
+    answer.  Then only the rows of those cells are read again, summed by value and put
+    in order; where a cell has very many rows they are written, and cut finer if they
+    have very many values.  Weights are summed as whole units (``_units``), so running
+    sums are exact and compare without a tolerance.
     """
     if not by:
-        whole = weighted_quantiles(df.withColumn("__all", F.lit(1)), ["__all"], value, weight, probs, interpolate)
+        whole = weighted_quantiles(df.withColumn("__all", F.lit(1)), ["__all"], value, weight, probs, interpolate, means)
         return whole.drop("__all")
     x = F.col(value).cast("double")
-    w, unit = _units(df.filter(x.isNotNull()), weight, interpolate)
-    rows = df.select(*by, x.alias("__x"), F.when(x.isNotNull(), w).alias("__w"))
-    cells = rows.groupBy(*by, F.when(F.col("__w").isNotNull(), scale_cell(F.col("__x"))).alias("__cell"))
-    cells = materialise(cells.agg(F.sum("__w").alias("__w")), "cells")
+    w, exponent, size = _units(df, weight, interpolate)
+    known = x.isNotNull()
+    carried = {}
+    for name, (of, with_) in (means or {}).items():
+        carried[f"__{name}|sum"] = of.cast("double") * with_.cast("double")
+        carried[f"__{name}|weight"] = F.when(of.isNotNull(), with_.cast("double"))
+    rows = df.select(
+        *by, x.alias("__x"), F.when(known, w).alias("__w"), F.when(known, exponent).alias("__e"), F.when(known, size).alias("__size"),
+        *[c.alias(n) for n, c in carried.items()],
+    )
+    cells = rows.groupBy(*by, F.when(F.col("__w").isNotNull(), scale_cell(F.col("__x"))).alias("__cell"), "__e")
+    cells = cells.agg(
+        F.sum("__w").alias("__w"), F.count("__w").alias("__n"), F.max("__size").alias("__most"),
+        F.min(F.when(F.col("__size") > 0, F.col("__size"))).alias("__least"), *[F.sum(f"`{n}`").alias(n) for n in carried],
+    )
+    cells = materialise(cells, "cells")
+    top, unit, most_rows = _settled(cells, weight, interpolate)
+    in_units = _in_units(top)
+    rows = rows.select(*by, "__x", in_units.alias("__w"))
+    sums = cells.groupBy(*by, "__cell").agg(F.sum(in_units).alias("__w"), *[F.sum(f"`{n}`").alias(n) for n in carried])
     group = Window.partitionBy(*by)
     run = group.orderBy(F.col("__cell").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     own = F.coalesce("__w", F.lit(0))
-    ends = cells.select(*by, "__cell", F.sum(own).over(run).alias("__end"), F.sum("__w").over(group).alias("__total"), own.alias("__own"))
+    ends = sums.select(*by, "__cell", F.sum(own).over(run).alias("__end"), F.sum("__w").over(group).alias("__total"), own.alias("__own"))
     wanted = _positions(probs, interpolate, unit)
     marks = F.array(*[F.struct(F.lit(n).alias("name"), t.alias("target")) for n, t in wanted.items()])
     reached = ends.filter(F.col("__cell").isNotNull()).select(
@@ -106,27 +125,27 @@ def weighted_quantiles(
     )
     reached = reached.filter((F.col("__total") > 0) & (F.col("__end") >= F.col("target")))
     first = F.min(F.struct("__cell", "__before", "target")).alias("__at")
-    holds = materialise(reached.groupBy(*by, "name").agg(first).select(*by, "name", "__at.*"), "held")
-    holds = holds.withColumnRenamed("__cell", "__at")
+    holds = reached.groupBy(*by, "name").agg(first).select(*by, "name", "__at.*").withColumnRenamed("__cell", "__at")
     # the cells asked for are a few per group; their rows are summed by value before the shuffle
     inside = rows.filter(F.col("__w").isNotNull()).withColumn("__at", scale_cell(F.col("__x")))
     inside = _kept(inside, holds, by).groupBy(*by, "__at", "__x").agg(F.sum("__w").alias("__w"))
-    inside = materialise(inside, "inside")
-    while not (heavy := _heavy(inside, by)).isEmpty():
-        inside, holds = _finer(inside, holds, heavy, by)
-    order = Window.partitionBy(*by, "__at").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
-    hits = _reached(inside.withColumn("__run", F.sum("__w").over(order)), holds, by)
+    if most_rows > HEAVY:
+        holds, inside = materialise(holds, "held"), materialise(inside, "inside")
+        while not (heavy := _heavy(inside, by)).isEmpty():
+            inside, holds = _finer(inside, holds, heavy, by)
+    hits = _reached(inside, "__x", holds, by)
     found = hits.groupBy(*by).agg(*[F.min(F.when(F.col("name") == n, F.col("__x"))).alias(n) for n in wanted])
-    groups = cells.groupBy(*[F.col(k).alias(f"__g_{k}") for k in by]).agg(F.sum("__w").alias("__total"))
+    averages = [F.try_divide(F.sum(f"`__{n}|sum`"), F.sum(f"`__{n}|weight`")).alias(n) for n in means or {}]
+    groups = sums.groupBy(*[F.col(k).alias(f"__g_{k}") for k in by]).agg(F.sum("__w").alias("__total"), *averages)
     both = groups.join(found, same_key([F.col(f"__g_{k}") for k in by], [F.col(k) for k in by]), "left")
     keys = [F.col(f"__g_{k}").alias(k) for k in by]
     if not interpolate:
-        return both.select(*keys, *probs)
+        return both.select(*keys, *probs, *(means or {}))
     out = []
     for name, q in probs.items():
         part = F.pmod(_position(q, unit), unit).cast("double") / unit.cast("double")
         out.append(((1 - part) * F.col(f"{name}|lo") + part * F.col(f"{name}|hi")).alias(name))
-    return both.select(*keys, *out)
+    return both.select(*keys, *out, *(means or {}))
 
 
 def scale_cell(x: Column) -> Column:
@@ -141,30 +160,49 @@ def _exact(q: float) -> Column:
     return F.lit(Decimal(repr(float(q))))
 
 
-def _units(df: DataFrame, weight: str | None, copies: bool) -> tuple[Column, Column]:
-    """The weight in whole units, and how many units a weight of 1 has where weights count copies.
+def _units(df: DataFrame, weight: str | None, copies: bool) -> tuple[Column, Column, Column]:
+    """A row's weight in whole units of its own, the power of ten these units follow, and its size.
 
-    The unit is a power of ten in which the largest weight has ``WEIGHT_DIGITS`` digits (or,
-    for ``copies``, ``COPY_DIGITS`` digits after the point), so it fits weights of any size.
-    Whole numbers are their own units.  A weight that is not 0 but would round to 0, or one
-    that does not fit, is an error.  NaN and infinite weights count as unknown.
+    A weight that is no whole number is written with ``WEIGHT_DIGITS`` digits, so it is exact
+    whatever its size; sums of weights of one power are exact too, and are brought to the unit
+    of the largest one later (``_in_units``).  Where weights count ``copies`` the unit is fixed,
+    ``COPY_DIGITS`` digits after the point.  NaN and infinite weights count as unknown.
     """
-    kind, one = f"decimal({WEIGHT_DIGITS + 2},0)", F.lit(1).cast("decimal(1,0)")
+    kind, none = f"decimal({WEIGHT_DIGITS + 2},0)", F.lit(None).cast("int")
     if weight is None:
-        return F.lit(1).cast(kind), one
+        return F.lit(1).cast(kind), none, none.cast("double")
     if isinstance(df.schema[weight].dataType, T.IntegralType):
-        return F.col(weight).cast(kind), one
+        return F.col(weight).cast(kind), none, none.cast("double")
     size = F.abs(F.col(weight).cast("double"))
     size = F.when(size < float("inf"), size)
-    ends = df.agg(F.max(size).alias("most"), F.min(F.when(size > 0, size)).alias("least")).first()
-    least, most = (math.log10(e) if e else 0.0 for e in (ends["least"], ends["most"]))
-    shift = COPY_DIGITS if copies else WEIGHT_DIGITS - 1 - math.floor(most)
-    if least + shift < math.log10(0.5) or most + shift > WEIGHT_DIGITS + 1:
-        raise ValueError(f"weights of {weight} from {ends['least']} to {ends['most']} do not fit sums in units of 1e{-shift}")
     text = F.col(weight).cast("string")
-    power = F.when(F.instr(text, "E") > 0, F.substring_index(text, "E", -1)).otherwise("0").try_cast("int") + shift
+    power = F.when(F.instr(text, "E") > 0, F.substring_index(text, "E", -1)).otherwise("0").try_cast("int")
+    exponent = none if copies else F.floor(F.log10(size)).cast("int")
+    power = power + (F.lit(COPY_DIGITS) if copies else F.lit(WEIGHT_DIGITS - 1) - F.coalesce(exponent, F.lit(0)))
     units = F.concat(F.substring_index(text, "E", 1), F.lit("E"), power.cast("string")).try_cast(kind)
-    return units, F.lit(Decimal(10**COPY_DIGITS)) if copies else one
+    return units, exponent, size
+
+
+def _settled(cells: DataFrame, weight: str | None, copies: bool) -> tuple[int | None, Column, int]:
+    """The largest power of ten among weights, the units in a weight of 1 where weights count copies, and most rows of a cell.
+
+    A weight that is not 0 but would round to 0, or one that does not fit, is an error.
+    """
+    row = cells.agg(F.max("__e").alias("top"), F.max("__most").alias("most"), F.min("__least").alias("least"), F.max("__n").alias("n")).first()
+    unit = F.lit(Decimal(10**COPY_DIGITS)) if copies and row["most"] is not None else F.lit(1).cast("decimal(1,0)")
+    if row["least"] is not None:
+        shift = COPY_DIGITS if copies else WEIGHT_DIGITS - 1 - row["top"]
+        if math.log10(row["least"]) + shift < math.log10(0.5) or math.log10(row["most"]) + shift > WEIGHT_DIGITS + 1:
+            raise ValueError(f"weights of {weight} from {row['least']} to {row['most']} do not fit sums in units of 1e{-shift}")
+    return row["top"], unit, row["n"] or 0
+
+
+def _in_units(top: int | None) -> Column:
+    """``__w`` of power ``__e`` in units of the power ``top``; parts below a unit are rounded."""
+    if top is None:
+        return F.col("__w")
+    moved = F.concat(F.col("__w").cast("string"), F.lit("E"), (F.col("__e") - top).cast("string")).cast("decimal(38,0)")
+    return F.when(F.col("__e") < top, moved).otherwise(F.col("__w").cast("decimal(38,0)"))
 
 
 def _kept(rows: DataFrame, holds: DataFrame, by: list[str]) -> DataFrame:
@@ -174,15 +212,22 @@ def _kept(rows: DataFrame, holds: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(near, on, "left_semi")
 
 
-def _reached(sums: DataFrame, holds: DataFrame, by: list[str]) -> DataFrame:
-    """The rows of each cell at which a target of the cell is reached; __run is the running weight inside the cell."""
+def _reached(sums: DataFrame, order: str, holds: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of each cell at which a target of the cell is reached; __run is the running weight inside the cell.
+
+    A cell's last row always reaches it: parts of weights below a unit may round otherwise
+    here than in the cell's own sum.
+    """
+    cell = Window.partitionBy(*by, "__at")
+    run = F.sum("__w").over(cell.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    sums = sums.withColumns({"__run": run, "__last": F.max(order).over(cell)})
     marks = holds.groupBy(*[F.col(k).alias(f"__c_{k}") for k in by], F.col("__at").alias("__c_at")).agg(
         F.first("__before").alias("__before"), F.collect_list(F.struct("name", "target")).alias("__marks")
     )
     on = same_key([F.col(k) for k in by], [F.col(f"__c_{k}") for k in by]) & (F.col("__at") == F.col("__c_at"))
     both = sums.join(marks, on).withColumn("__end", F.col("__before") + F.col("__run"))
     both = both.select(*sums.columns, "__end", F.inline("__marks"))
-    return both.filter(F.col("__end") >= F.col("target"))
+    return both.filter((F.col("__end") >= F.col("target")) | (F.col(order) == F.col("__last")))
 
 
 def _heavy(inside: DataFrame, by: list[str]) -> DataFrame:
@@ -199,9 +244,8 @@ def _finer(inside: DataFrame, holds: DataFrame, heavy: DataFrame, by: list[str])
     part = F.floor((F.col("__x") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * (FINER - 1)).cast("int")
     # heavy cells are at most a millionth of the rows
     cut = inside.join(F.broadcast(heavy), on, "left").select(*inside.columns, F.coalesce(part, F.lit(0)).alias("__part"))
-    order = Window.partitionBy(*by, "__at").orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
     sums = cut.groupBy(*by, "__at", "__part").agg(F.sum("__w").alias("__w"))
-    ends = _reached(sums.withColumn("__run", F.sum("__w").over(order)), holds, by)
+    ends = _reached(sums, "__part", holds, by)
     first = F.min(F.struct("__part", (F.col("__end") - F.col("__w")).alias("__before"), "target")).alias("__first")
     ends = ends.groupBy(*by, "__at", "name").agg(first)
     inner = F.struct(F.col("__at").alias("cell"), F.col("__first.__part").alias("part")).alias("__at")
@@ -231,11 +275,8 @@ def _positions(probs: dict[str, float], interpolate: bool, unit: Column) -> dict
 def weighted_summary(df: DataFrame, weight: str, measures: list[str], probs: dict[str, float]) -> DataFrame:
     """Rows (measure, quantiles..., mean), rounded half-even to whole units."""
     long = df.unpivot([weight], measures, "measure", "__value")
-    quantiles = weighted_quantiles(long, ["measure"], "__value", weight, probs)
-    means = long.groupBy("measure").agg(weighted_mean(F.col("__value"), F.col(weight)).alias("mean"))
-    return quantiles.join(means, "measure").select(
-        "measure", *[F.bround(c, 0).alias(c) for c in [*probs, "mean"]]
-    )
+    both = weighted_quantiles(long, ["measure"], "__value", weight, probs, means={"mean": (F.col("__value"), F.col(weight))})
+    return both.select("measure", *[F.bround(c, 0).alias(c) for c in [*probs, "mean"]])
 
 
 def weighted_histogram(
@@ -268,10 +309,10 @@ def multi_distribution(parts: list[tuple[DataFrame, str, dict[str, Column]]]) ->
     for df, weight, bins in parts:
         cells = F.array(*[F.struct(F.lit(n).alias("label"), b.alias("bin")) for n, b in bins.items()])
         binned.append(df.select(F.inline(cells), F.col(weight).alias("__w")).groupBy("label", "bin").agg(F.sum("__w").alias("weight")))
-    # a row per label and bin, written so that totals do not compute the parts again
-    stacked = materialise(reduce(DataFrame.unionByName, binned), "bins")
-    totals = stacked.groupBy("label").agg(F.sum("weight").alias("total"))
-    shares = stacked.join(totals, "label").withColumn("share", ratio(F.col("weight"), F.col("total")))
+    # a row per label and bin from here on, so the window has a label's bins only
+    stacked = reduce(DataFrame.unionByName, binned)
+    total = F.sum("weight").over(Window.partitionBy("label"))
+    shares = stacked.withColumn("share", ratio(F.col("weight"), total))
     return shares.groupBy("bin").agg(
         *[
             F.max(F.when(F.col("label") == n, F.col(c))).alias(f"{prefix}_{n}")

@@ -132,16 +132,14 @@ def event_study(t: Tables):
 
 @query(f"""
 WITH {DATED}, p AS (
-  SELECT id, period, CASE WHEN period % 13 <> 5 THEN amount END AS amount,
+  SELECT id, period, amount,
          coalesce(period >= first_ui_date - 12 AND period < first_ui_date, false) AS inside FROM dated)
 SELECT id, period, count(*) FILTER (inside) OVER w AS mos_in_horizon,
        CASE WHEN count(*) FILTER (inside AND amount IS NULL) OVER w = 0 THEN
          round(sum(CASE WHEN inside THEN amount END) OVER w / nullif(count(*) FILTER (inside) OVER w, 0), 4) END AS inc_prior
 FROM p WINDOW w AS (PARTITION BY id)""")
 def prior_window_mean(t: Tables):
-    # some months without an amount, as where a price is missing
-    known = dated(t).withColumn("amount", F.when(F.col("period") % 13 != 5, F.col("amount")))
-    out = panel.prior_window_mean(known, "id", "period", "first_ui_date", {"inc_prior": "amount"})
+    out = panel.prior_window_mean(dated(t), "id", "period", "first_ui_date", {"inc_prior": "amount"})
     return rounded(out.select("id", "period", "mos_in_horizon", "inc_prior"), 4, "inc_prior")
 
 
@@ -163,7 +161,7 @@ placebo AS (SELECT h.agent, d FROM drawn JOIN history h ON h.agent = drawn.agent
 starts AS (SELECT agent, 'Employed' AS key, d AS start_date FROM placebo
   UNION ALL SELECT agent, 'Unemployed: All', min(period) FROM history WHERE state >= 2 AND period >= 10 GROUP BY agent
   UNION ALL SELECT agent, 'Unemployed: Benefit', min(period) FROM history WHERE state >= 2 AND period >= 10 GROUP BY agent HAVING agent IN (SELECT agent FROM history WHERE state >= 3)),
-copied AS (SELECT h.agent, h.period, h.state, h.effort, CASE WHEN (h.agent + h.period) % 31 <> 7 THEN h.cons END AS cons, key, start_date, period BETWEEN start_date - 10 AND start_date - 3 AS in_horizon FROM history h JOIN starts USING (agent)),
+copied AS (SELECT h.agent, h.period, h.state, h.effort, h.cons, key, start_date, period BETWEEN start_date - 10 AND start_date - 3 AS in_horizon FROM history h JOIN starts USING (agent)),
 stack AS (SELECT *, CASE WHEN count(*) FILTER (in_horizon AND cons IS NULL) OVER w = 0 THEN sum(CASE WHEN in_horizon THEN cons END) OVER w / 8 END AS cons_prior,
          sum(CASE WHEN in_horizon THEN effort END) OVER w / 8 AS effort_prior
   FROM copied WINDOW w AS (PARTITION BY agent, key) QUALIFY count(*) FILTER (in_horizon) OVER w = 8)"""
@@ -180,8 +178,6 @@ def cohorts(t: Tables):
         {"any_paid": "paid"},
     )
     rows = panel.event_study(rows, "agent", "period", {"u": "hit"})
-    # some periods without consumption, which leaves the mean before the start unknown
-    rows = rows.withColumn("cons", F.when((F.col("agent") + F.col("period")) % 31 != 7, F.col("cons")))
     return panel.cohort_stack(
         rows,
         "agent",

@@ -194,3 +194,49 @@ def test_a_cell_of_many_values_is_cut_finer(spark, monkeypatch):
     want = tuple(quantile(pairs, q) for q in probs.values())
     assert {r.k: tuple(r)[1:] for r in got} == {"a": want, None: want, "b": (5.0,) * 4}
     assert len(sizes) > 1 and sizes[-1][1] <= 20 < sizes[0][0]
+
+
+def test_weights_of_many_powers_of_ten_in_one_cell(spark, monkeypatch):
+    """Sums of each power are brought to one unit; also where cells are written and cut."""
+    from decimal import Decimal
+
+    from tallyframe.operators import weights
+
+    rng = random.Random(11)
+    rows = [("ab"[i % 2], 1000.0 + rng.randint(0, 400) / 1000, rng.choice([1e-9, 0.003, 0.1, 7.25, 12345.678, 9.9e6])) for i in range(1500)]
+    rows += [("a", 5.0, 0.0), ("b", 1000.0, float("nan")), ("b", 1000.0, float("inf"))]
+    df = spark.createDataFrame(rows, "k string, x double, w double").repartition(4)
+    probs = {"least": 0.0, "p10": 0.1, "p50": 0.5, "p99": 0.99, "most": 1.0}
+    want = {}
+    for key in "ab":
+        pairs = sorted((x, Decimal(repr(w))) for k, x, w in rows if k == key and w < float("inf"))
+        total, running, found = sum(w for _, w in pairs), Decimal(0), {}
+        for x, w in pairs:
+            running += w
+            found |= {n: found.get(n, x) for n, q in probs.items() if running >= Decimal(repr(q)) * total}
+        want[key] = tuple(found[n] for n in probs)
+    for heavy in (weights.HEAVY, 20):
+        monkeypatch.setattr(weights, "HEAVY", heavy)
+        got = weighted_quantiles(df, ["k"], "x", "w", probs).collect()
+        assert {r.k: tuple(r)[1:] for r in got} == want
+
+
+def test_means_come_with_the_quantiles(spark):
+    rows = [("a", 1.0, 2.0, 4.0), ("a", None, 1.0, 1.0), ("a", 3.0, 1.0, None), ("b", None, 2.0, None), (None, 8.0, 1.5, 2.0)]
+    df = spark.createDataFrame(rows, "k string, x double, w double, y double")
+    means = {"x_mean": (F.col("x"), F.col("w")), "y_mean": (F.col("y"), F.col("w"))}
+    got = weighted_quantiles(df, ["k"], "x", "w", {"half": 0.5}, means=means).collect()
+    assert {r.k: (r.half, r.x_mean, r.y_mean) for r in got} == {
+        "a": (1.0, 5 / 3, 3.0), "b": (None, None, None), None: (8.0, 8.0, 2.0),
+    }
+
+
+def test_small_quantiles_write_one_table(spark, monkeypatch):
+    from tallyframe.operators import weights
+
+    written = []
+    kept = weights.materialise
+    monkeypatch.setattr(weights, "materialise", lambda df, label: written.append(label) or kept(df, label))
+    df = spark.createDataFrame([(float(i), 0.5 + i) for i in range(50)], "x double, w double")
+    assert weighted_quantiles(df, [], "x", "w", {"m": 0.5}).first()["m"] == 35.0
+    assert written == ["cells"]
