@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: 528 sums in one aggregate.
+MOST_PARAMETERS = 32
+
 
 def central_difference(runs: DataFrame, keys: list[str], side: str, value: str, step: float) -> DataFrame:
     """(plus - minus) / (2 step) per key from the two perturbed runs."""
@@ -19,8 +22,11 @@ def weighted_gram(
     """Sum over moments of w g_i g_j for every ordered pair of parameters.
 
     The named parameters become columns of one row per moment, so all pairs are
-    sums of one pass and no pair of rows is ever joined.
+    sums of one pass and no pair of rows is ever joined.  One aggregate holds k(k + 1)/2
+    sums, so k is at most ``MOST_PARAMETERS``; more is an error.
     """
+    if len(parameters) > MOST_PARAMETERS:
+        raise ValueError(f"{len(parameters)} parameters; one pass takes at most {MOST_PARAMETERS}")
     row = gradients.groupBy(moment).pivot(parameter, parameters).agg(F.max("partial"))
     row = row.join(weights.select(moment, F.col(weight).alias("__w")), moment)
     n = range(len(parameters))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallyframe.operators.attach import same_key
 from tallyframe.session import materialise
 
-PIECE = "__piece"
+PIECE, TIE = "__piece", "__tie"
 
 
 def in_pieces(df: DataFrame, keys: list[str], order: list[str], pieces: int | None = None) -> DataFrame:
@@ -25,14 +25,21 @@ def in_pieces(df: DataFrame, keys: list[str], order: list[str], pieces: int | No
     The range cut comes from Spark's own sampling, so it follows the data: a hot
     group gets many pieces, and many small groups share one.  Without ``pieces``
     there are up to ``spark.sql.shuffle.partitions``, fewer when adaptive execution
-    finds them small.  (keys, order) should be unique.  The table is written before
-    use because a second evaluation could cut elsewhere.
+    finds them small.  Rows equal in (keys, order) follow one another by a hash of all
+    their columns (``TIE``), so every run orders them alike; rows equal in all columns
+    are interchangeable.  The table is written before use because a second evaluation
+    could cut elsewhere.
     """
-    by = [*keys, *order]
+    by = [*keys, *order, TIE]
+    df = df.withColumn(TIE, F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind]))
     cut = df.repartitionByRange(*by) if pieces is None else df.repartitionByRange(pieces, *by)
     return materialise(cut.withColumn(PIECE, F.spark_partition_id()), "pieces")
 
 
+def _with_tie(df: DataFrame, order: list[str]) -> list[str]:
+    return [*order, TIE] if TIE in df.columns else order
+
+
 def _join_piece(df: DataFrame, summary: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     right = summary.select(*[F.col(c).alias(f"__s_{c}") for c in [*keys, PIECE]], *names)
     on = same_key([df[c] for c in [*keys, PIECE]], [right[f"__s_{c}"] for c in [*keys, PIECE]])
@@ -44,7 +51,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
     before = Window.partitionBy(*keys).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
     sizes = df.groupBy(*keys, PIECE).agg(F.count(F.lit(1)).alias("__size"))
     offsets = sizes.withColumn("__offset", F.coalesce(F.sum("__size").over(before), F.lit(0)))
-    inside = Window.partitionBy(*keys, PIECE).orderBy(*order)
+    inside = Window.partitionBy(*keys, PIECE).orderBy(*_with_tie(df, order))
     local = df.withColumn("__local", F.row_number().over(inside))
     return (
         _join_piece(local, offsets, keys, ["__offset"])
@@ -55,6 +62,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
 
 def lagged(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """The value on the previous row of the group; ``df`` comes from in_pieces."""
+    order = _with_tie(df, order)
     last = df.groupBy(*keys, PIECE).agg(F.max_by(F.struct(value), F.struct(*order)).alias("__last"))
     carried = last.withColumn(
         "__carried", F.lag("__last").over(Window.partitionBy(*keys).orderBy(PIECE))

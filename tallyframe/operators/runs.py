@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.operators.ordered import PIECE, in_pieces, numbered
+from tallyframe.operators.ordered import PIECE, TIE, in_pieces, numbered
 
 
 def collate_runs(documents: DataFrame, model: str, fit: str, run: str) -> DataFrame:
     """Runs ranked by fit within their model, best first; ``run`` breaks ties."""
     order = [fit, run]
     ranked = numbered(in_pieces(documents, [model], order), [model], order, "rank")
-    return ranked.drop(PIECE).orderBy(model, "rank")
+    return ranked.drop(PIECE, TIE).orderBy(model, "rank")
 
 
 def best_runs(documents: DataFrame, model: str, fit: str, run: str) -> DataFrame:

@@ -3,14 +3,17 @@
 Some operators need one physical assignment of rows to pieces that stays the
 same however often it is read, also after an executor is lost.  They write that
 table once to a shared folder and read it back, which also cuts the lineage.
-The files have to outlive the DataFrames that read them; ``clear`` deletes those of
-this process when its results have been used.
+The files have to outlive the DataFrames that read them.  ``owned`` deletes those made
+inside a ``with`` block at its end, for results that are used within it; ``clear`` deletes
+all of this process.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,12 +44,29 @@ def new_path(spark: SparkSession, label: str) -> str:
     return _made[-1]
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete one intermediate table, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _made:
+        _made.remove(path)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all intermediate tables of this process; DataFrames that read them end with it."""
-    hadoop = spark._jsc.hadoopConfiguration()
-    while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(hadoop).delete(path, True)
+    for path in list(_made):
+        delete(spark, path)
+
+
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables made inside the block at its end, also after an error."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        for path in [p for p in _made if p not in before]:
+            delete(spark, path)
 
 
 def materialise(df: DataFrame, label: str = "step") -> DataFrame:

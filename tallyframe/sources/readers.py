@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.operators.ordered import in_pieces, numbered
+from tallyframe.operators.ordered import PIECE, TIE, in_pieces, numbered
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, null_text: str | None = None) -> DataFrame:
@@ -48,7 +48,7 @@ def read_csv_without_preamble(
 
 def line_range(df: DataFrame, source: str, order: str, skip: int = 0, rows: int | None = None) -> DataFrame:
     """Rows ``skip + 1`` to ``skip + rows`` of every source in explicit order."""
-    out = numbered(in_pieces(df, [source], [order]), [source], [order], "line")
+    out = numbered(in_pieces(df, [source], [order]), [source], [order], "line").drop(PIECE, TIE)
     out = out.filter(F.col("line") > skip)
     return out if rows is None else out.filter(F.col("line") <= skip + rows)
 

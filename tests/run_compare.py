@@ -11,6 +11,7 @@ from compare import connection, differences
 from pyspark.sql import SparkSession
 
 import __spark_entry__ as entry
+from tallyframe.session import owned
 
 spark = (
     SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8")
@@ -25,8 +26,9 @@ for name, run in entry.queries().items():
         continue
     start = time.time()
     try:
-        df = run(spark, folder)
-        found = differences(df, con, sql[name]) if name in sql else [] if df.count() >= 0 else []
+        with owned(spark):
+            df = run(spark, folder)
+            found = differences(df, con, sql[name]) if name in sql else [] if df.count() >= 0 else []
     except Exception as error:
         found = ["".join(traceback.format_exception_only(error))[:1500]]
     print(f"{'FAIL' if found else 'ok  '} {name} {time.time() - start:.2f}s", *found, sep="\n     " if found else " ", flush=True)

@@ -6,6 +6,7 @@ from compare import connection, differences
 import __spark_entry__ as entry
 from tallyframe.plans.registry import ORACLES as SQL
 from tallyframe.plans.registry import QUERIES
+from tallyframe.session import owned
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -17,7 +18,8 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, con, name):
-    assert differences(QUERIES[name](spark, FOLDER), con, SQL[name]) == []
+    with owned(spark):
+        assert differences(QUERIES[name](spark, FOLDER), con, SQL[name]) == []
 
 
 def test_every_query_has_a_twin():

@@ -88,3 +88,19 @@ def test_a_session_can_leave_no_files_behind(spark):
     assert files() - others
     clear(spark)
     assert not files() - others
+
+
+def test_intermediates_of_a_block_go_at_its_end(spark, tmp_path):
+    import os
+
+    from tallyframe import session
+
+    outer = materialise(spark.range(3), "outer")
+    with pytest.raises(ZeroDivisionError), session.owned(spark):
+        inner = materialise(spark.range(4), "inner")
+        made = inner.inputFiles()[0].removeprefix("file:")
+        assert inner.count() == 4 and os.path.exists(made)
+        raise ZeroDivisionError
+    assert not os.path.exists(made) and outer.count() == 3
+    session.delete(spark, os.path.dirname(outer.inputFiles()[0]))
+    assert not os.path.exists(outer.inputFiles()[0].removeprefix("file:"))

@@ -357,3 +357,20 @@ def test_padded_moment_vectors_from_json(spark, tmp_path):
     df = readers.read_json_documents(spark, str(tmp_path / "m.json"), "search array<string>, cons array<double>")
     cells = df.select(F.posexplode("search").alias("t", "v")).select("t", text.lenient_double(F.col("v")))
     assert rows_of(cells, "t") == [(0, None), (1, None), (2, 0.193)]
+
+
+def test_gram_of_as_many_parameters_as_one_pass_takes(spark):
+    import numpy as np
+    from tallyframe.operators import inference
+
+    k = inference.MOST_PARAMETERS
+    names = [f"p{i}" for i in range(k)]
+    partial = np.random.default_rng(5).normal(size=(6, k))
+    grad = spark.createDataFrame([(m, names[i], float(partial[m, i])) for m in range(6) for i in range(k)], "moment int, parameter string, partial double")
+    weight = spark.createDataFrame([(m, 1.0 + m) for m in range(6)], "moment int, w double")
+    rows = inference.weighted_gram(grad, "moment", "parameter", names, weight, "w").collect()
+    want = partial.T @ np.diag(1.0 + np.arange(6)) @ partial
+    assert len(rows) == k * k
+    assert all(abs(r.value - want[int(r.param_i[1:]), int(r.param_j[1:])]) < 1e-9 for r in rows)
+    with pytest.raises(ValueError, match="at most"):
+        inference.weighted_gram(grad, "moment", "parameter", [*names, "more"], weight, "w")

@@ -240,3 +240,15 @@ def test_small_quantiles_write_one_table(spark, monkeypatch):
     df = spark.createDataFrame([(float(i), 0.5 + i) for i in range(50)], "x double, w double")
     assert weighted_quantiles(df, [], "x", "w", {"m": 0.5}).first()["m"] == 35.0
     assert written == ["cells"]
+
+
+def test_rows_of_equal_order_follow_one_another_alike_in_every_run(spark):
+    rows = [("g", i % 5, f"v{i:03d}") for i in range(300)] + [("g", 2, "v000")] * 3 + [(None, None, None)] * 2
+    df = spark.createDataFrame(rows, "g string, t int, v string")
+    seen = []
+    for parts, pieces in ((1, 1), (7, 4), (3, 9)):
+        cut = in_pieces(df.repartition(parts), ["g"], ["t"], pieces)
+        out = lagged(numbered(cut, ["g"], ["t"], "n"), ["g"], ["t"], "v", "before")
+        seen.append(sorted((r.g is None, r.n, r.t, r.v, r.before) for r in out.collect()))
+    assert seen[0] == seen[1] == seen[2]
+    assert [n for gone, n, *_ in seen[0] if not gone] == list(range(1, 304))
