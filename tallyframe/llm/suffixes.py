@@ -1,29 +1,33 @@
-"""Removal of byte strings that occur more than once, by equal hashes per anchor.
+"""Removal of byte strings that occur more than once, by longest-previous-factor arrays per anchor.
 
 A byte goes if it lies in a string of ``SIZE`` bytes that starts somewhere else as well.
 Suffixes of the whole table cannot be sorted in one place, so they are dealt out first:
-every string of ``SIZE`` bytes belongs to an anchor, the smallest hash of the ``GRAM``-byte
+every string of ``LEAST`` bytes belongs to an anchor, the smallest hash of the ``GRAM``-byte
 runs inside it, rightmost of equals.  Equal strings have equal anchors at equal offsets, so
-only strings of one anchor have to be compared.  An anchor owns the strings that start in
-one short range; the bytes they span are its context.
+only suffixes of one anchor have to be compared.  An anchor owns the suffixes that start in
+one short range; their first ``SIZE`` bytes (fewer at a text's end) are its context.
 
 * Anchors that occur once are done.  Contexts that occur several times whole are repeated
-  whole, whatever their number; they are only counted.
+  whole, whatever their number; they are only counted, by 128 bits of hashes.
 * Where an anchor has different contexts, one copy of each goes to the anchor's task.  There
-  the owned strings are sorted as four hashes of a quarter of ``SIZE`` bytes each, earlier
-  positions first among equal ones.  Equal neighbours then say for every string whether it
-  occurs earlier, and whether later.  This is no suffix order, and the lengths of the
-  longest previous factors are not computed.
+  the owned suffixes are put in order by ranks of 8, 16, 32 ... bytes, each rank from two
+  ranks of half the length (``Order``); equal ranks are equal bytes.  For every suffix the
+  previous and the next one in suffix order with a smaller position give the longest previous
+  factor, and those with a larger position the longest next factor (``factors``): one of at
+  least ``SIZE`` says that the string occurs earlier, or later.  The nearest suffixes of
+  another document give the longest match with another document.
 * An anchor with more than ``HOT`` different contexts does not go to one task: its strings
   are counted one by one by a 128-bit hash, which is summed before the exchange.
 
 ``keep="first"`` leaves the first occurrence (by document id, then position) of every
-string, ``keep="none"`` removes all.  Texts travel compressed.
+string, ``keep="none"`` removes all.  ``repeats_passage`` tells a document in which more than
+``PASSAGE`` words (runs without ASCII white space, cut ones at the ends counted) that take
+``LEAST`` to ``SIZE`` bytes occur in another document too, whatever is removed.  Texts travel compressed.
 
 Defined cases: a null text is empty; texts shorter than ``SIZE`` lose nothing; equal rows
-are occurrences of each other, and with ``keep="first"`` rows of equal id and text count as
-one place and stay; null ids come first; an empty table gives no rows; other columns are
-ignored.
+are occurrences of each other but no other documents, and with ``keep="first"`` rows of equal
+id and text count as one place and stay; null ids come first; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,10 +45,17 @@ from pyspark.sql import functions as F
 from tallyframe.llm.tables import in_batches, read, rows_of, whole_text, written
 from tallyframe.llm.winnowing import mixed, powers, smallest
 
-SIZE, GRAM, HOT, TASK_BYTES = 400, 160, 50_000, 1_000_000
+SIZE, LEAST, GRAM, PASSAGE = 400, 256, 104, 50
+HOT, TASK_BYTES = 4_000, 1_000_000
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
 STEP = np.uint64(0xA0761D6478BD642F)
 LOW = np.uint64(0xFFFFFFFF)
-SPAN = "doc_id long, tie int, start int, end int"
+#: Owned starts from ``start`` to ``end`` whose bytes up to ``limit`` occur again; kind REMOVED, REPEATED (also in
+#: another document), KEPT (the same, but nothing goes) or PASSAGE_FOUND (nothing goes, but another document has a passage of it).
+REMOVED, REPEATED, PASSAGE_FOUND, KEPT = 0, 1, 2, 3
+SPAN = "doc_id long, tie int, start int, end int, limit int, kind int"
+SPANS = pa.schema([("doc_id", pa.int64()), *[(n, pa.int32()) for n in ("tie", "start", "end", "limit", "kind")]])
 
 
 class Hashes:
@@ -58,20 +69,20 @@ class Hashes:
         return mixed((self.sums[end] - self.sums[start]) * self.up[start] + (end - start).astype(np.uint64) * STEP)
 
 
-def anchors(data: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(anchor hash, context hash, first owned start, number of owned starts) of every anchor of a text."""
-    if len(data) < size:
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
+def anchors(data: np.ndarray, size: int, least: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(anchor hash, context hash, first owned start, number of owned starts, end of the context) of every anchor of a text."""
+    if len(data) < least:
+        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
     hashes = Hashes(data)
     at = np.arange(len(data) - gram + 1)
     grams = hashes.of(at, at + gram)
     key = (grams & ~LOW) | (LOW - at.astype(np.uint64))
-    place = (LOW - (smallest(key, size - gram + 1) & LOW)).astype(np.int64)
+    place = (LOW - (smallest(key, least - gram + 1) & LOW)).astype(np.int64)
     first = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
     own = np.diff(np.append(first, len(place)))
-    place = place[first]
-    context = hashes.of(first, first + own - 1 + size)
-    return grams[place], mixed(context * STEP + (place - first).astype(np.uint64)), first, own
+    place, limit = place[first], np.minimum(first + own - 1 + size, len(data))
+    context = hashes.of(first, limit)
+    return grams[place], mixed(context * STEP + (place - first).astype(np.uint64) * mixed(own.astype(np.uint64))), first, own, limit
 
 
 def tie_of(raw: bytes) -> int:
@@ -82,18 +93,18 @@ def raw_of(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-def _anchor_rows(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    names = ["a", "c", "doc_id", "tie", "lo", "own"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+def _anchor_rows(docs: DataFrame, size: int, least: int, gram: int) -> DataFrame:
+    names = ["a", "c", "doc_id", "tie", "lo", "own", "lim"]
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 4
 
     def work(batches):
         for batch in batches:
             held, count = [], 0
             for doc, text in rows_of([batch], "doc_id", "text"):
                 raw = raw_of(text)
-                a, c, lo, own = anchors(np.frombuffer(raw, np.uint8), size, gram)
+                a, c, lo, own, lim = anchors(np.frombuffer(raw, np.uint8), size, least, gram)
                 if len(a):
-                    held.append((a.view(np.int64), c.view(np.int64), [doc] * len(a), np.full(len(a), tie_of(raw)), lo, own))
+                    held.append((a.view(np.int64), c.view(np.int64), [doc] * len(a), np.full(len(a), tie_of(raw)), lo, own, lim))
                     count += len(a)
                 if count > 10_000:
                     yield made(held)
@@ -105,7 +116,7 @@ def _anchor_rows(docs: DataFrame, size: int, gram: int) -> DataFrame:
         columns = [np.concatenate(c) if isinstance(c[0], np.ndarray) else sum(c, []) for c in zip(*held)]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    return docs.mapInArrow(work, "a long, c long, doc_id long, tie int, lo int, own int")
+    return docs.mapInArrow(work, "a long, c long, doc_id long, tie int, lo int, own int, lim int")
 
 
 def _squeezed(docs: DataFrame) -> DataFrame:
@@ -126,68 +137,163 @@ def _with_text(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     return texts.join(lists, same, how).select("doc_id", "tie", "z", "list")
 
 
-def repeated(data: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each of the ascending ``starts``: does its string occur at an earlier, at a later one of them."""
-    quarter = -(-size // 4)
-    hashes = Hashes(data)
-    cuts = [0, quarter, 2 * quarter, 3 * quarter, size]
-    symbols = [hashes.of(starts + a, starts + b) for a, b in zip(cuts, cuts[1:])]
-    order = np.lexsort(symbols[::-1])  # stable: equal suffixes stay in order of position
-    match = np.ones(max(0, len(order) - 1), bool)
-    for s in symbols:
-        match &= s[order[1:]] == s[order[:-1]]
-    earlier, later = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
-    earlier[order[1:]] = match
-    later[order[:-1]] = match
-    return earlier, later
-
-
-def _context_spans(contexts: DataFrame, size: int, keep: str) -> DataFrame:
-    """Removed ranges of starts (doc_id, tie, start, end) from contexts a, doc_id, tie, lo, own, n, context."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+def dense(keys: np.ndarray) -> np.ndarray:
+    """Ranks from 1, equal for equal keys."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    ranks = np.empty(len(keys), np.uint32)
+    ranks[order] = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ranks
+
+
+class Order:
+    """Ranks of the runs of 8, 16, 32 ... up to ``size`` bytes at every place of ``data``, for order and common prefixes."""
+
+    def __init__(self, data: np.ndarray, size: int):
+        self.size, n, room = size, len(data), 2 * size + 16
+        padded = np.concatenate([data, np.zeros(room + 8, np.uint8)])
+        self.eight = np.empty(n + room, np.uint64)
+        for k in range(8):
+            self.eight[k::8] = np.frombuffer(padded.tobytes()[k:], ">u8", len(self.eight[k::8]))
+        long = min(8, size)
+        self.levels = [(long, self._ranked(self.eight[:n] >> np.uint64(64 - 8 * long), room))]
+        while 2 * long <= size:
+            ranks = self.levels[-1][1]
+            both = (ranks[:n].astype(np.uint64) << np.uint64(32)) | ranks[long : n + long]
+            long *= 2
+            self.levels.append((long, self._ranked(both, room)))
+
+    @staticmethod
+    def _ranked(keys: np.ndarray, room: int) -> np.ndarray:
+        return np.concatenate([dense(keys), np.zeros(room, np.uint32)])
+
+    def order(self, starts: np.ndarray) -> np.ndarray:
+        """The places in ``starts`` (ascending) by their first ``size`` bytes, equal ones by position."""
+        long, ranks = self.levels[-1]
+        keys = (ranks[starts].astype(np.uint64) << np.uint64(32)) | ranks[starts + self.size - long]
+        return np.argsort(keys, kind="stable")
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of the suffixes at places ``a`` and ``b``, up to ``size``."""
+        long = np.zeros(len(a), np.int64)
+        for size, ranks in reversed(self.levels):
+            long += np.where(ranks[a + long] == ranks[b + long], size, 0)
+        rest = self.eight[a + long] ^ self.eight[b + long]
+        for k in range(1, 9):
+            long += rest < np.uint64(1 << (64 - 8 * k)) if k < 8 else rest == 0
+        return np.minimum(long, self.size)
+
+
+def nearest_smaller(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every place the nearest places before and after it with a smaller value, -1 where there is none; by minima of runs."""
+
+    def before(v: np.ndarray) -> np.ndarray:
+        lows = [v]  # lows[k][i]: the smallest of the 2**k values up to i
+        while 2 << len(lows) <= 2 * len(v):
+            last, step = lows[-1], 1 << (len(lows) - 1)
+            lows.append(np.concatenate([last[:step], np.minimum(last[step:], last[:-step])]))
+        at = np.arange(len(v)) - 1
+        for k in range(len(lows) - 1, -1, -1):
+            far = at - (1 << k) >= -1
+            far &= lows[k][np.maximum(at, 0)] >= v
+            at = np.where(far, at - (1 << k), at)
+        return at
+
+    mirrored = before(values[::-1])[::-1]
+    return before(values), np.where(mirrored < 0, -1, len(values) - 1 - mirrored)
+
+
+def factors(order: Order, starts: np.ndarray, limits: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Longest previous factor, longest next factor and longest match with another label, up to ``size``, for ascending ``starts``.
+
+    A suffix ends at its limit.  Of all suffixes before (after) one in position, the nearest
+    ones in suffix order to both sides have the longest common prefix with it.
+    """
+    chain = order.order(starts)
+
+    def longest(*near: np.ndarray) -> np.ndarray:
+        """For suffixes in suffix order, the longest common prefix with those at ``near`` (-1: none)."""
+        best = np.zeros(len(chain), np.int64)
+        for other in near:
+            some = np.flatnonzero(other >= 0)
+            a, b = chain[some], chain[other[some]]
+            room = np.minimum(limits[a] - starts[a], limits[b] - starts[b])
+            best[some] = np.maximum(best[some], np.minimum(order.common(starts[a], starts[b]), room))
+        out = np.zeros(len(chain), np.int64)
+        out[chain] = best
+        return out
+
+    label = labels[chain]
+    turn = np.concatenate([[True], label[1:] != label[:-1]])
+    at = np.arange(len(chain))
+    run = np.maximum.accumulate(np.where(turn, at, 0))
+    end = np.append(np.flatnonzero(turn)[1:], len(chain))[np.cumsum(turn) - 1]
+    return longest(*nearest_smaller(chain)), longest(*nearest_smaller(-chain)), longest(run - 1, np.where(end < len(chain), end, -1))
+
+
+def passage_ends(data: np.ndarray, starts: np.ndarray, words: int, least: int) -> np.ndarray:
+    """For each start the end of the shortest string from it with ``least`` bytes in which more than ``words`` words have begun."""
+    inside = ~SPACE[data]
+    begins = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+    last = np.searchsorted(begins, starts, "right") + words - inside[starts]
+    begins = np.append(begins, np.int64(1) << 40)  # none
+    return np.maximum(begins[np.minimum(last, len(begins) - 1)] + 1, starts + least)
+
+
+def _context_spans(contexts: DataFrame, size: int, least: int, words: int, keep: str) -> DataFrame:
+    """Spans from contexts a, doc_id, tie, lo, own, n, many (documents), context."""
 
     def settle(rows: list[tuple]) -> Iterator[tuple]:
         rows = sorted({(r[0], r[1] is not None, *r[1:]) for r in rows}, key=lambda r: (r[1], r[2] or 0, r[3], r[4]))
-        data = np.frombuffer(b"".join(r[7] for r in rows), np.uint8)
-        bases = np.concatenate([[0], np.cumsum([len(r[7]) for r in rows])])
-        starts = np.concatenate([np.arange(b, b + r[5]) for b, r in zip(bases, rows)])
-        earlier, later = repeated(data, starts, size)
-        gone = earlier if keep == "first" else earlier | later
+        # a context that the text's end cuts is told from what follows by a byte that no text has, and a number
+        parts = [r[8] if len(r[8]) == r[5] - 1 + size else r[8] + b"\xff" + i.to_bytes(7) for i, r in enumerate(rows)]
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        bases = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).tolist()
+        owned = [r[5] for r in rows]
+        starts = np.concatenate([np.arange(b, b + n) for b, n in zip(bases, owned)])
+        limits = np.repeat([b + len(r[8]) for b, r in zip(bases, rows)], owned)
+        places = {d: i for i, d in enumerate(dict.fromkeys(r[1:4] for r in rows))}
+        labels = np.repeat([-1 - i if r[7] else places[r[1:4]] for i, r in enumerate(rows)], owned)
+        earlier, later, elsewhere = factors(Order(data, size), starts, limits, labels)
+        gone = earlier >= size if keep == "first" else (earlier >= size) | (later >= size)
+        shared = passage_ends(data, starts, words, least) - starts <= elsewhere
         at = 0
-        for _, _, doc, tie, lo, own, n, _ in rows:
-            mine = np.concatenate([[False], gone[at : at + own], [False]])
+        for (_, _, doc, tie, lo, own, n, many, _), base in zip(rows, bases):
+            mine, passage = np.concatenate([[False], gone[at : at + own], [False]]), shared[at : at + own].any()
             at += own
+            if passage and not many:
+                yield doc, tie, lo, lo, lo, PASSAGE_FOUND
             if n > 1 and keep == "none":
                 continue  # whole context repeated, and counted as such
             turns = np.flatnonzero(mine[1:] != mine[:-1])
             for s, e in zip(turns[::2].tolist(), turns[1::2].tolist()):
-                yield doc, tie, lo + s, lo + e - 1
+                yield doc, tie, lo + s, lo + e - 1, lo + e - 1 + size, REMOVED
 
     def work(batches):
         def spans():
             held, task, heavy = [], None, 0
-            for row in rows_of(batches, "a", "doc_id", "tie", "lo", "own", "n", "context"):
+            for row in rows_of(batches, "a", "doc_id", "tie", "lo", "own", "n", "many", "context"):
                 if row[0] != task and heavy > TASK_BYTES:
                     yield from settle(held)
                     held, heavy = [], 0
                 task = row[0]
                 held.append(row)
-                heavy += len(row[6])
+                heavy += len(row[7])
             if held:
                 yield from settle(held)
 
-        yield from in_batches(spans(), schema, size=20_000)
+        yield from in_batches(spans(), SPANS, size=20_000)
 
     return contexts.repartition("a").sortWithinPartitions("a").mapInArrow(work, SPAN)
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """One copy of every wanted context (a, doc_id, tie, lo, own, n) with its bytes."""
-    cell = F.struct("a", "lo", "own", "n")
+def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One copy of every wanted context (a, doc_id, tie, lo, own, lim, n, many) with its bytes."""
+    cell = F.struct("a", "lo", "own", "lim", "n", "many")
     lists = wanted.groupBy(F.col("doc_id").alias("of_id"), F.col("tie").alias("of_tie")).agg(F.collect_list(cell).alias("list"))
     schema = pa.schema(
         [("a", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int32()), ("lo", pa.int32()), ("own", pa.int32()), ("n", pa.int64()),
-         ("context", pa.binary())]
+         ("many", pa.bool_()), ("context", pa.binary())]
     )
 
     def work(batches):
@@ -196,58 +302,84 @@ def _contexts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             for doc, tie, z, cells in rows_of(batches, "doc_id", "tie", "z", "list"):
                 raw = expand.decompress(z)
                 for x in cells:
-                    yield x["a"], doc, tie, x["lo"], x["own"], x["n"], raw[x["lo"] : x["lo"] + x["own"] - 1 + size]
+                    yield x["a"], doc, tie, x["lo"], x["own"], x["n"], x["many"], raw[x["lo"] : x["lim"]]
 
         yield from in_batches(rows(), schema)
 
-    return _with_text(docs, lists, "inner").mapInArrow(work, "a long, doc_id long, tie int, lo int, own int, n long, context binary")
+    return _with_text(docs, lists, "inner").mapInArrow(
+        work, "a long, doc_id long, tie int, lo int, own int, n long, many boolean, context binary"
+    )
 
 
-def _hot_spans(docs: DataFrame, wanted: DataFrame, size: int, keep: str) -> DataFrame:
-    """Removed starts of contexts of hot anchors: every owned string is counted by its hash."""
-    schema = pa.schema([("h", pa.binary()), ("doc_id", pa.int64()), ("tie", pa.int32()), ("start", pa.int32()), ("n", pa.int64())])
+def _hot_spans(docs: DataFrame, wanted: DataFrame, size: int, least: int, words: int, keep: str) -> DataFrame:
+    """Spans of contexts of hot anchors: every owned string, and every passage, is counted by its hash."""
+    schema = pa.schema(
+        [("h", pa.binary()), ("passage", pa.bool_()), ("doc_id", pa.int64()), ("tie", pa.int32()), ("start", pa.int32()), ("n", pa.int64()),
+         ("many", pa.bool_())]
+    )
 
     def work(batches):
         def rows():
-            for doc, tie, lo, own, n, context in rows_of(batches, "doc_id", "tie", "lo", "own", "n", "context"):
-                for k in range(own):
-                    yield xxhash.xxh3_128_digest(context[k : k + size]), doc, tie, lo + k, n
+            for doc, tie, lo, own, n, many, context in rows_of(batches, "doc_id", "tie", "lo", "own", "n", "many", "context"):
+                ends = passage_ends(np.frombuffer(context, np.uint8), np.arange(own), words, least)
+                for k, end in enumerate(ends.tolist()):
+                    if k + size <= len(context):
+                        yield xxhash.xxh3_128_digest(context[k : k + size]), False, doc, tie, lo + k, n, many
+                    if end <= min(k + size, len(context)):
+                        yield xxhash.xxh3_128_digest(context[k:end]), True, doc, tie, lo + k, n, many
 
         yield from in_batches(rows(), schema, size=20_000)
 
-    found = _contexts(docs, wanted, size).mapInArrow(work, "h binary, doc_id long, tie int, start int, n long")
+    found = _contexts(docs, wanted).mapInArrow(work, "h binary, passage boolean, doc_id long, tie int, start int, n long, many boolean")
     found = written(found.distinct(), "hot-strings")
-    counted = found.groupBy(F.col("h").alias("of")).agg(
-        F.count(F.lit(1)).alias("places"), F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "tie", "start")).alias("first")
-    ).filter("places > 1")
-    spans = found.join(counted, F.col("h") == F.col("of"))
     own = F.struct(F.col("doc_id").isNotNull(), "doc_id", "tie", "start")
+    document = F.struct(F.col("doc_id").isNotNull(), "doc_id", "tie")
+    counted = found.groupBy(F.col("h").alias("of"), F.col("passage").alias("of_passage")).agg(
+        F.count(F.lit(1)).alias("places"), F.min(own).alias("first"), (F.max("many") | (F.min(document) != F.max(document))).alias("others")
+    ).filter("places > 1")
+    both = found.join(counted, (F.col("h") == F.col("of")) & (F.col("passage") == F.col("of_passage")))
     lost = F.col("n") == 1 if keep == "none" else ~own.eqNullSafe(F.col("first"))
-    return spans.filter(lost).select("doc_id", "tie", "start", F.col("start").alias("end"))
+    gone = both.filter(~F.col("passage") & lost).select(
+        "doc_id", "tie", "start", F.col("start").alias("end"), (F.col("start") + size).alias("limit"), F.lit(REMOVED).alias("kind")
+    )
+    shared = both.filter(F.col("passage") & F.col("others")).select("doc_id", "tie").distinct()
+    zero = [F.lit(0).alias(n) for n in ("start", "end", "limit")]
+    return gone.unionByName(shared.select("doc_id", "tie", *zero, F.lit(PASSAGE_FOUND).alias("kind")))
 
 
-def removed_starts(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep: str = "first") -> DataFrame:
-    """Ranges of starts (doc_id, tie, start, end) whose strings of ``size`` bytes go."""
+def spans(docs: DataFrame, size: int = SIZE, least: int = LEAST, gram: int = GRAM, words: int = PASSAGE, keep: str = "first") -> DataFrame:
+    """What repeats, as rows of ``SPAN``."""
     if keep not in ("first", "none"):
         raise ValueError("keep is 'first' or 'none'")
-    rows = written(_anchor_rows(docs, size, gram), "anchors")
+    if not gram <= least <= size:
+        raise ValueError("gram <= least <= size")
+    rows = written(_anchor_rows(docs, size, least, gram), "anchors")
     often = rows.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least"), F.max("c").alias("most"))
     often = written(often.filter("n > 1").select("a", (F.col("least") != F.col("most")).alias("mixed")), "anchors-often")
     rows = written(rows.join(often, "a"), "anchors-repeated")
-    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie", "lo")
-    kinds = rows.groupBy("a", "c", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.first("own").alias("own"))
+    document = [F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie"]
+    place = F.struct(*document, "lo", "lim")
+    kinds = rows.groupBy("a", "c", "mixed").agg(
+        F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.first("own").alias("own"),
+        (F.min(F.struct(*document)) != F.max(F.struct(*document))).alias("many"),
+    )
     kinds = written(kinds, "contexts")
-    many = kinds.filter("n > 1").select("a", "c", "first")
-    copies = rows.join(many, ["a", "c"])
+    copies = rows.join(kinds.filter("n > 1").select("a", "c", "first", "many"), ["a", "c"])
+    # the first copy stays with keep="first", but it may be a passage of other documents
+    kind = F.when(F.col("many"), REPEATED).otherwise(REMOVED)
+    out = copies.select("doc_id", "tie", F.col("lo").alias("start"), (F.col("lo") + F.col("own") - 1).alias("end"), F.col("lim").alias("limit"), kind.alias("kind"))
     if keep == "first":
-        copies = copies.filter(~place.eqNullSafe(F.col("first")))
-    spans = copies.select("doc_id", "tie", F.col("lo").alias("start"), (F.col("lo") + F.col("own") - 1).alias("end"))
-    unlike = kinds.filter("mixed").select("a", "first.doc_id", "first.tie", "first.lo", "own", "n")
+        stays = place.eqNullSafe(F.col("first"))
+        out = copies.select(
+            "doc_id", "tie", F.col("lo").alias("start"), (F.col("lo") + F.col("own") - 1).alias("end"), F.col("lim").alias("limit"),
+            F.when(stays, KEPT).otherwise(kind).alias("kind"), "many",
+        ).filter(f"kind <> {KEPT} or many").drop("many")
+    unlike = kinds.filter("mixed").select("a", "first.doc_id", "first.tie", "first.lo", "own", "first.lim", "n", "many")
     sizes = written(unlike.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > HOT).select("a"), "hot-anchors")
-    spans = spans.unionByName(_context_spans(_contexts(docs, unlike.join(sizes, "a", "left_anti"), size), size, keep))
+    out = out.unionByName(_context_spans(_contexts(docs, unlike.join(sizes, "a", "left_anti")), size, least, words, keep))
     if not sizes.isEmpty():
-        spans = spans.unionByName(_hot_spans(docs, unlike.join(sizes, "a"), size, keep))
-    return spans
+        out = out.unionByName(_hot_spans(docs, unlike.join(sizes, "a"), size, least, words, keep))
+    return out
 
 
 def cut(raw: bytes, ranges: list[tuple[int, int]], size: int) -> tuple[bytes, int, int]:
@@ -265,29 +397,45 @@ def cut(raw: bytes, ranges: list[tuple[int, int]], size: int) -> tuple[bytes, in
     return b"".join(kept), gone, runs
 
 
-def deduplicated(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep: str = "first", texts: bool = False) -> DataFrame:
-    """Per document its bytes, removed bytes and runs, and the hash of what stays (with ``texts`` also the bytes that stay)."""
+def _has_passage(raw: bytes, ranges: list[tuple], size: int, least: int, words: int) -> bool:
+    """Whether one of the repeated ranges has a passage of another document."""
+    if any(kind == PASSAGE_FOUND for *_, kind in ranges):
+        return True
+    ranges = [r for r in ranges if r[3] in (REPEATED, KEPT)]
+    if not ranges:
+        return False
+    starts = np.concatenate([np.arange(start, end + 1) for start, end, _, _ in ranges])
+    limits = np.repeat([limit for _, _, limit, _ in ranges], [end + 1 - start for start, end, _, _ in ranges])
+    return bool((passage_ends(np.frombuffer(raw, np.uint8), starts, words, least) <= np.minimum(limits, starts + size)).any())
+
+
+def deduplicated(
+    docs: DataFrame, size: int = SIZE, least: int = LEAST, gram: int = GRAM, words: int = PASSAGE, keep: str = "first", texts: bool = False
+) -> DataFrame:
+    """Per document its bytes, removed bytes and runs, the hash of what stays (with ``texts`` also the bytes that stay), and repeats_passage."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    cell = F.struct("start", "end")
-    spans = removed_starts(docs, size, gram, keep)
-    lists = spans.groupBy(F.col("doc_id").alias("of_id"), F.col("tie").alias("of_tie")).agg(F.collect_list(cell).alias("list"))
+    cell = F.struct("start", "end", "limit", "kind")
+    found = spans(docs, size, least, gram, words, keep)
+    lists = found.groupBy(F.col("doc_id").alias("of_id"), F.col("tie").alias("of_tie")).agg(F.collect_list(cell).alias("list"))
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
-         ("kept_sha256", pa.string()), ("kept", pa.binary())]
+         ("kept_sha256", pa.string()), ("kept", pa.binary()), ("repeats_passage", pa.bool_())]
     )
 
     def work(batches):
         def rows():
             expand = zstandard.ZstdDecompressor()
-            for doc, z, ranges in rows_of(batches, "doc_id", "z", "list"):
-                raw = expand.decompress(z)
-                kept, gone, runs = cut(raw, [(r["start"], r["end"]) for r in ranges or ()], size)
-                yield doc, len(raw), gone, runs, hashlib.sha256(kept).hexdigest(), kept if texts else None
+            for doc, z, found in rows_of(batches, "doc_id", "z", "list"):
+                raw, ranges = expand.decompress(z), [(r["start"], r["end"], r["limit"], r["kind"]) for r in found or ()]
+                lost = [(a, min(b, limit - size)) for a, b, limit, kind in ranges if kind in (REMOVED, REPEATED) and a + size <= limit]
+                kept, gone, runs = cut(raw, lost, size)
+                shared = _has_passage(raw, ranges, size, least, words)
+                yield doc, len(raw), gone, runs, hashlib.sha256(kept).hexdigest(), kept if texts else None, shared
 
         yield from in_batches(rows(), schema)
 
     out = _with_text(docs, lists, "left").mapInArrow(
-        work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, repeats_passage boolean"
     )
     return out if texts else out.drop("kept")
 

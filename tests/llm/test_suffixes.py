@@ -1,4 +1,6 @@
 import hashlib
+import re
+from bisect import bisect_right
 from collections import defaultdict
 
 import numpy as np
@@ -9,8 +11,29 @@ from tallyframe.llm import suffixes as S
 from tallyframe.llm.tables import read
 
 
-def brute(rows, size=400, keep="none"):
+def with_passage(rows, size=400, least=256, words=50):
+    """(id, text) of documents with a passage that another document has, from every string of every document."""
+    owners = defaultdict(set)
+    strings = []
+    for doc, text in rows:
+        raw = (text or "").encode()
+        begins = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0d]+", raw)]
+        inside = {k for m in re.finditer(rb"[^\x20\x09-\x0d]+", raw) for k in range(*m.span())}
+        for s in range(len(raw) - least + 1):
+            k = bisect_right(begins, s) + words - (s in inside)
+            end = max(begins[k] + 1, s + least) if k < len(begins) else None
+            end = end if end and end <= min(s + size, len(raw)) else None
+            if end:
+                owners[raw[s:end]].add((doc, text))
+                strings.append(((doc, text), raw[s:end]))
+    return {owner for owner, string in strings if len(owners[string]) > 1}
+
+
+def brute(rows, size=400, keep="none", passages=None):
     """All strings of ``size`` bytes in one dictionary."""
+    texts = [(doc, text or "") for doc, text in rows]
+    if passages is None:
+        passages = with_passage(texts, size)
     places = defaultdict(list)
     rows = [(doc, (text or "").encode()) for doc, text in rows]
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, S.tie_of(rows[i][1])))
@@ -24,10 +47,10 @@ def brute(rows, size=400, keep="none"):
             for i, s in found[keep == "first" :]:
                 gone[i][s : s + size] = True
     out = []
-    for (doc, raw), g in zip(rows, gone):
+    for (doc, raw), g, owner in zip(rows, gone, texts):
         edge = np.diff(np.concatenate([[0], g.astype(int), [0]]))
         kept = bytes(np.frombuffer(raw, np.uint8)[~g])
-        out.append((doc, len(raw), int(g.sum()), int((edge == 1).sum()), hashlib.sha256(kept).hexdigest()))
+        out.append((doc, len(raw), int(g.sum()), int((edge == 1).sum()), hashlib.sha256(kept).hexdigest(), owner in passages))
     return sorted(out, key=str)
 
 
@@ -55,7 +78,10 @@ def test_against_all_strings(spark, edge_docs, no_docs):
 def test_keeping_the_first(spark):
     docs = passages(spark)
     assert result(docs, keep="first") == brute(texts_of(docs), keep="first")
-    assert result(docs, keep="first", size=60, gram=25) == brute(texts_of(docs), 60, keep="first")
+    short = {"least": 45, "words": 6}
+    found = with_passage(texts_of(docs), 60, **short)
+    assert result(docs, keep="first", size=60, gram=25, **short) == brute(texts_of(docs), 60, keep="first", passages=found)
+    assert result(docs, keep="none", size=60, gram=45, **short) == brute(texts_of(docs), 60, passages=found)
 
 
 @pytest.mark.parametrize("keep", ["none", "first"])
@@ -65,17 +91,72 @@ def test_hot_anchors(spark, monkeypatch, keep):
     assert result(docs, keep=keep) == brute(texts_of(docs), keep=keep)
 
 
-def test_factors_against_all_pairs():
-    rng = np.random.default_rng(2)
-    data = rng.integers(0, 2, 400).astype(np.uint8)
-    starts = np.arange(len(data) - 12 + 1)
-    earlier, later = S.repeated(data, starts, 12)
-    parts = [bytes(data[s : s + 12]) for s in starts]
-    assert earlier.tolist() == [p in parts[:i] for i, p in enumerate(parts)]
-    assert later.tolist() == [p in parts[i + 1 :] for i, p in enumerate(parts)]
+def test_passages_shorter_than_what_is_removed(spark):
+    """Of more than 50 words in 256 to 400 bytes: told, but nothing goes."""
+    passage = " ".join(words(1, 40 + i)[:5] for i in range(60))
+    assert 256 < len(passage) < 400
+    texts = [words(40, 1) + "\n" + passage + "\n" + words(30, 2), words(20, 3) + " " + passage, passage, "a " + passage[:-40] + "! " + words(9, 4)]
+    texts += [words(200, 5), words(20, 6) + passage[:240], passage[:150] + words(50, 7) + passage[:150], words(45, 8) * 2]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[4]], "doc_id long, text string").repartition(3)
+    got = {r[0]: (r[2], r[5]) for r in result(docs, keep="none") if r[0] != 4}
+    assert got == {0: (0, True), 1: (0, True), 2: (0, True), 3: (0, True), 5: (0, False), 6: (0, False), 7: (0, False)}
+    assert result(docs, keep="none") == brute(texts_of(docs))
+
+
+def longest(data, a, b, size, limits):
+    room = min(size, limits[a] - a, limits[b] - b)
+    return next((k for k in range(room) if data[a + k] != data[b + k]), room)
+
+
+@pytest.mark.parametrize(("letters", "size", "n"), [(2, 12, 300), (2, 40, 200), (1, 30, 120), (3, 5, 150), (30, 400, 500)])
+def test_factors_against_all_pairs(letters, size, n):
+    rng = np.random.default_rng(letters * size)
+    data = np.concatenate([rng.integers(0, letters, n), rng.integers(0, letters, n // 3)]).astype(np.uint8) + np.uint8(97)
+    data = np.concatenate([data, data[n // 4 : n // 2], data[: n // 3]])
+    starts = np.sort(rng.choice(len(data), len(data) * 2 // 3, replace=False))
+    labels = rng.integers(0, 4, len(starts))
+    earlier, later, other = S.factors(S.Order(data, size), starts, np.full(len(starts), len(data)), labels)
+    end = dict.fromkeys(starts.tolist(), len(data))
+    pairs = {(a, b): longest(data, a, b, size, end) for a in end for b in end if a < b}
+    both = lambda a, b: pairs[min(a, b), max(a, b)]
+    at = starts.tolist()
+    assert earlier.tolist() == [max([both(a, b) for b in at[:i]], default=0) for i, a in enumerate(at)]
+    assert later.tolist() == [max([both(a, b) for b in at[i + 1 :]], default=0) for i, a in enumerate(at)]
+    assert other.tolist() == [max([both(a, b) for b, m in zip(at, labels) if m != labels[i]], default=0) for i, a in enumerate(at)]
+    order = S.Order(data, size).order(starts)
+    assert [bytes(data[starts[i] : starts[i] + size]) for i in order] == sorted(bytes(data[s : s + size]) for s in starts) or len(data) - starts.max() < size
+
+
+def test_nearest_smaller_places():
+    rng = np.random.default_rng(1)
+    for values in (rng.permutation(200), np.arange(50), -np.arange(50), rng.integers(0, 5, 100), np.zeros(1, int)):
+        before, after = S.nearest_smaller(values)
+        for i, v in enumerate(values):
+            assert before[i] == max([k for k in range(i) if values[k] < v], default=-1)
+            assert after[i] == min([k for k in range(i + 1, len(values)) if values[k] < v], default=-1)
 
 
 def test_every_string_has_one_anchor():
     data = np.frombuffer(words(400, 8).encode(), np.uint8)
-    _, _, first, own = S.anchors(data, 100, 40)
+    _, _, first, own, limit = S.anchors(data, 150, 100, 40)
     assert first[0] == 0 and (first[1:] == first[:-1] + own[:-1]).all() and first[-1] + own[-1] == len(data) - 99
+    assert (limit == np.minimum(first + own + 149, len(data))).all()
+
+
+def test_an_anchor_with_as_many_contexts_as_one_task_takes():
+    """Orders and factors of ``HOT`` contexts stay within a task's memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    middle = rng.integers(97, 120, S.GRAM)
+    side = S.LEAST - S.GRAM
+    parts = [np.concatenate([rng.integers(97, 120, side), middle, rng.integers(97, 120, S.SIZE - S.GRAM)]) for _ in range(S.HOT)]
+    data = np.concatenate(parts).astype(np.uint8)
+    starts = np.concatenate([np.arange(i * len(parts[0]), i * len(parts[0]) + side) for i in range(S.HOT)])
+    tracemalloc.start()
+    earlier, later, _ = S.factors(S.Order(data, S.SIZE), starts, starts + S.SIZE, np.repeat(np.arange(S.HOT), side))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert earlier.max() < S.SIZE and later.max() < S.SIZE and (earlier[side:] >= S.GRAM).sum() >= S.HOT - 1
+    assert most < 400_000_000
