@@ -7,7 +7,10 @@ largest id that holds it).  Per shard of keys a cuckoo filter holds the keys tha
 ``LEAST_DOCS`` documents.  Lines are asked of the filters first; only hits go to the exact
 counts, so a false hit changes nothing.  Inserting documents adds references and enters
 the keys that reach the limit; deleting documents takes their references back and removes
-the keys that fall below it.
+the keys that fall below it.  Either step shuffles and writes only the keys of its documents
+and the filters of shards in which a key crossed the limit; what it leaves alone is read from
+where it is.  A deletion reads the references in the range of its ids, and those of keys that
+lose their largest id.  ``compacted`` writes a state anew after many steps.
 
 A key in a third of all documents is summed before its exchange, and its references are
 spread over salted copies of its shard's filter.
@@ -47,6 +50,11 @@ def line_key(line: str, least_chars: int = LEAST_CHARS) -> bytes | None:
     return xxhash.xxh3_128_digest(core.encode("utf-8", "surrogatepass").lower())  # bytes: A-Z only
 
 
+def shard_of(key: bytes, shards: int) -> int:
+    """From bytes that neither the filter's buckets (1 to 7) nor its fingerprints (8, 9) use, so each shard has keys of all buckets."""
+    return int.from_bytes(key[12:16]) % shards
+
+
 class CuckooFilter:
     """Sixteen-bit fingerprints in buckets of four, each in one of two buckets; keys are 16 bytes."""
 
@@ -130,7 +138,7 @@ def references(docs: DataFrame, shards: int, least_chars: int = LEAST_CHARS) ->
         def rows():
             for doc, text in rows_of(batches, "doc_id", "text"):
                 for key in {line_key(line, least_chars) for line in text.split("\n")} - {None}:
-                    yield int.from_bytes(key[:4]) % shards, key, doc
+                    yield shard_of(key, shards), key, doc
 
         yield from in_batches(rows(), REFERENCES, size=20_000)
 
@@ -165,40 +173,71 @@ def build(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEA
     return Lines(refs, counts, written(_built(counts, least_docs), "line-filters"), shards, least_docs)
 
 
-def _changed(state: Lines, counts: DataFrame) -> DataFrame:
-    """Filters after the step from the state's counts to ``counts``: keys entered, removed, or all built anew."""
-    old = state.counts.select("shard", "key", (F.col("n_docs") >= state.least_docs).alias("was"))
-    new = counts.select("shard", "key", (F.col("n_docs") >= state.least_docs).alias("now"))
-    both = old.join(new, ["shard", "key"], "full").fillna(False, ["was", "now"]).filter("was or now")
+def _stepped(state: Lines, references: DataFrame, touched: DataFrame) -> Lines:
+    """The state after a step that leaves ``touched`` (shard, key, was, n_docs, keeper) of the keys it met; was: n_docs before."""
+    touched = written(touched, "line-touched")
+    kept = state.counts.join(touched.select("shard", "key"), ["shard", "key"], "left_anti")
+    counts = kept.unionByName(touched.filter("n_docs > 0").select(state.counts.columns))
+    enters, leaves = F.col("n_docs") >= state.least_docs, F.col("was") >= state.least_docs
+    crossed = touched.select("shard", "key", enters.alias("now")).filter(enters != leaves)
 
     def work(keys: pa.Table, held: pa.Table) -> pa.Table:
-        rows = list(zip(keys.column("key").to_pylist(), keys.column("was").to_pylist(), keys.column("now").to_pylist()))
+        if not keys.num_rows:
+            return pa.table({"shard": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
+        rows = list(zip(keys.column("key").to_pylist(), keys.column("now").to_pylist()))
         data = held.column("data").to_pylist()
         made = CuckooFilter.from_bytes(data[0]) if data else CuckooFilter(len(rows))
-        made.delete([k for k, was, now in rows if was and not now])
-        if not made.insert([k for k, was, now in rows if now and not was]):
-            made = _filter_of([k for k, _, now in rows if now])
-        shard = (keys if keys.num_rows else held).column("shard")[:1].cast(pa.int32())
-        return pa.table({"shard": shard, "data": pa.array([made.to_bytes()], pa.binary())})
+        made.delete([k for k, now in rows if not now])
+        room = made.insert([k for k, now in rows if now])
+        return pa.table({"shard": keys.column("shard")[:1].cast(pa.int32()), "data": pa.array([made.to_bytes() if room else None], pa.binary())})
 
-    return both.groupBy("shard").cogroup(state.filters.groupBy("shard")).applyInArrow(work, "shard int, data binary")
+    held = state.filters.join(crossed.select("shard").distinct(), "shard", "left_semi")
+    changed = crossed.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(work, "shard int, data binary")
+    changed = written(changed, "line-filters")
+    full = changed.filter("data is null").select("shard")
+    filters = state.filters.join(changed.select("shard"), "shard", "left_anti").unionByName(changed.filter("data is not null"))
+    if not full.isEmpty():  # no room left in these: built anew from all their keys
+        filters = filters.unionByName(written(_built(counts.join(full, "shard", "left_semi"), state.least_docs), "line-filters"))
+    return Lines(references, counts, filters, state.shards, state.least_docs)
 
 
 def insert(state: Lines, docs: DataFrame, least_chars: int = LEAST_CHARS) -> Lines:
-    """The state with further documents; old references are not read again."""
+    """The state with further documents; old references are not read."""
     more = written(references(docs, state.shards, least_chars), "line-references")
-    both = state.counts.unionByName(counted(more)).groupBy("shard", "key")
-    counts = written(both.agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper")), "line-counts")
-    filters = written(_changed(state, counts), "line-filters")
-    return Lines(state.references.unionByName(more), counts, filters, state.shards, state.least_docs)
+    new = counted(more).withColumnsRenamed({"n_docs": "more", "keeper": "new_keeper"})
+    was = F.coalesce("n_docs", F.lit(0))
+    touched = new.join(state.counts, ["shard", "key"], "left").select(
+        "shard", "key", was.alias("was"), (was + F.col("more")).alias("n_docs"), F.greatest("keeper", "new_keeper").alias("keeper")
+    )
+    return _stepped(state, state.references.unionByName(more), touched)
 
 
 def delete(state: Lines, doc_ids: DataFrame) -> Lines:
     """The state as if the documents with these ids had never been inserted."""
-    gone = doc_ids.select(F.col("doc_id").cast("long").alias("gone")).distinct()
-    refs = written(state.references.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti"), "line-references")
-    counts = written(counted(refs), "line-counts")
-    return Lines(refs, counts, written(_changed(state, counts), "line-filters"), state.shards, state.least_docs)
+    gone = written(doc_ids.select(F.col("doc_id").cast("long").alias("gone")).distinct(), "line-gone")
+    ends = gone.agg(F.min("gone").alias("low"), F.max("gone").alias("high"), F.max(F.col("gone").isNull()).alias("none")).first()
+    near = F.col("doc_id").between(ends["low"], ends["high"]) if ends["low"] is not None else F.lit(False)
+    near = near | F.col("doc_id").isNull() if ends["none"] else near
+    same = F.col("doc_id").eqNullSafe(F.col("gone"))
+    left = state.references.join(gone, same, "left_anti")
+    lost = state.references.filter(near).join(gone, same, "left_semi").groupBy("shard", "key").agg(F.count(F.lit(1)).alias("less"))
+    touched = state.counts.join(lost, ["shard", "key"]).select(
+        "shard", "key", F.col("n_docs").alias("was"), (F.col("n_docs") - F.col("less")).alias("n_docs"), "keeper"
+    )
+    touched = written(touched, "line-touched")
+    # keys that lose their largest id look for the next one among their references
+    orphans = touched.filter("n_docs > 0").join(gone, F.col("keeper").eqNullSafe(F.col("gone")), "left_semi").select("shard", "key")
+    next_ = left.join(orphans, ["shard", "key"], "left_semi").groupBy("shard", "key").agg(F.max("doc_id").alias("next"), F.lit(True).alias("found"))
+    touched = touched.join(next_, ["shard", "key"], "left").select(
+        "shard", "key", "was", "n_docs", F.when(F.col("found"), F.col("next")).otherwise(F.col("keeper")).alias("keeper")
+    )
+    return _stepped(state, left, touched)
+
+
+def compacted(state: Lines) -> Lines:
+    """The same state in tables of its own, without the steps that led to it."""
+    refs, counts = written(state.references, "line-references"), written(state.counts, "line-counts")
+    return Lines(refs, counts, written(state.filters, "line-filters"), state.shards, state.least_docs)
 
 
 def dropped(state: Lines) -> DataFrame:

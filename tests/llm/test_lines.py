@@ -1,4 +1,5 @@
 import duckdb
+import numpy as np
 from conftest_llm import collected, words
 
 from tallyframe.llm import lines as L
@@ -55,6 +56,55 @@ def test_deleting_takes_an_insertion_back(spark):
     assert state_of(L.delete(both, rest)) == state_of(first)
 
 
+def keys_in_filters(state, keys):
+    made = {r["shard"]: L.CuckooFilter.from_bytes(bytes(r["data"])) for r in state.filters.collect()}
+    return {k for k in keys if (s := L.shard_of(k, state.shards)) in made and made[s].holds([k])[0]}
+
+
+def test_many_steps_equal_one_build(spark):
+    """Filters that grow and shrink, keepers that go, ids that come back; counts and filters as if built at once."""
+    shared = [f"A line that {i} many documents have in common, more or less." for i in range(600)]
+    rows = [(i, "\n".join(shared[k] for k in range(600) if (k * 7 + i) % (3 + k % 9) == 0 or k < i)) for i in range(40)] + [(None, shared[0])] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    part = lambda rule: docs.filter(rule)
+    state = L.build(part("doc_id < 4"), shards=3)
+    state = L.insert(state, part("doc_id >= 4 or doc_id is null"))
+    assert state_of(state) == state_of(L.build(docs, shards=3))
+    state = L.delete(state, part("doc_id > 20 or doc_id % 5 = 0 or doc_id is null"))
+    rule = "doc_id <= 20 and doc_id % 5 <> 0"
+    assert state_of(state) == state_of(L.build(part(rule), shards=3))
+    state = L.compacted(L.insert(state, part("doc_id > 30 and doc_id % 2 = 0")))
+    fresh = L.build(part(f"({rule}) or (doc_id > 30 and doc_id % 2 = 0)"), shards=3)
+    assert state_of(state) == state_of(fresh)
+    keys = [L.line_key(line) for line in shared]
+    often = {bytes(r["key"]) for r in state.counts.filter("n_docs >= 5").collect()}
+    assert often <= keys_in_filters(state, keys) and len(keys_in_filters(state, keys) - often) < 5
+    assert L.delete(state, docs).counts.count() == 0 and collected(L.dropped(L.delete(state, docs))) == []
+
+
+def test_a_deletion_writes_the_keys_of_its_documents_only(spark, monkeypatch):
+    rows = [(i, "\n".join(f"line {i} {k} of a document, which is long enough to count" for k in range(50))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    state = L.build(docs)
+    sizes = []
+    monkeypatch.setattr(L, "written", lambda df, label: sizes.append((label, (out := L_written(df, label)).count())) or out)
+    gone = L.delete(state, docs.filter("doc_id = 7"))
+    assert dict(sizes) == {"line-gone": 1, "line-touched": 50, "line-filters": 0}
+    assert gone.counts.count() == 29 * 50
+
+
+L_written = L.written
+
+
+def test_shards_share_no_bits_with_buckets():
+    keys = [k for i in range(60_000) if L.shard_of(k := L.xxhash.xxh3_128_digest(str(i)), 64) == 5]
+    made = L.CuckooFilter(1 << 23)
+    _, first, second = made._where(made.numbers(keys))
+    assert len(made.table) == 1 << 22
+    for at in (first, second):  # a shard's keys lie in all parts of a large filter alike
+        assert np.bincount((at >> np.uint64(16)).astype(int), minlength=64).min() > len(keys) / 64 / 4
+
+
 def test_stage_keeps_rows_and_columns(spark, edge_docs, no_docs):
     docs = repeated(spark).selectExpr("doc_id", "text", "0 as n_chars", "'x' as keys", "1 as loser")
     staged = L.line_stage(spark, docs, "")
