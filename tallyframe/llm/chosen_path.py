@@ -8,11 +8,21 @@ on further tokens, up to ``DEPTH`` times; smaller ones (and what is left at the
 pairs of blocks) are compared by their signatures.  The number of runs is what the target
 recall needs at the greatest depth.
 
-Pairs whose signatures agree in ``NEAR`` or more only join sets into groups.  Then every
-group is compared exactly, all sets against all, in pairs of blocks when it is large, so
-that each pair is looked at once: this gives every set's number of links, and the classes.
-No pair is ever a row: tasks return a row per set and block with its links and the smallest
-set it is connected to.
+Pairs whose signatures agree in ``SIMILARITY`` less ``MARGIN`` or more only join sets into
+groups.  What is left in buckets of more than ``BUCKET_BLOCK`` sets is not compared pair by
+pair: every set is compared with about ``PIVOTS`` pivots of its bucket, and the sets close to
+one (its ball) are joined through it.  Disagreement of signatures is a metric, so by the
+triangle inequality no near pair is lost if two pivots, or a pivot and a set outside all
+balls, are joined up to the distance that such a pair allows; only sets outside all balls are
+compared with each other.
+
+Then every group is compared exactly, all sets against all, so that each pair is looked at
+once: this gives every set's number of links, and the classes.  A group of more than
+``GROUP_BLOCK`` sets is compared in pairs of blocks, as differences: of each set only the
+n-grams travel that it has and the group's first set has not, or the other way round.  Two
+sets' overlap follows from these and the sizes, so what is sent several times is small for
+near copies however long they are.  No pair is ever a row: tasks return a row per set and
+block with its links and the smallest set it is connected to.
 
 Equal sets are one set with a weight before anything else.  Texts travel compressed, once,
 and only those of groups of two or more are used.
@@ -45,7 +55,10 @@ WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
 SIGNATURE, DEPTH, SMALL = 128, 3, 256
 #: Signatures of a pair at the threshold agree less often with a chance below 1e-6.
 MARGIN = 0.17
-BUCKET_BLOCK, GROUP_BLOCK = 2048, 512
+BUCKET_BLOCK, GROUP_BLOCK, DELTA_BLOCK = 2048, 512, 2048
+#: Compressed texts of a block of a large group, which bounds a task's differences.
+DELTA_BYTES = 16_000_000
+PIVOTS, BALL = 32, 0.2
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -242,14 +255,69 @@ def linked_groups(marks: np.ndarray, least: int) -> np.ndarray:
     return label
 
 
+def _least(similarity: float) -> int:
+    """Places in which the signatures of a pair at the threshold agree, but for a small chance."""
+    return math.ceil((similarity - MARGIN) * SIGNATURE)
+
+
+def _marks(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("mark").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+
+
+def _pivot_edges(large: DataFrame, mark: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) of large buckets (path, key, n) through pivots; and with their path, sets (a) that lie in no pivot's ball."""
+    blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
+    draw = F.pmod(F.xxhash64("key", "path", F.lit("pivot")), F.lit(1 << 40)) / float(1 << 40)
+    rows = large.join(mark, "key").select("path", "key", "mark", blocks.alias("blocks"), (draw < PIVOTS / F.col("n")).alias("pivot"))
+    task = lambda block: F.xxhash64("path", block).alias("task")
+    members = rows.select(task(F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), "path", "key", "mark", F.lit(False).alias("pivot"))
+    pivots = rows.filter("pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = members.unionByName(pivots.select(task(F.col("block")), "path", "key", "mark", "pivot"))
+    near, ball = SIGNATURE - _least(similarity), int(BALL * SIGNATURE)
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("path", pa.int64())])
+
+    def work(batches):
+        def found():
+            for table in by_task(batches):
+                table = table.sort_by("key")
+                marks, keys, path = _marks(table), table.column("key").to_pylist(), table.column("path")[0].as_py()
+                pivot = table.column("pivot").to_numpy()
+                middle, at = marks[pivot], np.flatnonzero(pivot).tolist()
+                for i, root in enumerate(linked_groups(middle, SIGNATURE - near - 2 * ball)):
+                    if i != root:
+                        yield keys[at[i]], keys[at[root]], None
+                rest = np.flatnonzero(~pivot)
+                far = np.empty((len(rest), len(at)), np.int64)
+                for k, m in enumerate(middle):
+                    far[:, k] = (marks[rest] != m).sum(axis=1)
+                inside = (far <= ball).any(axis=1) if at else np.zeros(len(rest), bool)
+                for i in np.flatnonzero(inside).tolist():
+                    yield keys[rest[i]], keys[at[int(far[i].argmin())]], None
+                for i in np.flatnonzero(~inside).tolist():
+                    yield keys[rest[i]], None, path
+                    for k in np.flatnonzero(far[i] <= near + ball).tolist():
+                        yield keys[rest[i]], keys[at[k]], None
+
+        yield from in_batches(found(), schema)
+
+    return both.repartition("task").sortWithinPartitions("task").mapInArrow(work, "a binary, b binary, path long")
+
+
 def _candidate_edges(leaves: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) that connect the sets of every bucket whose signatures are near.
 
     A group's edges go to its smallest set, so the buckets of one group mostly repeat them.
     """
-    least = math.ceil((similarity - MARGIN) * SIGNATURE)
-    mark = sets.select("key", "mark")
-    rows = in_blocks(leaves, "path", F.col("n"), "key", BUCKET_BLOCK).join(mark, "key").select("task", "key", "mark")
+    least, mark = _least(similarity), sets.select("key", "mark")
+    leaves = written(leaves, "leaves")
+    large = leaves.filter(F.col("n") > BUCKET_BLOCK)
+    compared, through = leaves.filter(F.col("n") <= BUCKET_BLOCK), None
+    if not large.isEmpty():
+        through = written(_pivot_edges(large, mark, similarity), "pivot-edges")
+        outside = through.filter("path is not null").select("path", F.col("a").alias("key"))
+        sizes = outside.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        compared = compared.unionByName(outside.join(sizes, "path").select(compared.columns))
+    rows = in_blocks(compared, "path", F.col("n"), "key", BUCKET_BLOCK).join(mark, "key").select("task", "key", "mark")
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def work(batches):
@@ -259,14 +327,14 @@ def _candidate_edges(leaves: DataFrame, sets: DataFrame, similarity: float) -> D
                     continue
                 table = table.sort_by("key")
                 keys = table.column("key").to_pylist()
-                marks = np.frombuffer(b"".join(table.column("mark").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
-                for i, root in enumerate(linked_groups(marks, least)):
+                for i, root in enumerate(linked_groups(_marks(table), least)):
                     if i != root:
                         yield keys[i], keys[root]
 
         yield from in_batches(edges(), schema)
 
-    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(work, "a binary, b binary")
+    edges = rows.repartition("task").sortWithinPartitions("task").mapInArrow(work, "a binary, b binary")
+    return edges if through is None else edges.unionByName(through.filter("path is null").select("a", "b"))
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -296,25 +364,95 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 def links_in(sets: list[np.ndarray], weights: np.ndarray, side: np.ndarray, whole: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Per set the weight of its links and the first set it is connected to, in one pair of blocks."""
-    size = np.array([len(s) for s in sets], np.float64)
-    both = overlaps(sets).astype(np.float64)
-    near = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9
+    size = np.array([len(s) for s in sets], np.int64)
+    return links_of(overlaps(sets), 0, np.zeros(len(sets), np.int64), size, weights, side, whole, similarity)
+
+
+def links_of(
+    shared: np.ndarray, base: int, lost: np.ndarray, size: np.ndarray, weights: np.ndarray, side: np.ndarray, whole: bool, similarity: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """``links_in`` from the overlaps of differences to a base set of ``base`` n-grams, of which each set has ``lost`` some."""
+    m = len(size)
+    near = np.empty((m, m), bool)
+    tiles = [slice(a, a + 256) for a in range(0, m, 256)]
+    for t in tiles:
+        both = shared[t] + (base - lost[t, None] - lost[None, :]).astype(np.float64)
+        near[t] = both >= similarity * (size[t, None] + size[None, :] - both) - 1e-9
+        if not whole:
+            near[t] &= side[t, None] != side[None, :]
     np.fill_diagonal(near, False)
-    if not whole:
-        near &= side[:, None] != side[None, :]
-    root = np.arange(len(sets))
+    root = np.arange(m)
     while True:
-        low = np.where(near, root[None, :], len(sets)).min(axis=1, initial=len(sets))
+        low = np.concatenate([np.where(near[t], root[None, :], m).min(axis=1, initial=m) for t in tiles])
         low = np.minimum(root, low)
         low = low[low]
         if (low == root).all():
-            return near @ weights, root
+            return np.concatenate([near[t] @ weights for t in tiles]), root
         root = low
 
 
+LINKS = pa.schema([("key", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
+
+
+def _linked(keys: list[bytes], links: np.ndarray, root: np.ndarray) -> Iterator[tuple]:
+    for k, n, r in zip(keys, links.tolist(), root.tolist()):
+        if n:
+            yield k, n, keys[r]
+
+
+def _large_links(rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(key, links, root) of groups compared in pairs of blocks, from differences to the group's first set."""
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("z")).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / DELTA_BLOCK), F.ceil(F.col("bytes") / DELTA_BYTES)).cast("int").alias("blocks")
+    rows = rows.select("key", "label", "weight", "z").join(sizes.select("label", blocks), "label")
+    task = lambda block: F.xxhash64("label", block).alias("task")
+    members = rows.select(task(F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), "key", "label", "blocks", "weight", "z", F.lit(False).alias("base"))
+    first = rows.filter(F.col("key") == F.col("label")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = members.unionByName(first.select(task(F.col("block")), "key", "label", "blocks", "weight", "z", F.lit(True).alias("base")))
+    schema = pa.schema(
+        [("key", pa.binary()), ("label", pa.binary()), ("blocks", pa.int32()), ("weight", pa.int64()), ("of", pa.int64()), ("size", pa.int64()),
+         ("lost", pa.int64()), ("apart", pa.binary())]
+    )
+
+    def differ(batches):
+        def found():
+            expand, task, base, seen = zstandard.ZstdDecompressor(), None, None, set()
+            for at, key, label, blocks, weight, z, first in rows_of(batches, "task", "key", "label", "blocks", "weight", "z", "base"):
+                grams = ngrams(expand.decompress(z).decode("utf-8", "surrogatepass"), width)
+                if first:
+                    task, base, seen = at, grams, set()
+                elif at == task and key not in seen:  # a repeated row gives its set twice
+                    seen.add(key)
+                    apart = np.setxor1d(grams, base, assume_unique=True)
+                    lost = (len(apart) - len(grams) + len(base)) // 2
+                    yield key, label, blocks, weight, len(base), len(grams), lost, apart.tobytes()
+
+        yield from in_batches(found(), schema)
+
+    kinds = "key binary, label binary, blocks int, weight long, of long, size long, lost long, apart binary"
+    apart = both.repartition("task").sortWithinPartitions("task", F.desc("base")).mapInArrow(differ, kinds)
+    apart = written(apart, "differences")
+    pairs = in_blocks(apart, "label", F.col("blocks"), "key", 1)
+
+    def work(batches):
+        def found():
+            for table in by_task(batches):
+                table = table.sort_by("key")
+                sets = [np.frombuffer(x, np.uint64) for x in table.column("apart").to_pylist()]
+                of = lambda name: table.column(name).to_numpy()
+                links, root = links_of(
+                    overlaps(sets), table.column("of")[0].as_py(), of("lost"), of("size"), of("weight"), of("side"), table.column("whole")[0].as_py(), similarity
+                )
+                yield from _linked(table.column("key").to_pylist(), links, root)
+
+        yield from in_batches(found(), LINKS)
+
+    return pairs.repartition("task").sortWithinPartitions("task").mapInArrow(work, "key binary, links long, root binary")
+
+
 def _exact_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, width: int, similarity: float) -> DataFrame:
     """(key, links, root) per set and task: all pairs of every group compared exactly."""
-    sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = written(groups.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
     wanted = groups.join(sizes, "label").join(sets.select("key", "weight", "rep"), "key")
     wanted = wanted.select("key", "label", "n", "weight", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tie").alias("rep_tie"))
     schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("z", pa.binary())])
@@ -326,28 +464,27 @@ def _exact_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, width: int
 
     texts = docs.mapInArrow(squeeze, "doc_id long, tie long, z binary")
     same = texts["doc_id"].eqNullSafe(wanted["rep_id"]) & (texts["tie"] == wanted["rep_tie"])
-    # a repeated row gives its set twice; the tasks use it once
     rows = texts.join(wanted, same).select("key", "label", "n", "weight", "z")
-    rows = in_blocks(rows, "label", F.col("n"), "key", GROUP_BLOCK).select("task", "side", "whole", "key", "weight", "z")
-    out = pa.schema([("key", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
+    large = not sizes.filter(F.col("n") > GROUP_BLOCK).isEmpty()
+    if large:
+        rows = written(rows, "group-texts")
+    small = rows.filter(F.col("n") <= GROUP_BLOCK).select(F.xxhash64("label").alias("task"), "key", "weight", "z")
 
     def work(batches):
         def found():
             expand = zstandard.ZstdDecompressor()
             for table in by_task(batches):
-                once = {k: i for i, k in enumerate(table.column("key").to_pylist())}
+                once = {k: i for i, k in enumerate(table.column("key").to_pylist())}  # a repeated row gives its set twice
                 keys = sorted(once)
                 table = table.take([once[k] for k in keys])
                 sets = [ngrams(expand.decompress(z.as_py()).decode("utf-8", "surrogatepass"), width) for z in table.column("z")]
-                weights, side = table.column("weight").to_numpy(), table.column("side").to_numpy()
-                links, root = links_in(sets, weights, side, table.column("whole")[0].as_py(), similarity)
-                for k, n, r in zip(keys, links.tolist(), root.tolist()):
-                    if n:
-                        yield k, n, keys[r]
+                links, root = links_in(sets, table.column("weight").to_numpy(), np.zeros(len(keys), np.int32), True, similarity)
+                yield from _linked(keys, links, root)
 
-        yield from in_batches(found(), out)
+        yield from in_batches(found(), LINKS)
 
-    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(work, "key binary, links long, root binary")
+    links = small.repartition("task").sortWithinPartitions("task").mapInArrow(work, "key binary, links long, root binary")
+    return links.unionByName(_large_links(rows.filter(F.col("n") > GROUP_BLOCK), width, similarity)) if large else links
 
 
 def join(

@@ -61,12 +61,62 @@ def test_against_all_pairs(spark, edge_docs, no_docs):
 
 
 def test_splitting_and_blocks(spark, monkeypatch):
-    for name, value in (("SMALL", 8), ("BUCKET_BLOCK", 16), ("GROUP_BLOCK", 16)):
+    for name, value in (("SMALL", 8), ("BUCKET_BLOCK", 16), ("GROUP_BLOCK", 16), ("DELTA_BLOCK", 20), ("PIVOTS", 4)):
         monkeypatch.setattr(C, name, value)
     docs = near_copies(spark, 90, seed=5)
+    docs = docs.unionByName(docs.filter("doc_id % 7 = 0")).repartition(4)  # repeated rows
     assert result(docs) == brute(texts_of(docs))
 
 
+def test_blocks_follow_bytes(spark, monkeypatch):
+    for name, value in (("GROUP_BLOCK", 10), ("DELTA_BYTES", 9000)):
+        monkeypatch.setattr(C, name, value)
+    docs = near_copies(spark, 70, seed=9)
+    assert result(docs) == brute(texts_of(docs))
+
+
+@pytest.mark.parametrize("pivots", [0, 2, 40])
+def test_pivots_lose_no_near_pair(spark, monkeypatch, pivots):
+    """Balls, chains between balls and sets outside all balls: every near pair ends in one component."""
+    monkeypatch.setattr(C, "PIVOTS", pivots)
+    monkeypatch.setattr(C, "BUCKET_BLOCK", 25)
+    rng = np.random.default_rng(6)
+    marks = [rng.integers(0, 256, C.SIGNATURE).astype(np.uint8)]
+    for i in range(239):
+        of = marks[rng.integers(len(marks))].copy() if i % 8 else rng.integers(0, 256, C.SIGNATURE).astype(np.uint8)
+        of[rng.choice(C.SIGNATURE, rng.integers(0, 60), replace=False)] = rng.integers(0, 256)
+        marks.append(of)
+    keys = [i.to_bytes(16) for i in range(len(marks))]
+    sets = spark.createDataFrame([(bytearray(k), bytearray(m.tobytes())) for k, m in zip(keys, marks)], "key binary, mark binary")
+    leaves = spark.createDataFrame([(5, bytearray(k), len(keys)) for k in keys], "path long, key binary, n long")
+    root = {k: k for k in keys}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in C._candidate_edges(leaves, sets, 0.8).collect():
+        root[top(bytes(a))] = top(bytes(b))
+    near = (np.array(marks)[:, None] == np.array(marks)[None]).sum(axis=2) >= C._least(0.8)
+    assert near.sum() > 2 * len(marks)
+    assert all(top(keys[i]) == top(keys[j]) for i, j in zip(*np.nonzero(near)))
+
+
+def test_links_from_differences():
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 400, 300).astype(np.uint64))
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(150, len(base)), replace=False), rng.integers(400, 440, 30).astype(np.uint64)])) for _ in range(20)]
+    weights, side = rng.integers(1, 5, 20), rng.integers(0, 2, 20)
+    apart = [np.setxor1d(x, base) for x in sets]
+    lost = np.array([len(np.setdiff1d(base, x)) for x in sets])
+    size = np.array([len(x) for x in sets])
+    for whole in (True, False):
+        plain = C.links_in(sets, weights, side, whole, 0.6)
+        coded = C.links_of(C.overlaps(apart), len(base), lost, size, weights, side, whole, 0.6)
+        assert (plain[0] == coded[0]).all() and (plain[1] == coded[1]).all() and plain[0].any()
+
+
 def test_groups_of_signatures_against_all_pairs():
     rng = np.random.default_rng(3)
     marks = rng.integers(0, 3, (60, C.SIGNATURE)).astype(np.uint8)
