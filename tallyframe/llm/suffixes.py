@@ -45,8 +45,8 @@ from pyspark.sql import functions as F
 from tallyframe.llm.tables import in_batches, read, rows_of, whole_text, written
 from tallyframe.llm.winnowing import mixed, powers, smallest
 
-SIZE, LEAST, GRAM, PASSAGE = 400, 256, 104, 50
-HOT, TASK_BYTES = 4_000, 1_000_000
+SIZE, LEAST, GRAM, PASSAGE = 400, 256, 64, 50
+HOT, TASK_BYTES = 2_000, 500_000
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 STEP = np.uint64(0xA0761D6478BD642F)
@@ -65,6 +65,11 @@ class Hashes:
         self.up = powers("up", len(data) + 1)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers("down", len(data)))])
 
+    def all_of(self, long: int) -> np.ndarray:
+        """Of every run of ``long`` bytes."""
+        n = len(self.sums) - long
+        return mixed((self.sums[long:] - self.sums[:n]) * self.up[:n] + np.array([long], np.uint64) * STEP)
+
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.up[start] + (end - start).astype(np.uint64) * STEP)
 
@@ -74,9 +79,8 @@ def anchors(data: np.ndarray, size: int, least: int, gram: int) -> tuple[np.ndar
     if len(data) < least:
         return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
     hashes = Hashes(data)
-    at = np.arange(len(data) - gram + 1)
-    grams = hashes.of(at, at + gram)
-    key = (grams & ~LOW) | (LOW - at.astype(np.uint64))
+    grams = hashes.all_of(gram)
+    key = (grams & ~LOW) | (LOW - np.arange(len(grams), dtype=np.uint64))
     place = (LOW - (smallest(key, least - gram + 1) & LOW)).astype(np.int64)
     first = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
     own = np.diff(np.append(first, len(place)))
@@ -141,28 +145,42 @@ def dense(keys: np.ndarray) -> np.ndarray:
     """Ranks from 1, equal for equal keys."""
     order = np.argsort(keys)
     ordered = keys[order]
+    new = np.empty(len(keys), bool)
+    new[:1], new[1:] = True, ordered[1:] != ordered[:-1]
     ranks = np.empty(len(keys), np.uint32)
-    ranks[order] = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    ranks[order] = np.cumsum(new, dtype=np.uint32)
     return ranks
 
 
 class Order:
-    """Ranks of the runs of 8, 16, 32 ... up to ``size`` bytes at every place of ``data``, for order and common prefixes."""
+    """Ranks of the runs of 8, 24, 72 ... up to ``size`` bytes at every place of ``data``, for order and common prefixes.
+
+    A rank comes from three ranks of a third of the length; from two of half the length where
+    three do not fit into 64 bits.
+    """
 
     def __init__(self, data: np.ndarray, size: int):
-        self.size, n, room = size, len(data), 2 * size + 16
-        padded = np.concatenate([data, np.zeros(room + 8, np.uint8)])
+        self.size, n, room = size, len(data), 3 * size + 16
+        padded = np.concatenate([data, np.zeros(room + 16, np.uint8)])
         self.eight = np.empty(n + room, np.uint64)
         for k in range(8):
-            self.eight[k::8] = np.frombuffer(padded.tobytes()[k:], ">u8", len(self.eight[k::8]))
+            count = len(self.eight[k::8])
+            self.eight[k::8] = padded[k : k + 8 * count].view(">u8")
+        self.arity = 3 if n < 1 << 21 else 2
         long = min(8, size)
         self.levels = [(long, self._ranked(self.eight[:n] >> np.uint64(64 - 8 * long), room))]
-        while 2 * long <= size:
+        while self.arity * long <= size:
             ranks = self.levels[-1][1]
-            both = (ranks[:n].astype(np.uint64) << np.uint64(32)) | ranks[long : n + long]
-            long *= 2
+            both = self._joined([ranks[k * long : n + k * long] for k in range(self.arity)])
+            long *= self.arity
             self.levels.append((long, self._ranked(both, room)))
 
+    def _joined(self, ranks: list[np.ndarray]) -> np.ndarray:
+        bits, out = np.uint64(64 // self.arity), ranks[0].astype(np.uint64)
+        for more in ranks[1:]:
+            out = (out << bits) | more
+        return out
+
     @staticmethod
     def _ranked(keys: np.ndarray, room: int) -> np.ndarray:
         return np.concatenate([dense(keys), np.zeros(room, np.uint32)])
@@ -170,14 +188,15 @@ class Order:
     def order(self, starts: np.ndarray) -> np.ndarray:
         """The places in ``starts`` (ascending) by their first ``size`` bytes, equal ones by position."""
         long, ranks = self.levels[-1]
-        keys = (ranks[starts].astype(np.uint64) << np.uint64(32)) | ranks[starts + self.size - long]
-        return np.argsort(keys, kind="stable")
+        at = [0, self.size - long] if self.arity == 2 else [0, min(long, self.size - long), self.size - long]
+        return np.argsort(self._joined([ranks[starts + k] for k in at]), kind="stable")
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix of the suffixes at places ``a`` and ``b``, up to ``size``."""
         long = np.zeros(len(a), np.int64)
         for size, ranks in reversed(self.levels):
-            long += np.where(ranks[a + long] == ranks[b + long], size, 0)
+            for _ in range(self.arity - 1):
+                long += np.where(ranks[a + long] == ranks[b + long], size, 0)
         rest = self.eight[a + long] ^ self.eight[b + long]
         for k in range(1, 9):
             long += rest < np.uint64(1 << (64 - 8 * k)) if k < 8 else rest == 0
@@ -199,6 +218,7 @@ def nearest_smaller(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             at = np.where(far, at - (1 << k), at)
         return at
 
+    values = values.astype(np.int32)
     mirrored = before(values[::-1])[::-1]
     return before(values), np.where(mirrored < 0, -1, len(values) - 1 - mirrored)
 
