@@ -7,17 +7,26 @@ Besides the known forms, every token of at least ``LEAST`` letters, digits and `
 is a candidate.  Its encoding is the smallest alphabet that holds it.  Three tests ask
 whether its symbols could be uniform draws from that alphabet: chi-squared over eight
 equal ranges of the alphabet, the number of runs above and below its middle, and the
-correlation of neighbours; Fisher's method joins their p-values into one.  Only the far
-tail, below ``FAR``, is ruled out by it, so nearly every random token stays.
-
-What stays is weighed against ordinary tokens: words, names, paths and numbers, as a chain
-of six kinds of symbols (``TURNS``) with a frequency per letter (``LETTERS``).  The chance
-of the token there over its chance as uniform draws is a p-value against ordinary tokens,
-since it is below x with a chance of at most x for them.  Per encoding and length (in
-powers of two) the Benjamini-Hochberg rule at ``FALSE_SHARE`` is applied to these
-p-values over the whole table, a repeated token counting once, in cells of one unit of -log p.  A class with one token needs
-a p-value of ``FALSE_SHARE`` like any other test, so a lone random key is found; a random
-token's p-value falls so fast with its length that it stays found among many others.
+correlation of neighbours.  The last two depend on each other, so their p-values are joined by
+Bonferroni's bound, three times the smallest, which holds under any dependence.
+
+False discoveries are controlled twice, per encoding and length (in powers of two) over the
+whole table, by the Benjamini-Hochberg rule; a repeated token counts once, and p-values are
+counted in cells of one unit of -log p.
+
+* The battery's p-values: tokens found not to be uniform draws are ruled out.  At most
+  ``DROPPED_SHARE`` of those are uniform draws after all, so nearly every random token stays,
+  also among very many ordinary ones.
+* What stays is weighed against the table's ordinary tokens: a chain of six kinds of symbols
+  with a frequency per letter, fitted to all different shorter tokens of all texts (``fitted``).  The
+  chance of a token there over its chance as uniform draws is a p-value against ordinary
+  tokens, since it is below x with a chance of at most x for them.  The rule at
+  ``FALSE_SHARE`` takes the random ones.  A class with one token needs a p-value of ``FALSE_SHARE``
+  like any other test, so a lone random key is found; a random token's p-value falls so fast
+  with its length that it stays found among many others.
+
+A table too small to show what is ordinary leans on the English text of Python's own help
+(``pydoc_data``), which counts as ``PRIOR`` symbols.
 
 Defined cases: a null text is empty and has no spans; an empty text and an empty table
 likewise; equal texts get equal spans; a span of the battery that overlaps a known
@@ -27,6 +36,9 @@ form is left out; repeated and null ids are kept row by row; other columns are i
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +49,7 @@ KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # a whole run or nothing: a later start in the run is shorter
 HEX = r"[0-9a-f]{24,}"
-LEAST, FALSE_SHARE, FAR, CELLS = 20, 0.1, 1e-4, 100
+LEAST, FALSE_SHARE, DROPPED_SHARE, CELLS, PRIOR = 20, 0.1, 1e-4, 100, 5_000
 CANDIDATE = rf"[A-Za-z0-9+/_-]{{{LEAST},}}"
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ENCODINGS = [
@@ -50,21 +62,11 @@ ENCODINGS = [
     ("base64url", UPPER + LOWER + DIGITS + "-_"),
     ("mixed", UPPER + LOWER + DIGITS + "+/-_"),
 ]
-# -log of the chance that a symbol of one kind follows one of another, kinds in the order of SORTS, and of a letter among
-# the vowels or consonants; counted over names in the Python library and words of the documents of sf0.1
 SORTS = ["aeiouy", "bcdfghjklmnpqrstvwxz", "AEIOUY", "BCDFGHJKLMNPQRSTVWXZ", DIGITS, "+/-_"]
-TURNS = [
-    [1.7, 0.3, 6.1, 4.7, 5.8, 3.1],
-    [0.7, 0.9, 5.4, 4.2, 5.8, 2.5],
-    [4.4, 2.5, 2.4, 0.3, 5.5, 2.3],
-    [2.3, 3.4, 0.8, 1.2, 5.7, 2.2],
-    [3.4, 3.3, 5.3, 5.0, 0.3, 1.8],
-    [2.0, 0.7, 2.9, 1.4, 3.0, 3.2],
-]
-LETTERS = dict(
-    a=1.7, b=3.7, c=2.8, d=2.8, e=1.0, f=3.5, g=3.4, h=2.8, i=1.8, j=5.6, k=4.4, l=2.6, m=3.2,
-    n=2.0, o=1.8, p=3.1, q=5.3, r=2.1, s=2.3, t=1.9, u=2.5, v=4.2, w=4.3, x=4.4, y=3.6, z=4.9,
-)
+SIGNS = "".join(SORTS)
+#: The kind of every sign as a digit, and the kind before a token's first sign.
+KIND_OF, START = "".join(str(k) * len(letters) for k, letters in enumerate(SORTS)), len(SORTS)
+WORD = r"[A-Za-z0-9+/_-]+"
 
 
 def places(pieces: Column, lengths: Column) -> Column:
@@ -94,22 +96,65 @@ def with_places(df: DataFrame, name: str, pattern: str, keep_groups: int = 0) ->
 
 
 def normal_above(z: Column) -> Column:
-    """Share of a standard normal above z, by a logistic curve good to 2e-4."""
-    return 1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z))
+    """Share of a standard normal above z: a logistic curve good to 2e-4 in the middle, a continued fraction beyond 2."""
+    tail = z + 5.0
+    for k in (4, 3, 2, 1):
+        tail = z + k / tail
+    middle = 1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z))
+    return F.when(z > 2, F.exp(-z * z / 2) / math.sqrt(2 * math.pi) / tail).otherwise(middle)
 
 
 def floor_p(p: Column) -> Column:
     return F.greatest(p, F.lit(1e-12))
 
 
-def battery(token: Column) -> Column:
-    """(encoding, length class, -log of the p-value against ordinary tokens, 0 if the symbols are no uniform draws) of a token."""
+@cache
+def _prior() -> dict[tuple[int, str], float]:
+    """Signs by the kind before them in the different words of Python's help texts, ``PRIOR`` of them in all."""
+    from pydoc_data.topics import topics
+
+    counts = Counter()
+    for word in {w for text in topics.values() for w in re.findall(WORD, text)}:
+        kinds = [START, *(int(KIND_OF[SIGNS.index(c)]) for c in word)]
+        counts.update(zip(kinds, word))
+    return {cell: n * PRIOR / counts.total() for cell, n in counts.items()}
+
+
+def fitted(texts: DataFrame) -> tuple[list[float], list[float]]:
+    """-log of the chance of each kind after each kind (rows; the last for a token's start), and of each sign among its kind.
+
+    Counted over the different tokens of all texts (column text) that are too short to be
+    candidates; upper and lower case share the frequencies of letters.  The counts that come to
+    the driver are one per kind and sign.
+    """
+    words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word")).filter(F.length("word") < LEAST).distinct()
+    words = words.select("word", F.concat(F.lit(str(START)), F.translate("word", SIGNS, KIND_OF)).alias("kinds"))
+    at = words.select("word", "kinds", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i"))
+    cells = at.groupBy(F.substr("kinds", F.col("i"), F.lit(1)).alias("before"), F.substr("word", F.col("i"), F.lit(1)).alias("sign")).count()
+    counts = Counter(_prior())
+    for row in cells.collect():
+        counts[int(row["before"]), row["sign"]] += row["count"]
+    kind = lambda c: int(KIND_OF[SIGNS.index(c)])
+    after, letters, of_kind = Counter(), Counter(), Counter()
+    for (before, sign), n in counts.items():
+        after[before, kind(sign)] += n
+        letters[sign.lower()] += n
+        of_kind[kind(sign.lower())] += n
+    turns = [
+        -math.log((after[a, b] + 1) / (sum(after[a, k] for k in range(len(SORTS))) + len(SORTS))) for a in range(START + 1) for b in range(len(SORTS))
+    ]
+    signs = [-math.log((letters[c.lower()] + 1) / (of_kind[kind(c.lower())] + len(SORTS[kind(c.lower())]))) for c in SIGNS]
+    return turns, signs
+
+
+def battery(token: Column, model: tuple[list[float], list[float]]) -> Column:
+    """(encoding, length class, -log of the p-value as uniform draws, -log of that against ordinary tokens) of a token."""
     name, alphabet = F.lit("mixed"), F.lit(ENCODINGS[-1][1])
     for label, letters in reversed(ENCODINGS[:-1]):
         inside = F.translate(token, letters, "") == ""
         name, alphabet = F.when(inside, label).otherwise(name), F.when(inside, letters).otherwise(alphabet)
     parts = F.struct(name.alias("name"), alphabet.alias("letters"), token.alias("token"))
-    return _let(parts, _tests).withField("key", F.xxhash64(token))
+    return _let(parts, lambda part: _tests(part, model)).withField("key", F.xxhash64(token))
 
 
 def _let(value: Column, body) -> Column:
@@ -117,23 +162,21 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _tests(part: Column) -> Column:
+def _tests(part: Column, model: tuple[list[float], list[float]]) -> Column:
     n, k = F.length(part["token"]).cast("double"), F.length(part["letters"]).cast("double")
     symbols = F.transform(F.split(part["token"], ""), lambda c: (F.instr(part["letters"], c) - 1).cast("double"))
     symbols = F.filter(symbols, lambda v: v >= 0)
     # all of an encoding's tokens of one length are equally likely as uniform draws, and each encoding as likely as the others
-    odds = ordinary(part["token"]) - n * F.log(k) - math.log(len(ENCODINGS))
+    odds = ordinary(part["token"], model) - n * F.log(k) - math.log(len(ENCODINGS))
     return _let(F.struct(symbols.alias("v"), n.alias("n"), k.alias("k"), part["name"].alias("name"), odds.alias("odds")), _joint)
 
 
-def ordinary(token: Column) -> Column:
+def ordinary(token: Column, model: tuple[list[float], list[float]]) -> Column:
     """-log of a token's chance among ordinary tokens of its length."""
-    signs = "".join(SORTS)
-    sorts = F.array(*[F.lit(k) for k, letters in enumerate(SORTS) for _ in letters])
-    costs = F.array(*[F.lit(LETTERS.get(c.lower()) or math.log(10 if c in DIGITS else 4)) for c in signs])
-    turns = F.array(*[F.lit(cost) for row in [*TURNS, [math.log(len(SORTS))] * len(SORTS)] for cost in row])
-    places = F.filter(F.transform(F.split(token, ""), lambda c: F.when(c != "", F.instr(F.lit(signs), c))), lambda i: i.isNotNull())
-    start = F.struct(F.lit(len(SORTS)).alias("last"), F.lit(0.0).alias("cost"))
+    sorts = F.array(*[F.lit(int(k)) for k in KIND_OF])
+    turns, costs = (F.array(*[F.lit(float(x)) for x in values]) for values in model)
+    places = F.filter(F.transform(F.split(token, ""), lambda c: F.when(c != "", F.instr(F.lit(SIGNS), c))), lambda i: i.isNotNull())
+    start = F.struct(F.lit(START).alias("last"), F.lit(0.0).alias("cost"))
 
     def add(state: Column, i: Column) -> Column:
         sort = F.element_at(sorts, i)
@@ -175,25 +218,25 @@ def _p_values(x: Column) -> Column:
     square = F.aggregate(x["v"], F.lit(0.0), lambda s, a: s + around(a, a))
     cross = F.aggregate(x["pairs"], F.lit(0.0), lambda s, p: s + around(p["a"], p["b"]))
     serial = F.when(square > 0, F.abs(cross / square + 1 / n) * F.sqrt(n)).otherwise(8.0)
-    half = -(
-        F.log(floor_p(normal_above(x["cube"])))
-        + F.log(floor_p(F.least(F.lit(1.0), 2 * normal_above(runs))))
-        + F.log(floor_p(F.least(F.lit(1.0), 2 * normal_above(serial))))
+    least = F.least(
+        normal_above(x["cube"]), F.least(F.lit(1.0), 2 * normal_above(runs)), F.least(F.lit(1.0), 2 * normal_above(serial))
     )
-    joint = F.exp(-half) * (1 + half + half * half / 2)  # chi-squared with six degrees of freedom
-    weight = F.when(joint >= FAR, F.greatest(x["odds"], F.lit(0.0))).otherwise(0.0)
-    return F.struct(x["name"].alias("name"), F.floor(F.log2(n)).cast("int").alias("long"), weight.alias("weight"))
+    joint = F.least(F.lit(1.0), 3 * floor_p(least))
+    return F.struct(
+        x["name"].alias("name"), F.floor(F.log2(n)).cast("int").alias("long"), (-F.log(joint)).alias("apart"),
+        F.greatest(x["odds"], F.lit(0.0)).alias("weight"),
+    )
 
 
-def thresholds(tests: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame:
+def thresholds(tests: DataFrame, weight: str = "weight", false_share: float = FALSE_SHARE) -> DataFrame:
     """One row: {encoding/length class: least -log p that the Benjamini-Hochberg rule takes}.
 
-    ``tests`` has name, long, weight (-log p) and the token's key per candidate; repeats of a
+    ``tests`` has name, long, -log p (column ``weight``) and the token's key per candidate; repeats of a
     token are one test.  They are counted into cells of weight first, so what follows has up
     to ``CELLS`` rows per encoding and length class.
     """
-    tests = tests.select("name", "long", "weight", "key").distinct()
-    cell = F.least(F.floor("weight"), F.lit(CELLS - 1)).cast("int")
+    tests = tests.select("name", "long", weight, "key").distinct()
+    cell = F.least(F.floor(weight), F.lit(CELLS - 1)).cast("int")
     counted = tests.groupBy("name", "long", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     lists = counted.groupBy("name", "long").agg(
         F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("of"), F.sum("n").alias("all")
@@ -201,12 +244,17 @@ def thresholds(tests: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame:
     above = lambda c: F.aggregate(
         F.sequence(c, F.lit(CELLS - 1)), F.lit(0).cast("long"), lambda s, i: s + F.coalesce(F.element_at("of", i), F.lit(0))
     )
-    # no ordinary token has a weight of c with a chance above exp(-c)
+    # under the tested hypothesis no token has a weight of c with a chance above exp(-c)
     good = F.filter(F.sequence(F.lit(1), F.lit(CELLS - 1)), lambda c: F.col("all") * F.exp(-c) <= false_share * above(c))
     lists = lists.select(F.concat_ws("/", "name", "long").alias("key"), F.array_min(good).alias("from"))
     return lists.agg(F.map_from_entries(F.collect_list(F.struct("key", "from"))).alias("from"))
 
 
+def _taken(test, weight: Column, limits: Column) -> Column:
+    """Whether a -log p reaches its class's threshold."""
+    return F.coalesce(weight >= F.element_at(limits, F.concat_ws("/", test["name"], test["long"])), F.lit(False))
+
+
 def _tagged(spans: Column, kind: int) -> Column:
     """Spans of one kind in the order in which they are sorted and printed."""
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
@@ -224,18 +272,21 @@ def scan(docs: DataFrame) -> DataFrame:
     apart = F.filter(
         "candidate", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     )
+    model = fitted(docs.select(whole_text().alias("text")))
     tested = F.transform(
-        apart, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), battery(c["text"]).alias("test"))
+        apart, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), battery(c["text"], model).alias("test"))
     )
     small = written(
         rows.select("doc_id", *[F.size(k).alias(f"n_{k}") for k in KINDS[:3]], "base", tested.alias("tested")), "spans"
     )
-    limits = thresholds(small.select(F.explode("tested").alias("t")).select("t.test.*"))
-    small = small.withColumn("from", limits.scalar())
-    random = F.filter(
-        "tested",
-        lambda c: F.coalesce(c["test"]["weight"] >= F.element_at("from", F.concat_ws("/", c["test"]["name"], c["test"]["long"])), F.lit(False)),
-    )
+    tests = small.select(F.explode("tested").alias("t")).select("t.test.*")
+    ruled_out = thresholds(tests, "apart", DROPPED_SHARE)
+    # tokens ruled out stay tests of the second rule, as ones that say nothing
+    uniform = lambda t, out: F.when(_taken(t, t["apart"], out), 0.0).otherwise(t["weight"])
+    each = {c: F.col(c) for c in ("name", "long", "apart", "weight", "key")}
+    weighed = tests.withColumn("out", ruled_out.scalar()).withColumn("weight", uniform(each, F.col("out"))).drop("out")
+    small = small.withColumn("out", ruled_out.scalar()).withColumn("from", thresholds(weighed).scalar())
+    random = F.filter("tested", lambda c: _taken(c["test"], uniform(c["test"], F.col("out")), F.col("from")))
     names = F.array(*[F.lit(k) for k in KINDS])
     printed = lambda spans: F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ","
