@@ -9,9 +9,17 @@ the gap.  Every task packs its own rows, so nothing is shuffled, and no document
 larger than its task's memory.  The last open sequence of a task, and any that another
 limit closes before it is full, is cut into powers of two, which need no padding.
 
+Conversations (``pack_conversations``) are examples in which only the turns of some roles bear
+loss, so all three limits bind.  An example that fits the limits is never cut; into the open
+sequence goes the fitting one with the largest product, and where none fits the sequence is
+closed and padded.  A conversation is numbered by turn and makes an example for every
+``TURNS`` turns, so one that holds a third of all rows is many examples in many tasks.
+
 Defined cases: a null text is an empty text and has the closing id alone; null and
 repeated document ids are packed like others; an empty table gives no rows; other
-columns are ignored.
+columns are ignored.  Turns without a conversation are one conversation; turns of equal
+number follow one another by a hash of their row; a null role is empty and bears no loss.
+The pipeline's stage takes the same cases, and a document that the mix repeats as often as it comes.
 """
 
 from __future__ import annotations
@@ -32,8 +40,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyframe.llm.tables import in_batches, read, rows_of, whole_text
+from tallyframe.operators.ordered import in_pieces, numbered
 
 TOKENS, SEGMENTS, POOL = 1024, 128, 2048
+#: Limits for conversations, and the turns of an example.
+CHAT_TOKENS, CHAT_SEGMENTS, CHAT_LOSS, TURNS, LEARNED = 2048, 16, 1024, 64, ("assistant",)
 #: Runs this long go to the other library, whose work does not grow with their square.
 LONG_RUN = re.compile(r"\S{2000}|\s{2000}")
 SCHEMA = pa.schema(
@@ -95,10 +106,11 @@ class Piece:
         )
 
 
-def fill(pieces: list[Piece], limits: np.ndarray, last: bool) -> tuple[list[list[Piece]], list[Piece]]:
+def fill(pieces: list[Piece], limits: np.ndarray, last: bool, cuts: bool = True) -> tuple[list[list[Piece]], list[Piece]]:
     """Sequences of ``pieces`` by the dot-product heuristic, and the pieces of one that is not full.
 
-    With ``last`` nothing is left over: every sequence is closed.
+    With ``last`` nothing is left over: every sequence is closed.  Without ``cuts`` pieces,
+    which then have to fit the limits, stay whole.
     """
     if not pieces:
         return [], []
@@ -120,6 +132,8 @@ def fill(pieces: list[Piece], limits: np.ndarray, last: bool) -> tuple[list[list
                 i = int(fits[np.argmax(share[fits] @ (weight * room / limits))])
                 placed = held[i]
                 live[i] = False
+            elif not cuts:
+                break
             else:
                 i = int(at[np.argmax(need[at, 0])])
                 allowed = np.searchsorted(np.cumsum(held[i].loss), room[2], side="right")
@@ -156,8 +170,13 @@ def in_powers(pieces: list[Piece]) -> Iterator[list[Piece]]:
         yield mine
 
 
-def pack_examples(examples: Iterator[tuple], tokens: int, segments: int, loss: int, first_id: int = 0) -> Iterator[tuple]:
-    """Rows (example, start, length, crc, total, sequence, offset) for (example, ids, loss mask)."""
+def pack_examples(
+    examples: Iterator[tuple], tokens: int, segments: int, loss: int, first_id: int = 0, cuts: bool = True
+) -> Iterator[tuple]:
+    """Rows (example, start, length, crc, total, sequence, offset) for (example, ids, loss mask).
+
+    Without ``cuts`` only examples that exceed a limit are cut, at that limit.
+    """
     limits, number, pool = np.array([tokens, segments, loss]), first_id, []
 
     def rows(sequence: list[Piece]) -> Iterator[tuple]:
@@ -170,22 +189,25 @@ def pack_examples(examples: Iterator[tuple], tokens: int, segments: int, loss: i
         """Full sequences as they are; one closed by another limit than ``tokens`` would be padded."""
         for sequence in sequences:
             full = sum(len(p.ids) for p in sequence) == tokens
-            yield from [sequence] if full else in_powers(sequence)
+            yield from [sequence] if full or not cuts else in_powers(sequence)
 
     for doc, ids, mask in examples:
         whole, total = Piece(doc, 0, ids, mask, len(ids)), len(ids)
-        while len(whole.ids) >= tokens and int(whole.loss[:tokens].sum()) <= loss:
+        while cuts and len(whole.ids) >= tokens and int(whole.loss[:tokens].sum()) <= loss:
             full, whole = whole.cut(tokens)
             yield from rows([full])
             number += 1
+        while not cuts and (len(whole.ids) > tokens or int(whole.loss.sum()) > loss):
+            part, whole = whole.cut(min(tokens, int(np.searchsorted(np.cumsum(whole.loss), loss, side="right"))))
+            pool.append(part)
         if len(whole.ids) and total:
             pool.append(whole)
         if len(pool) >= POOL:
-            done, pool = fill(pool, limits, last=False)
+            done, pool = fill(pool, limits, False, cuts)
             for part in parts(done):
                 yield from rows(part)
                 number += 1
-    done, _ = fill(pool, limits, last=True)
+    done, _ = fill(pool, limits, True, cuts)
     for part in parts(done):
         yield from rows(part)
         number += 1
@@ -218,6 +240,62 @@ def pack(
     return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(work, RESULT)
 
 
+CHAT = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("n_loss", pa.int64()), *[SCHEMA.field(n) for n in SCHEMA.names[1:]]])
+
+
+def chat_examples(rows: Iterator[tuple], tok: ByteTokenizer, learned: tuple[str, ...]) -> Iterator[tuple]:
+    """((conversation, part), ids, loss mask) of ordered rows (conversation, part, role, text).
+
+    A turn is its role and a line break, its text, and the closing id 0; the text and the closing
+    id of learned roles bear loss.
+    """
+    key, ids, masks = None, [], []
+    for conversation, part, role, text in rows:
+        if (conversation, part) != key and ids:
+            yield key, np.concatenate(ids), np.concatenate(masks)
+            ids, masks = [], []
+        key = (conversation, part)
+        head, body = tok.ids(f"{role or ''}\n"), np.append(tok.ids(text or ""), np.uint32(0))
+        ids += [head, body]
+        masks += [np.zeros(len(head), np.uint8), np.full(len(body), role in learned, np.uint8)]
+    if ids:
+        yield key, np.concatenate(ids), np.concatenate(masks)
+
+
+def pack_conversations(
+    conversations: DataFrame, vocabulary: str | None = None, tokens: int = CHAT_TOKENS, segments: int = CHAT_SEGMENTS, loss: int = CHAT_LOSS,
+    learned: tuple[str, ...] = LEARNED, turns: int = TURNS,
+) -> DataFrame:
+    """Pieces of conversations (conv_id, turn, role, text) in sequences with up to ``tokens`` ids, ``loss`` of them loss-bearing, of ``segments`` examples."""
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    rows = numbered(in_pieces(rows, ["conv_id"], ["turn"]), ["conv_id"], ["turn"], "place")
+    rows = rows.withColumn("part", F.floor((F.col("place") - 1) / turns)).select("conv_id", "part", "place", "role", "text")
+
+    def work(batches):
+        tok = tokenizer(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
+        masks: dict[tuple, np.ndarray] = {}
+
+        def examples():
+            for key, ids, mask in chat_examples(rows_of(batches, "conv_id", "part", "role", "text"), tok, learned):
+                masks[key] = np.concatenate([[0], np.cumsum(mask)])
+                yield key, ids, mask
+
+        def packed_rows():
+            left: dict[tuple, int] = {}
+            first = TaskContext.get().partitionId() << 40
+            for key, start, length, *rest in pack_examples(examples(), tokens, segments, loss, first, cuts=False):
+                left[key] = left.get(key, 0) + length
+                sums = masks[key]
+                yield *key, int(sums[start + length] - sums[start]), start, length, *rest
+                if left[key] == len(sums) - 1:
+                    del left[key], masks[key]
+
+        yield from in_batches(packed_rows(), CHAT)
+
+    kinds = "conv_id long, part long, n_loss long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    return rows.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "place").mapInArrow(work, kinds)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the pieces of all documents; a document that the mix repeats has pieces for each round."""
     return pack(docs)
