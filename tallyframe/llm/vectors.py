@@ -16,8 +16,10 @@ can be results, so the rest is left out before the scan, wherever its rows are,
 Defined cases: rows without id or vector, and vectors that hold null, NaN or infinity take
 no part; only vectors of equal length meet; empty vectors score 0; rows that repeat an id
 are results of their own, but never of a query of that id; repeated query rows are asked
-once; scores are 64-bit, so components must stay below 2**31 / 256; an empty table or no
-query gives no rows; other columns are ignored.
+once; scores are 64-bit, so vectors whose length times the square of their largest component
+reaches 2**63 are an error; bounds are floating point, rounded outward where whole numbers no longer
+fit (above 2**53), so they never rule out a result; an empty table or no query gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -82,8 +84,11 @@ def _scan(left: pa.Table, right: pa.Table, low: int, width: int, k: int) -> pa.T
     for q in right.to_pylist():
         ids = np.frombuffer(q["ids"], "<i8")
         exact = np.frombuffer(q["exact"], "<i8").reshape(len(ids), q["dim"]).astype(float)
-        gap = (width - 1) * np.abs(exact).sum(axis=1)  # upper less lower bound
-        below = (width - 1) * np.minimum(exact, 0).sum(axis=1)
+        size = np.abs(exact).sum(axis=1)
+        most = size * max(abs(low), abs(low + CELLS * width))  # no sum on the way to a bound is larger
+        slack = np.where(most < 2.0**52, 0.0, most * 2.0**-49 * (q["dim"] + 2))  # rounding of a product's sum
+        gap = (width - 1) * size + 2 * slack  # upper less lower bound
+        below = (width - 1) * np.minimum(exact, 0).sum(axis=1) - slack
         found: list[tuple[np.ndarray, ...]] = []
         best = np.full((len(ids), k), -np.inf)
         for c in blocks:
@@ -114,9 +119,13 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
     base = scaled(vectors).withColumn("n", F.row_number().over(own)).filter(F.col("n") <= k)
     base = written(base.withColumn("n", F.dense_rank().over(same)).filter(F.col("n") <= k + 1).drop("n"), "vectors")
     asked = written(scaled(queries).distinct(), "vector-queries")
-    ends = base.agg(F.min(F.array_min("v")).alias("low"), F.max(F.array_max("v")).alias("high"), F.count(F.lit(1)).alias("n")).first()
+    ends = base.agg(
+        F.min(F.array_min("v")).alias("low"), F.max(F.array_max("v")).alias("high"), F.max("dim").alias("dim"), F.count(F.lit(1)).alias("n")
+    ).first()
     n_queries = asked.count()
     low, high = ends["low"] or 0, ends["high"] or 0
+    if (ends["dim"] or 0) * max(abs(low), abs(high)) ** 2 >= 1 << 63:
+        raise ValueError(f"scores of {ends['dim']} components up to {max(abs(low), abs(high))} / {SCALE} do not fit 64 bits")
     width = max(1, -(-(high - low + 1) // CELLS))
     spread = min(shuffle_partitions(vectors.sparkSession), -(-ends["n"] // BLOCK))
     tasks = max(1, spread, -(-ends["n"] // (BLOCK * BLOCKS_A_TASK)))
@@ -138,7 +147,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
     first = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k)
     sure = written(_scores(first, asked, base), "vector-first")
     kth = sure.groupBy("query_id").agg(F.min("score").cast("double").alias("least"), F.count(F.lit(1)).alias("n"))
-    kth = kth.select("query_id", F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(float("-inf"))).alias("least"))
+    least = F.col("least") - F.abs("least") * 2.0**-52  # a 64-bit score may have been rounded up
+    kth = kth.select("query_id", F.when(F.col("n") >= k, least).otherwise(F.lit(float("-inf"))).alias("least"))
     later = near.join(kth, "query_id").filter(F.col("upper") >= F.col("least"))
     later = later.join(sure.select("query_id", "vec_id").distinct(), ["query_id", "vec_id"], "left_anti")
     both = sure.unionByName(_scores(later, asked, base))

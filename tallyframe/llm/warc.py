@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm.tables import in_batches, read, rows_of, written
@@ -35,7 +35,8 @@ from tallyframe.session import new_path
 
 END, HEAD = b"\r\n\r\n", b"WARC/1."
 MEMBER = b"\x1f\x8b\x08"
-FILE_RECORDS, LEAST_REVISIT = 2000, 0
+#: Records of a file, and the bytes of a page in the first class; so a file has some 128 MB, or one larger page.
+FILE_RECORDS, SMALL_PAGE, LEAST_REVISIT = 2000, 1 << 16, 0
 ONCE = {"warc-type", "warc-record-id", "warc-date", "content-length"}  # twice in a header: two records have run together
 ID = "urn:x-page:"
 DATE = "2000-01-01T00:00:00Z"
@@ -225,8 +226,18 @@ def write_archives(pages: DataFrame, path: str, least_revisit: int = LEAST_REVIS
 
         yield from in_batches(made(), schema)
 
-    out = joined.select("page_id", "url", "html", "first", revisit.alias("again")).mapInArrow(work, "value string")
-    out.write.option("lineSep", END.decode()).option("maxRecordsPerFile", file_records).text(path)
+    # a percent-coded url has up to three bytes for one
+    room = F.greatest(F.col("long") + 3 * F.coalesce(F.octet_length("url"), F.lit(0)), F.lit(1))
+    sized = joined.select("page_id", "url", "html", "first", revisit.alias("again"), _size_class(room).alias("class"))
+    classes = [r["class"] for r in rows.select(_size_class(room).alias("class")).distinct().collect()]  # at most 16
+    for class_ in sorted(classes) or [0]:
+        out = sized.filter(F.col("class") == class_).drop("class").mapInArrow(work, "value string")
+        out.write.mode("append").option("lineSep", END.decode()).option("maxRecordsPerFile", max(1, file_records >> class_)).text(path)
+
+
+def _size_class(room) -> Column:
+    """0 up to ``SMALL_PAGE`` bytes, 1 up to twice as many, and so on."""
+    return F.greatest(F.ceil(F.log2(room / SMALL_PAGE)), F.lit(0)).cast("int")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

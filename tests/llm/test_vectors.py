@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 from conftest_llm import collected
@@ -51,3 +53,24 @@ def test_rows_that_repeat_a_query_leave_room_for_equal_vectors(spark):
     assert [r[2] for r in got] == [51, 52, 52, 52, 52]
     others = vectors.filter("vec_id <> 50").union(vectors.filter("vec_id = 50").limit(1))
     assert got == sorted(r for r in by_sql(others) if r[0] == 50)
+
+
+def test_scores_beyond_exact_floats(spark):
+    """Scores up to 8e18, many of them apart by less than a double can tell."""
+    rng = random.Random(8)
+    base = [rng.randint(650_000_000, 700_000_000) for _ in range(16)]
+    vectors = [[b + rng.choice([0, 0, 0, 1, -1]) for b in base] for _ in range(400)]
+    vectors += [[-b for b in base], [0] * 16, [rng.randint(-(10**8), 10**8) for _ in range(16)]]
+    rows = [(i, [v / 256 for v in x], 0, 0) for i, x in enumerate(vectors)]
+    got = sorted(found(spark.createDataFrame(rows, SCHEMA).repartition(4)))
+    want = []
+    for q in range(0, len(vectors), 50):
+        scores = sorted((-sum(a * b for a, b in zip(vectors[q], x)), i) for i, x in enumerate(vectors) if i != q)
+        want += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scores[:5])]
+    assert got == sorted(want) and max(r[3] for r in got) > 7e18
+
+
+def test_scores_that_do_not_fit_are_an_error(spark):
+    rows = [(50, [8.3e6] * 16, 0, 0), (51, [1.0] * 16, 0, 0)]
+    with pytest.raises(ValueError, match="64 bits"):
+        found(spark.createDataFrame(rows, SCHEMA))

@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 import random
 
 from conftest_llm import collected
@@ -114,3 +115,40 @@ def test_query_fails_when_a_written_page_is_not_read(spark, monkeypatch):
     monkeypatch.setattr(W, "write_archives", lambda *_: None)
     with pytest.raises(Exception, match="gap in a written archive"):
         W.op3_warc(spark, "/root/testdata/sf0.001").collect()
+
+
+def test_query_with_revisits(spark, tmp_path):
+    """Payloads that pages share, over a whole table: the largest page is the response, all others refer to it."""
+    rows = [(i, f"http://a.org/{i}", f"page {i % 7}" * (i % 7)) for i in range(200)]
+    rows += [(300 + i, None, None if i % 2 else "") for i in range(9)] + [(400 + i, "u", f"alone {i}") for i in range(20)]
+    rows += [(500, "u", "twice"), (500, "u", "twice"), (None, "u", "twice"), (None, "u", "only without id"), (None, "u", "only without id")]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, sum string, first int")
+    frame.repartition(5).write.parquet(f"{tmp_path}/pages.parquet")
+    key = lambda r: tuple((v is not None, v or 0 if not isinstance(v, str) else v) for v in r)
+    first, want = {}, []
+    for page, _, html in rows:
+        payload = (html or "").encode()
+        first[payload] = max(first.get(payload, -1), -1 if page is None else page)
+    for page, _, html in rows:
+        payload = (html or "").encode()
+        again = first[payload] >= 0 and page != first[payload]
+        sha = W.base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        want.append((page, len(payload), sha, "revisit" if again else "response", first[payload] if again else None))
+    got = [tuple(r) for r in W.op3_warc(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert sum(r[3] == "revisit" for r in got) > 180
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr(W, "SMALL_PAGE", 1000)
+    sizes = [10] * 60 + [1500] * 30 + [7000] * 9 + [40_000] * 3 + [200_000]
+    rows = [(i, "http://a.org/" + "é" * (i % 50), chr(97 + i % 26) * n + str(i)) for i, n in enumerate(sizes)]
+    path = f"{tmp_path}/archives"
+    W.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2), path, file_records=16)
+    files = [os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.startswith("part-")]
+    head = 1500  # of a record
+    assert max(files) < 210_000 and sorted(files)[-2] < max(16 * (1000 + head), 40_000 + 2 * head) + 1000
+    found = W.read_archives(spark, path).collect()
+    assert sorted((r["page_id"], bytes(r["payload"]).decode()) for r in found) == [(i, h) for i, _, h in rows]
