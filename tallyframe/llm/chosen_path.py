@@ -535,7 +535,11 @@ def _marked(sets: DataFrame) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the first document of each class, all columns unchanged."""
+    """Pipeline stage: the first document of each class (smallest id, a null id before all others), all columns unchanged.
+
+    A null or wordless text is a class of its own and stays; rows equal in id and text are one
+    document; an empty table stays empty.
+    """
     firsts = join(docs).select("first").distinct().select(F.col("first.doc_id").alias("first_id"), F.col("first.tie").alias("first_tie"))
     rows, place = packed(docs, doc_id=F.col("doc_id").cast("long"), tie=F.lit(0).cast("long")), docs.columns.index("text")
 

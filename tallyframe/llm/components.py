@@ -15,6 +15,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     A round takes the smallest label among neighbours and then the label of that label,
     so chains shorten geometrically.  Labels of a round are written to the shared folder.
+
+    Repeated edges count once; loops and edges with a null end connect nothing and name no
+    key; an empty table gives no rows; other columns are ignored.
     """
     both = edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct()
     both = written(both, "edges")

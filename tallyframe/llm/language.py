@@ -27,6 +27,8 @@ from tallyframe.llm.tables import cells_of, in_batches, packed, read, rows_of, u
 UNKNOWN = "und"
 HIDDEN, SPAN, LANES = 8, 128, 2048
 SAMPLE, PIECE = 300, 160
+#: The sample and the counts of languages pass through the driver.
+MOST_LANGUAGES = 500
 STEPS, BATCH, LENGTH, RATE = 260, 128, 48, 0.02
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
@@ -200,7 +202,10 @@ def train(docs: DataFrame, per_language: int = SAMPLE) -> Network:
     about ``per_language`` rows a language and at most twice that.
     """
     fit = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.coalesce(crc_class(F.col("doc_id")) != 2, F.lit(False)))
-    counts = {r["lang"]: r["n"] for r in fit.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = fit.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counted) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
+    counts = {r["lang"]: r["n"] for r in counted}
     languages = sorted(counts)
     if not languages:
         return Network([])

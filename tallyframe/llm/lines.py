@@ -292,7 +292,11 @@ def line_digest(docs: DataFrame) -> DataFrame:
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all documents, without their repeated lines."""
+    """Pipeline stage: all documents, without their repeated lines.
+
+    A null text stays null, a text that loses all lines is empty; other columns are unchanged but
+    for ``n_chars``, which follows the text where the table has it; an empty table stays empty.
+    """
     lose = dropped(build(docs))
     rows, place = packed(docs, doc_id=F.col("doc_id").cast("long")), docs.columns.index("text")
     joined = rows.join(lose, F.col("doc_id").eqNullSafe(F.col("loser")), "left").select("row", "keys")

@@ -125,7 +125,11 @@ def mix(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document as often as the mix takes it, all columns unchanged."""
+    """Pipeline stage: every document as often as the mix takes it, all columns unchanged.
+
+    A null source is a source of its own, a null text has size 0 and is taken like any other of its
+    source's hash; an empty table stays empty.
+    """
     sized = docs.select(F.col("source").cast("string").alias("source"), words().alias("size"), hash_of("doc_id").alias("hash"))
     chosen = plan(written(sized, "mix-sizes"))
     rows = packed(docs, source=F.col("source").cast("string"), hash=hash_of("doc_id"))
