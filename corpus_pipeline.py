@@ -13,7 +13,8 @@ from tallyframe.llm.language import language_stage
 from tallyframe.llm.lines import line_stage
 from tallyframe.llm.mixing import mixing_stage
 from tallyframe.llm.packing import packing_stage
-from tallyframe.llm.tables import read, written
+from tallyframe.llm.tables import read
+from tallyframe.session import delete, new_path, owned
 
 #: Language identification drops texts of no known language; line dedup drops repeated
 #: lines; the n-gram join keeps one document of each class; mixing takes every document as
@@ -30,7 +31,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The rows of the last stage; what earlier stages wrote is deleted as soon as the next one is done."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = new_path(spark, f"llm-stage-{name}")
+        with owned(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
