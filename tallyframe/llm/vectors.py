@@ -109,15 +109,28 @@ def _scan(left: pa.Table, right: pa.Table, low: int, width: int, k: int) -> pa.T
     return pa.table({n: pa.array(c) for n, c in zip(("query_id", "vec_id", "lower", "upper"), columns)})
 
 
+def _without_copies(rows: DataFrame, k: int) -> DataFrame:
+    """``rows`` without those of equal vectors that can be no result: k + 1 ids stay, and k rows of each.
+
+    Vectors travel only where more than k rows share a hash; partial ranks then leave few of
+    them in every task before the exchange.
+    """
+    rows = rows.withColumn("same", F.xxhash64("v"))
+    often = written(rows.groupBy(F.col("same").alias("of")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k).select("of"), "vector-copies")
+    if often.isEmpty():
+        return rows.drop("same")
+    own, same = Window.partitionBy("v", "vec_id").orderBy("dim"), Window.partitionBy("v").orderBy("vec_id")
+    many = rows.join(often, F.col("same") == F.col("of"), "left_semi").withColumn("n", F.row_number().over(own)).filter(F.col("n") <= k)
+    many = many.withColumn("n", F.dense_rank().over(same)).filter(F.col("n") <= k + 1).drop("n")
+    return rows.join(often, F.col("same") == F.col("of"), "left_anti").unionByName(many).drop("same")
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id and score of the k best vectors for every query; ties go to the smaller id.
 
     Both tables have vec_id and embedding.
     """
-    # equal vectors: partial ranks keep k rows of an id and k + 1 ids (one may be the query's) in every task before the exchanges
-    own, same = Window.partitionBy("v", "vec_id").orderBy("dim"), Window.partitionBy("v").orderBy("vec_id")
-    base = scaled(vectors).withColumn("n", F.row_number().over(own)).filter(F.col("n") <= k)
-    base = written(base.withColumn("n", F.dense_rank().over(same)).filter(F.col("n") <= k + 1).drop("n"), "vectors")
+    base = written(_without_copies(scaled(vectors), k), "vectors")
     asked = written(scaled(queries).distinct(), "vector-queries")
     ends = base.agg(
         F.min(F.array_min("v")).alias("low"), F.max(F.array_max("v")).alias("high"), F.max("dim").alias("dim"), F.count(F.lit(1)).alias("n")
