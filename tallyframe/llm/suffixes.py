@@ -13,9 +13,9 @@ one short range; their first ``SIZE`` bytes (fewer at a text's end) are its cont
   the owned suffixes are put in order by ranks of 8, 16, 32 ... bytes, each rank from two
   ranks of half the length (``Order``); equal ranks are equal bytes.  For every suffix the
   previous and the next one in suffix order with a smaller position give the longest previous
-  factor, and those with a larger position the longest next factor (``factors``): one of at
-  least ``SIZE`` says that the string occurs earlier, or later.  The nearest suffixes of
-  another document give the longest match with another document.
+  factor and where it was found (``factors``): one of ``SIZE`` bytes says that the string
+  occurs earlier, and that the one it was found at occurs later.  The nearest suffixes of
+  another document give the longest match with another document (``elsewhere``).
 * An anchor with more than ``HOT`` different contexts does not go to one task: its strings
   are counted one by one by a 128-bit hash, which is summed before the exchange.
 
@@ -161,14 +161,14 @@ class Order:
 
     def __init__(self, data: np.ndarray, size: int):
         self.size, n, room = size, len(data), 3 * size + 16
-        padded = np.concatenate([data, np.zeros(room + 16, np.uint8)])
-        self.eight = np.empty(n + room, np.uint64)
+        self.data = np.concatenate([data, np.zeros(room + 16, np.uint8)])
+        eight = np.empty(n, np.uint64)
         for k in range(8):
-            count = len(self.eight[k::8])
-            self.eight[k::8] = padded[k : k + 8 * count].view(">u8")
+            count = len(eight[k::8])
+            eight[k::8] = self.data[k : k + 8 * count].view(">u8")
         self.arity = 3 if n < 1 << 21 else 2
         long = min(8, size)
-        self.levels = [(long, self._ranked(self.eight[:n] >> np.uint64(64 - 8 * long), room))]
+        self.levels = [(long, self._ranked(eight >> np.uint64(64 - 8 * long), room))]
         while self.arity * long <= size:
             ranks = self.levels[-1][1]
             both = self._joined([ranks[k * long : n + k * long] for k in range(self.arity)])
@@ -197,9 +197,10 @@ class Order:
         for size, ranks in reversed(self.levels):
             for _ in range(self.arity - 1):
                 long += np.where(ranks[a + long] == ranks[b + long], size, 0)
-        rest = self.eight[a + long] ^ self.eight[b + long]
-        for k in range(1, 9):
-            long += rest < np.uint64(1 << (64 - 8 * k)) if k < 8 else rest == 0
+        same = np.ones(len(a), bool)
+        for _ in range(self.levels[0][0]):
+            same &= self.data[a + long] == self.data[b + long]
+            long += same
         return np.minimum(long, self.size)
 
 
@@ -223,41 +224,57 @@ def nearest_smaller(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before(values), np.where(mirrored < 0, -1, len(values) - 1 - mirrored)
 
 
-def factors(order: Order, starts: np.ndarray, limits: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Longest previous factor, longest next factor and longest match with another label, up to ``size``, for ascending ``starts``.
+def factors(order: Order, starts: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Longest previous factor of every suffix, up to ``size``, the number of the suffix it was found at (-1: none), and the suffix order.
 
-    A suffix ends at its limit.  Of all suffixes before (after) one in position, the nearest
-    ones in suffix order to both sides have the longest common prefix with it.
+    ``starts`` ascend, a suffix ends at its limit.  Of all suffixes with a smaller position, the
+    nearest ones in suffix order to both sides have the longest common prefix with it.  Suffixes
+    equal in ``size`` bytes stand by position, so each of them but the last is where the next one's factor is found.
     """
     chain = order.order(starts)
-
-    def longest(*near: np.ndarray) -> np.ndarray:
-        """For suffixes in suffix order, the longest common prefix with those at ``near`` (-1: none)."""
-        best = np.zeros(len(chain), np.int64)
-        for other in near:
-            some = np.flatnonzero(other >= 0)
-            a, b = chain[some], chain[other[some]]
-            room = np.minimum(limits[a] - starts[a], limits[b] - starts[b])
-            best[some] = np.maximum(best[some], np.minimum(order.common(starts[a], starts[b]), room))
-        out = np.zeros(len(chain), np.int64)
-        out[chain] = best
-        return out
-
+    long, source = np.zeros(len(chain), np.int64), np.full(len(chain), -1)
+    for near in nearest_smaller(chain):
+        more = _common(order, starts, limits, chain, chain[near])
+        more[near < 0] = -1
+        better = more > long
+        long[better], source[better] = more[better], chain[near[better]]
+    found, at = np.empty(len(chain), np.int64), np.empty(len(chain), np.int64)
+    found[chain], at[chain] = long, source
+    return found, at, chain
+
+
+def elsewhere(order: Order, starts: np.ndarray, limits: np.ndarray, labels: np.ndarray, chain: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Longest match of the ``asked`` suffixes with one of another label, up to ``size``; 0 for the others."""
     label = labels[chain]
     turn = np.concatenate([[True], label[1:] != label[:-1]])
-    at = np.arange(len(chain))
-    run = np.maximum.accumulate(np.where(turn, at, 0))
+    run = np.maximum.accumulate(np.where(turn, np.arange(len(chain)), 0))
     end = np.append(np.flatnonzero(turn)[1:], len(chain))[np.cumsum(turn) - 1]
-    return longest(*nearest_smaller(chain)), longest(*nearest_smaller(-chain)), longest(run - 1, np.where(end < len(chain), end, -1))
+    out, some = np.zeros(len(chain), np.int64), np.flatnonzero(asked[chain])
+    for near in (run[some] - 1, end[some]):
+        there = (near >= 0) & (near < len(chain))
+        a, b = chain[some[there]], chain[near[there]]
+        out[a] = np.maximum(out[a], _common(order, starts, limits, a, b))
+    return out
+
 
+def _common(order: Order, starts: np.ndarray, limits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Common prefixes of the suffixes with numbers ``a`` and ``b``."""
+    room = np.minimum(limits[a] - starts[a], limits[b] - starts[b])
+    return np.minimum(order.common(starts[a], starts[b]), room)
+
+
+class Words:
+    """Where the words of a text begin."""
+
+    def __init__(self, data: np.ndarray):
+        self.inside = ~SPACE[data]
+        begins = np.flatnonzero(self.inside & ~np.concatenate([[False], self.inside[:-1]]))
+        self.begins = np.append(begins, np.int64(1) << 40)  # none
 
-def passage_ends(data: np.ndarray, starts: np.ndarray, words: int, least: int) -> np.ndarray:
-    """For each start the end of the shortest string from it with ``least`` bytes in which more than ``words`` words have begun."""
-    inside = ~SPACE[data]
-    begins = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
-    last = np.searchsorted(begins, starts, "right") + words - inside[starts]
-    begins = np.append(begins, np.int64(1) << 40)  # none
-    return np.maximum(begins[np.minimum(last, len(begins) - 1)] + 1, starts + least)
+    def passage_ends(self, starts: np.ndarray, words: int, least: int) -> np.ndarray:
+        """For each start the end of the shortest string from it with ``least`` bytes in which more than ``words`` words have begun."""
+        last = np.searchsorted(self.begins, starts, "right") + words - self.inside[starts]
+        return np.maximum(self.begins[np.minimum(last, len(self.begins) - 1)] + 1, starts + least)
 
 
 def _context_spans(contexts: DataFrame, size: int, least: int, words: int, keep: str) -> DataFrame:
@@ -274,9 +291,14 @@ def _context_spans(contexts: DataFrame, size: int, least: int, words: int, keep:
         limits = np.repeat([b + len(r[8]) for b, r in zip(bases, rows)], owned)
         places = {d: i for i, d in enumerate(dict.fromkeys(r[1:4] for r in rows))}
         labels = np.repeat([-1 - i if r[7] else places[r[1:4]] for i, r in enumerate(rows)], owned)
-        earlier, later, elsewhere = factors(Order(data, size), starts, limits, labels)
-        gone = earlier >= size if keep == "first" else (earlier >= size) | (later >= size)
-        shared = passage_ends(data, starts, words, least) - starts <= elsewhere
+        order = Order(data, size)
+        long, source, chain = factors(order, starts, limits)
+        gone = long >= size
+        if keep == "none":
+            gone[source[gone]] = True
+        alone = np.repeat([not r[7] for r in rows], owned)
+        match = elsewhere(order, starts, limits, labels, chain, alone)
+        shared = Words(data).passage_ends(starts, words, least) - starts <= match
         at = 0
         for (_, _, doc, tie, lo, own, n, many, _), base in zip(rows, bases):
             mine, passage = np.concatenate([[False], gone[at : at + own], [False]]), shared[at : at + own].any()
@@ -341,7 +363,7 @@ def _hot_spans(docs: DataFrame, wanted: DataFrame, size: int, least: int, words:
     def work(batches):
         def rows():
             for doc, tie, lo, own, n, many, context in rows_of(batches, "doc_id", "tie", "lo", "own", "n", "many", "context"):
-                ends = passage_ends(np.frombuffer(context, np.uint8), np.arange(own), words, least)
+                ends = Words(np.frombuffer(context, np.uint8)).passage_ends(np.arange(own), words, least)
                 for k, end in enumerate(ends.tolist()):
                     if k + size <= len(context):
                         yield xxhash.xxh3_128_digest(context[k : k + size]), False, doc, tie, lo + k, n, many
@@ -422,11 +444,12 @@ def _has_passage(raw: bytes, ranges: list[tuple], size: int, least: int, words:
     if any(kind == PASSAGE_FOUND for *_, kind in ranges):
         return True
     ranges = [r for r in ranges if r[3] in (REPEATED, KEPT)]
-    if not ranges:
-        return False
-    starts = np.concatenate([np.arange(start, end + 1) for start, end, _, _ in ranges])
-    limits = np.repeat([limit for _, _, limit, _ in ranges], [end + 1 - start for start, end, _, _ in ranges])
-    return bool((passage_ends(np.frombuffer(raw, np.uint8), starts, words, least) <= np.minimum(limits, starts + size)).any())
+    found = Words(np.frombuffer(raw, np.uint8)) if ranges else None
+    for start, end, limit, _ in ranges:
+        starts = np.arange(start, end + 1)
+        if (found.passage_ends(starts, words, least) <= np.minimum(limit, starts + size)).any():
+            return True
+    return False
 
 
 def deduplicated(

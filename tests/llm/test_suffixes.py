@@ -116,16 +116,23 @@ def test_factors_against_all_pairs(letters, size, n):
     data = np.concatenate([data, data[n // 4 : n // 2], data[: n // 3]])
     starts = np.sort(rng.choice(len(data), len(data) * 2 // 3, replace=False))
     labels = rng.integers(0, 4, len(starts))
-    earlier, later, other = S.factors(S.Order(data, size), starts, np.full(len(starts), len(data)), labels)
+    limits, order = np.full(len(starts), len(data)), S.Order(data, size)
+    earlier, source, chain = S.factors(order, starts, limits)
+    asked = labels != 2
+    other = S.elsewhere(order, starts, limits, labels, chain, asked)
     end = dict.fromkeys(starts.tolist(), len(data))
     pairs = {(a, b): longest(data, a, b, size, end) for a in end for b in end if a < b}
     both = lambda a, b: pairs[min(a, b), max(a, b)]
     at = starts.tolist()
     assert earlier.tolist() == [max([both(a, b) for b in at[:i]], default=0) for i, a in enumerate(at)]
-    assert later.tolist() == [max([both(a, b) for b in at[i + 1 :]], default=0) for i, a in enumerate(at)]
-    assert other.tolist() == [max([both(a, b) for b, m in zip(at, labels) if m != labels[i]], default=0) for i, a in enumerate(at)]
-    order = S.Order(data, size).order(starts)
-    assert [bytes(data[starts[i] : starts[i] + size]) for i in order] == sorted(bytes(data[s : s + size]) for s in starts) or len(data) - starts.max() < size
+    assert all(both(at[i], at[j]) == earlier[i] and j < i if j >= 0 else earlier[i] == 0 for i, j in enumerate(source.tolist()))
+    # what a factor of full length was found at occurs later, and nothing else does
+    later = {i for i in range(len(at)) if any(both(at[i], b) == size for b in at[i + 1 :])}
+    assert set(source[earlier >= size].tolist()) == later
+    want = [max([both(a, b) for b, m in zip(at, labels) if m != labels[i]], default=0) for i, a in enumerate(at)]
+    assert other.tolist() == [w if ask else 0 for w, ask in zip(want, asked)]
+    inner = [i for i in chain.tolist() if at[i] + size <= len(data)]
+    assert [bytes(data[at[i] : at[i] + size]) for i in inner] == sorted(bytes(data[at[i] : at[i] + size]) for i in inner)
 
 
 def test_nearest_smaller_places():
@@ -155,8 +162,10 @@ def test_an_anchor_with_as_many_contexts_as_one_task_takes():
     data = np.concatenate(parts).astype(np.uint8)
     starts = np.concatenate([np.arange(i * len(parts[0]), i * len(parts[0]) + side) for i in range(S.HOT)])
     tracemalloc.start()
-    earlier, later, _ = S.factors(S.Order(data, S.SIZE), starts, starts + S.SIZE, np.repeat(np.arange(S.HOT), side))
+    order, labels = S.Order(data, S.SIZE), np.repeat(np.arange(S.HOT), side)
+    earlier, _, chain = S.factors(order, starts, starts + S.SIZE)
+    S.elsewhere(order, starts, starts + S.SIZE, labels, chain, labels % 2 == 0)
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert earlier.max() < S.SIZE and later.max() < S.SIZE and (earlier[side:] >= S.GRAM).sum() >= S.HOT - 1
-    assert most < 400_000_000
+    assert earlier.max() < S.SIZE and (earlier[side:] >= S.GRAM).sum() >= S.HOT - 1
+    assert most < 300_000_000
