@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from decimal import Decimal
 from functools import reduce
 
@@ -128,13 +129,17 @@ def weighted_quantiles(
     holds = reached.groupBy(*by, "name").agg(first).select(*by, "name", "__at.*").withColumnRenamed("__cell", "__at")
     # the cells asked for are a few per group; their rows are summed by value before the shuffle
     inside = rows.filter(F.col("__w").isNotNull()).withColumn("__at", scale_cell(F.col("__x")))
-    inside = _kept(inside, holds, by).groupBy(*by, "__at", "__x").agg(F.sum("__w").alias("__w"))
-    if most_rows > HEAVY:
-        holds, inside = materialise(holds, "held"), materialise(inside, "inside")
+    if most_rows <= HEAVY:
+        marks = [F.first(c).alias(c) for c in ["__before", *map(_target, wanted)]]
+        inside = _marked(inside, holds, wanted, by).groupBy(*by, "__at", "__x").agg(F.sum("__w").alias("__w"), *marks)
+    else:
+        holds = materialise(holds, "held")
+        inside = materialise(_marked(inside, holds, [], by).groupBy(*by, "__at", "__x").agg(F.sum("__w").alias("__w")), "inside")
         while not (heavy := _heavy(inside, by)).isEmpty():
-            inside, holds = _finer(inside, holds, heavy, by)
-    hits = _reached(inside, "__x", holds, by)
-    found = hits.groupBy(*by).agg(*[F.min(F.when(F.col("name") == n, F.col("__x"))).alias(n) for n in wanted])
+            inside, holds = _finer(inside, holds, heavy, wanted, by)
+        inside = _marked(inside, holds, wanted, by)
+    found = _with_ends(inside, "__x", by)
+    found = found.groupBy(*by).agg(*[F.min(F.when(_is_reached("__x", n), F.col("__x"))).alias(n) for n in wanted])
     averages = [F.try_divide(F.sum(f"`__{n}|sum`"), F.sum(f"`__{n}|weight`")).alias(n) for n in means or {}]
     groups = sums.groupBy(*[F.col(k).alias(f"__g_{k}") for k in by]).agg(F.sum("__w").alias("__total"), *averages)
     both = groups.join(found, same_key([F.col(f"__g_{k}") for k in by], [F.col(k) for k in by]), "left")
@@ -205,29 +210,33 @@ def _in_units(top: int | None) -> Column:
     return F.when(F.col("__e") < top, moved).otherwise(F.col("__w").cast("decimal(38,0)"))
 
 
-def _kept(rows: DataFrame, holds: DataFrame, by: list[str]) -> DataFrame:
-    """The rows (group, __at) of the cells that hold an answer."""
-    near = holds.select(*[F.col(k).alias(f"__c_{k}") for k in by], F.col("__at").alias("__c_at")).distinct()
+def _target(name: str) -> str:
+    return f"__t_{name}"
+
+
+def _marked(rows: DataFrame, holds: DataFrame, names: Iterable[str], by: list[str]) -> DataFrame:
+    """The rows (group, __at) of cells that hold an answer, with the weight __before the cell and the targets ``names`` in it."""
+    targets = [F.max(F.when(F.col("name") == n, F.col("target"))).alias(_target(n)) for n in names]
+    marks = holds.groupBy(*[F.col(k).alias(f"__c_{k}") for k in by], F.col("__at").alias("__c_at")).agg(F.first("__before").alias("__before"), *targets)
     on = same_key([F.col(k) for k in by], [F.col(f"__c_{k}") for k in by]) & (F.col("__at") == F.col("__c_at"))
-    return rows.join(near, on, "left_semi")
+    return rows.join(marks, on).select(*rows.columns, "__before", *map(_target, names))
+
+
+def _with_ends(sums: DataFrame, order: str, by: list[str]) -> DataFrame:
+    """Marked sums with the running weight up to their end, __end, and the last place of their cell, __last."""
+    cell = Window.partitionBy(*by, "__at")
+    run = F.sum("__w").over(cell.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return sums.withColumns({"__end": F.col("__before") + run, "__last": F.max(order).over(cell)})
 
 
-def _reached(sums: DataFrame, order: str, holds: DataFrame, by: list[str]) -> DataFrame:
-    """The rows of each cell at which a target of the cell is reached; __run is the running weight inside the cell.
+def _is_reached(order: str, name: str) -> Column:
+    """Whether a target of the cell is reached here.
 
     A cell's last row always reaches it: parts of weights below a unit may round otherwise
     here than in the cell's own sum.
     """
-    cell = Window.partitionBy(*by, "__at")
-    run = F.sum("__w").over(cell.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    sums = sums.withColumns({"__run": run, "__last": F.max(order).over(cell)})
-    marks = holds.groupBy(*[F.col(k).alias(f"__c_{k}") for k in by], F.col("__at").alias("__c_at")).agg(
-        F.first("__before").alias("__before"), F.collect_list(F.struct("name", "target")).alias("__marks")
-    )
-    on = same_key([F.col(k) for k in by], [F.col(f"__c_{k}") for k in by]) & (F.col("__at") == F.col("__c_at"))
-    both = sums.join(marks, on).withColumn("__end", F.col("__before") + F.col("__run"))
-    both = both.select(*sums.columns, "__end", F.inline("__marks"))
-    return both.filter((F.col("__end") >= F.col("target")) | (F.col(order) == F.col("__last")))
+    target = F.col(_target(name))
+    return target.isNotNull() & ((F.col("__end") >= target) | (F.col(order) == F.col("__last")))
 
 
 def _heavy(inside: DataFrame, by: list[str]) -> DataFrame:
@@ -238,20 +247,21 @@ def _heavy(inside: DataFrame, by: list[str]) -> DataFrame:
     return materialise(ends.withColumnsRenamed(names), "heavy")
 
 
-def _finer(inside: DataFrame, holds: DataFrame, heavy: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+def _finer(inside: DataFrame, holds: DataFrame, heavy: DataFrame, names: Iterable[str], by: list[str]) -> tuple[DataFrame, DataFrame]:
     """``inside`` and ``holds`` with heavy cells cut into ``FINER`` equal parts, others left whole."""
     on = same_key([F.col(k) for k in by], [F.col(f"__h_{k}") for k in by]) & (F.col("__at") == F.col("__h_at"))
     part = F.floor((F.col("__x") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * (FINER - 1)).cast("int")
     # heavy cells are at most a millionth of the rows
-    cut = inside.join(F.broadcast(heavy), on, "left").select(*inside.columns, F.coalesce(part, F.lit(0)).alias("__part"))
+    cut = inside.join(F.broadcast(heavy), on, "left").select(*by, "__at", "__x", "__w", F.coalesce(part, F.lit(0)).alias("__part"))
     sums = cut.groupBy(*by, "__at", "__part").agg(F.sum("__w").alias("__w"))
-    ends = _reached(sums, "__part", holds, by)
-    first = F.min(F.struct("__part", (F.col("__end") - F.col("__w")).alias("__before"), "target")).alias("__first")
-    ends = ends.groupBy(*by, "__at", "name").agg(first)
+    ends = _with_ends(_marked(sums, holds, names, by), "__part", by)
+    targets = F.array(*[F.struct(F.lit(n).alias("name"), F.col(_target(n)).alias("target"), _is_reached("__part", n).alias("hit")) for n in names])
+    ends = ends.select(*by, "__at", "__part", (F.col("__end") - F.col("__w")).alias("__before"), F.inline(targets)).filter("hit")
+    ends = ends.groupBy(*by, "__at", "name").agg(F.min(F.struct("__part", "__before", "target")).alias("__first"))
     inner = F.struct(F.col("__at").alias("cell"), F.col("__first.__part").alias("part")).alias("__at")
     holds = materialise(ends.select(*by, "name", inner, "__first.__before", "__first.target"), "held")
     cut = cut.withColumn("__at", F.struct(F.col("__at").alias("cell"), F.col("__part").alias("part"))).drop("__part")
-    return materialise(_kept(cut, holds, by), "inside"), holds
+    return materialise(_marked(cut, holds, [], by).drop("__before"), "inside"), holds
 
 
 def _position(q: float, unit: Column) -> Column:

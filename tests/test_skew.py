@@ -178,8 +178,8 @@ def test_a_cell_of_many_values_is_cut_finer(spark, monkeypatch):
     sizes = []
     finer = weights._finer
 
-    def seen(inside, holds, heavy, by):
-        out = finer(inside, holds, heavy, by)
+    def seen(inside, holds, heavy, names, by):
+        out = finer(inside, holds, heavy, names, by)
         sizes.append((inside.groupBy("k", "__at").count().agg(F.max("count")).first()[0], out[0].groupBy("k", "__at").count().agg(F.max("count")).first()[0]))
         return out
 
