@@ -6,9 +6,10 @@ its position: two texts that share gram + window - 1 code points in a row share
 fingerprint.  A text shorter than a gram has the hash of the whole text.
 
 Long grams say little about short texts, so these are winnowed at finer scales as well
-(``SCALES``): every text at 32 and 64, texts of less than 1,024 code points also at 8 and 8
-(any 15 shared code points are found), those of less than 64 also at 3 and 2.  The scales
-depend on the text alone, and two texts are compared at the finest that both have.
+(``SCALES``): every text at 32 and 64, texts of less than 1,024 code points also at 12 and 24
+(any 35 shared code points are found), of less than 256 also at 6 and 6 (any 11), of less
+than 64 also at 3 and 2.  The scales depend on the text alone, and two texts are compared at
+the finest that both have.
 
 The next document by id is found without a global sort: bounds on the ids, of a fixed
 number, cut the table into ranges; a range also gets the first document of the one that
@@ -36,7 +37,7 @@ from tallyframe.llm.tables import in_batches, read, rows_of, shuffle_partitions,
 
 GRAM, WINDOW = 32, 64
 #: (texts of fewer code points, gram, window), finest last.
-SCALES = ((1 << 62, GRAM, WINDOW), (1024, 8, 8), (64, 3, 2))
+SCALES = ((1 << 62, GRAM, WINDOW), (1024, 12, 24), (256, 6, 6), (64, 3, 2))
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: One bound and one id per range pass through the driver.

@@ -32,7 +32,7 @@ def test_shared_run_shares_a_fingerprint():
     run = "".join(chr(97 + (i * 7919 + i * i) % 26) for i in range(95))
     a, b = W.Marked(1, "01234" * 30 + run), W.Marked(2, run + "987" * 70)
     assert a.sets[0] & b.sets[0]
-    for (below, gram, window), at in zip(W.SCALES, range(3)):
+    for at, (below, gram, window) in enumerate(W.SCALES):
         piece = run[: gram + window - 1]
         a, b = W.Marked(1, ("01234" * 30 + piece)[-min(below - 1, 200) :]), W.Marked(2, (piece + "987" * 70)[: min(below - 1, 200)])
         assert a.sets[at] & b.sets[at] and a.like(b) > 0
