@@ -555,3 +555,22 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (
+  SELECT r, doc_id, list_distinct(list_transform(range(greatest(len(w) - 4, least(len(w), 1))),
+    lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS g FROM d),
+sets AS MATERIALIZED (SELECT r, len(g)::BIGINT AS size, unnest(g) AS gram FROM grams),
+shared AS (
+  SELECT a.r AS a, b.r AS b, any_value(a.size) AS x, any_value(b.size) AS y, count(*) AS n
+  FROM sets a JOIN sets b ON a.gram = b.gram AND a.r <> b.r GROUP BY a.r, b.r),
+links AS MATERIALIZED (SELECT a, b FROM shared WHERE n >= 0.8 * (x + y - n)),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+labels AS (SELECT a, min(doc_id) AS least FROM reach JOIN grams ON reach.b = grams.r GROUP BY a),
+counts AS (SELECT a, count(*)::BIGINT AS n FROM links GROUP BY a)
+SELECT doc_id, least(doc_id, labels.least) AS class_id, coalesce(n, 0) AS n_links
+FROM grams LEFT JOIN labels ON labels.a = grams.r LEFT JOIN counts ON counts.a = grams.r
+"""

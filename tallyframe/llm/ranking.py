@@ -41,7 +41,7 @@ from tallyframe.llm.tables import in_batches, read, rows_of, whole_text, written
 from tallyframe.llm.words import words_of
 
 TOP, SHORT, BLOCK, CHUNK = 20, 16, 128, 32
-SHARD_DOCS, SHARD_POSTINGS, QUERY_TERMS, SALTS = 65_536, 4_000_000, 200_000, 32
+SHARD_DOCS, SHARD_POSTINGS, QUERY_TERMS, SALTS = 65_536, 2_000_000, 200_000, 32
 INDEX = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 COUNTED = pa.schema([("term", pa.int32()), ("docs", pa.int64())])
 FOUND = pa.schema([("query", pa.int32()), ("doc_id", pa.int64()), ("score", pa.int64())])

@@ -248,3 +248,19 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = F.concat(F.lit("gap in a written archive: "), F.concat_ws(" ", "archive", "start", "length", "reason"))
     found = found.filter(F.when(F.col("kind") == "record", True).otherwise(F.raise_error(gap).cast("boolean")))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP3_SQL = """
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (
+  SELECT r, page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS first FROM p),
+g AS (
+  SELECT *, list_transform(range(8), lambda k: ('0x' || substr(hex, 5 * k + 1, 5))::BIGINT) AS parts FROM d)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((parts[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31)::INTEGER + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM g
+"""
