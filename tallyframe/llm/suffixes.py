@@ -10,8 +10,8 @@ one short range; their first ``SIZE`` bytes (fewer at a text's end) are its cont
 * Anchors that occur once are done.  Contexts that occur several times whole are repeated
   whole, whatever their number; they are only counted, by 128 bits of hashes.
 * Where an anchor has different contexts, one copy of each goes to the anchor's task.  There
-  the owned suffixes are put in order by ranks of 8, 16, 32 ... bytes, each rank from two
-  ranks of half the length (``Order``); equal ranks are equal bytes.  For every suffix the
+  the owned suffixes are put in order by ranks of 8, 24 and 72 bytes, each rank from three
+  ranks of a third of the length (``Order``); equal ranks are equal bytes.  For every suffix the
   previous and the next one in suffix order with a smaller position give the longest previous
   factor and where it was found (``factors``): one of ``SIZE`` bytes says that the string
   occurs earlier, and that the one it was found at occurs later.  The nearest suffixes of
@@ -46,7 +46,7 @@ from tallyframe.llm.tables import in_batches, read, rows_of, whole_text, written
 from tallyframe.llm.winnowing import mixed, powers, smallest
 
 SIZE, LEAST, GRAM, PASSAGE = 400, 256, 64, 50
-HOT, TASK_BYTES = 4_000, 500_000
+HOT, TASK_BYTES, TOGETHER = 4_000, 500_000, 30_000
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 STEP = np.uint64(0xA0761D6478BD642F)
@@ -74,19 +74,34 @@ class Hashes:
         return mixed((self.sums[end] - self.sums[start]) * self.up[start] + (end - start).astype(np.uint64) * STEP)
 
 
-def anchors(data: np.ndarray, size: int, least: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(anchor hash, context hash, first owned start, number of owned starts, end of the context) of every anchor of a text."""
+def anchors(texts: list[bytes], size: int, least: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(number of the text, anchor hash, context hash, first owned start, number of owned starts, end of the context) of all anchors.
+
+    Short texts are worked on together, as one array.
+    """
+    data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < least:
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
+    ends = np.cumsum([len(t) for t in texts])
     hashes = Hashes(data)
     grams = hashes.all_of(gram)
     key = (grams & ~LOW) | (LOW - np.arange(len(grams), dtype=np.uint64))
-    place = (LOW - (smallest(key, least - gram + 1) & LOW)).astype(np.int64)
-    first = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
-    own = np.diff(np.append(first, len(place)))
-    place, limit = place[first], np.minimum(first + own - 1 + size, len(data))
-    context = hashes.of(first, limit)
-    return grams[place], mixed(context * STEP + (place - first).astype(np.uint64) * mixed(own.astype(np.uint64))), first, own, limit
+    place = smallest(key, least - gram + 1) & LOW  # of the string that starts here, counted from the end
+    if len(texts) > 1:
+        strings = np.repeat(ends, [len(t) for t in texts])[: len(place)] >= np.arange(least, len(data) + 1)  # within one text
+        at = np.flatnonzero(strings)
+        place = place[at]
+    else:
+        at = np.arange(len(place))
+    if not len(at):
+        return anchors([], size, least, gram)
+    turns = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])  # texts share no place
+    first, own, place = at[turns], np.diff(np.append(turns, len(place))), (LOW - place[turns]).astype(np.int64)
+    text = np.searchsorted(ends, first, "right")
+    limit = np.minimum(first + own - 1 + size, ends[text])
+    context = mixed(hashes.of(first, limit) * STEP + (place - first).astype(np.uint64) * mixed(own.astype(np.uint64)))
+    begin = np.concatenate([[0], ends[:-1]])[text]
+    return text, grams[place], context, first - begin, own, limit - begin
 
 
 def tie_of(raw: bytes) -> int:
@@ -99,26 +114,25 @@ def raw_of(text: str) -> bytes:
 
 def _anchor_rows(docs: DataFrame, size: int, least: int, gram: int) -> DataFrame:
     names = ["a", "c", "doc_id", "tie", "lo", "own", "lim"]
-    kinds = [pa.int64()] * 3 + [pa.int32()] * 4
 
-    def work(batches):
-        for batch in batches:
-            held, count = [], 0
-            for doc, text in rows_of([batch], "doc_id", "text"):
-                raw = raw_of(text)
-                a, c, lo, own, lim = anchors(np.frombuffer(raw, np.uint8), size, least, gram)
-                if len(a):
-                    held.append((a.view(np.int64), c.view(np.int64), [doc] * len(a), np.full(len(a), tie_of(raw)), lo, own, lim))
-                    count += len(a)
-                if count > 10_000:
-                    yield made(held)
-                    held, count = [], 0
-            if held:
-                yield made(held)
+    def made(docs: list, raws: list[bytes]) -> pa.RecordBatch:
+        text, a, c, lo, own, lim = anchors(raws, size, least, gram)
+        at = pa.array(text, pa.int32())
+        known, ties = pa.array(docs, pa.int64()).take(at), pa.array([tie_of(r) for r in raws], pa.int32()).take(at)
+        columns = [pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), known, ties]
+        return pa.RecordBatch.from_arrays([*columns, *[pa.array(x, pa.int32()) for x in (lo, own, lim)]], names)
 
-    def made(held):
-        columns = [np.concatenate(c) if isinstance(c[0], np.ndarray) else sum(c, []) for c in zip(*held)]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+    def work(batches):
+        docs, raws, heavy = [], [], 0
+        for doc, text in rows_of(batches, "doc_id", "text"):
+            docs.append(doc)
+            raws.append(raw_of(text))
+            heavy += len(raws[-1])
+            if heavy >= TOGETHER:
+                yield made(docs, raws)
+                docs, raws, heavy = [], [], 0
+        if docs:
+            yield made(docs, raws)
 
     return docs.mapInArrow(work, "a long, c long, doc_id long, tie int, lo int, own int, lim int")
 
@@ -153,10 +167,11 @@ def dense(keys: np.ndarray) -> np.ndarray:
 
 
 class Order:
-    """Ranks of the runs of 8, 24, 72 ... up to ``size`` bytes at every place of ``data``, for order and common prefixes.
+    """Ranks of the runs of 8, 24 and 72 bytes at every place of ``data``, for order by ``size`` bytes and common prefixes.
 
     A rank comes from three ranks of a third of the length; from two of half the length where
-    three do not fit into 64 bits.
+    three do not fit into 64 bits.  The longest runs have a sixth of ``size`` (or a quarter), so
+    that two numbers hold the ranks of all ``size`` bytes.
     """
 
     def __init__(self, data: np.ndarray, size: int):
@@ -169,7 +184,7 @@ class Order:
         self.arity = 3 if n < 1 << 21 else 2
         long = min(8, size)
         self.levels = [(long, self._ranked(eight >> np.uint64(64 - 8 * long), room))]
-        while self.arity * long <= size:
+        while 2 * self.arity * long < size:
             ranks = self.levels[-1][1]
             both = self._joined([ranks[k * long : n + k * long] for k in range(self.arity)])
             long *= self.arity
@@ -188,14 +203,15 @@ class Order:
     def order(self, starts: np.ndarray) -> np.ndarray:
         """The places in ``starts`` (ascending) by their first ``size`` bytes, equal ones by position."""
         long, ranks = self.levels[-1]
-        at = [0, self.size - long] if self.arity == 2 else [0, min(long, self.size - long), self.size - long]
-        return np.argsort(self._joined([ranks[starts + k] for k in at]), kind="stable")
+        at = [min(k * long, self.size - long) for k in range(2 * self.arity)]
+        keys = [self._joined([ranks[starts + k] for k in half]) for half in (at[: self.arity], at[self.arity :])]
+        return np.lexsort(keys[::-1])
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix of the suffixes at places ``a`` and ``b``, up to ``size``."""
         long = np.zeros(len(a), np.int64)
-        for size, ranks in reversed(self.levels):
-            for _ in range(self.arity - 1):
+        for k, (size, ranks) in enumerate(reversed(self.levels)):
+            for _ in range(self.arity - 1 if k else self.size // size):
                 long += np.where(ranks[a + long] == ranks[b + long], size, 0)
         same = np.ones(len(a), bool)
         for _ in range(self.levels[0][0]):

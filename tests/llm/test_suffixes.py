@@ -145,12 +145,20 @@ def test_nearest_smaller_places():
 
 
 def test_every_string_has_one_anchor():
-    data = np.frombuffer(words(400, 8).encode(), np.uint8)
-    _, _, first, own, limit = S.anchors(data, 150, 100, 40)
+    data = words(400, 8).encode()
+    _, _, _, first, own, limit = S.anchors([data], 150, 100, 40)
     assert first[0] == 0 and (first[1:] == first[:-1] + own[:-1]).all() and first[-1] + own[-1] == len(data) - 99
     assert (limit == np.minimum(first + own + 149, len(data))).all()
 
 
+def test_texts_worked_on_together_have_their_own_anchors():
+    texts = [words(n, n).encode() for n in (60, 1, 0, 17, 200, 18, 3, 90)] + [b"x" * 100, b"x" * 99, b"x" * 180, b""]
+    together = list(zip(*[c.tolist() for c in S.anchors(texts, 150, 100, 40)]))
+    alone = [(i, *row[1:]) for i, t in enumerate(texts) for row in zip(*[c.tolist() for c in S.anchors([t], 150, 100, 40)])]
+    assert together == alone and len({r[0] for r in alone}) > 5
+    assert all(len(c) == 0 for c in S.anchors([b"a"] * 150, 150, 100, 40)) and all(len(c) == 0 for c in S.anchors([], 150, 100, 40))
+
+
 def test_an_anchor_with_as_many_contexts_as_one_task_takes():
     """Orders and factors of ``HOT`` contexts stay within a task's memory."""
     import tracemalloc
