@@ -46,7 +46,7 @@ from tallyframe.llm.tables import in_batches, read, rows_of, whole_text, written
 from tallyframe.llm.winnowing import mixed, powers, smallest
 
 SIZE, LEAST, GRAM, PASSAGE = 400, 256, 64, 50
-HOT, TASK_BYTES, TOGETHER = 4_000, 500_000, 30_000
+HOT, TASK_BYTES, TOGETHER = 4_000, 100_000, 30_000
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 STEP = np.uint64(0xA0761D6478BD642F)

@@ -9,6 +9,7 @@ import test_packing
 from conftest_llm import collected, edge_texts, texts_of, words
 
 import corpus_pipeline
+from tallyframe import session
 from tallyframe.llm import mixing
 from tallyframe.llm.tables import read, written
 
@@ -79,6 +80,15 @@ def test_run_over_documents(spark):
     assert first and {r[0] for r in first} <= ids
 
 
+def test_run_keeps_the_last_stages_input_only(spark):
+    with session.owned(spark):
+        before = set(session._made)
+        rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+        left = [p for p in session._made if p not in before]
+        assert len(left) == 1 and "stage-mixing" in left[0] and rows.count() > 0
+    assert set(session._made) == before
+
+
 def test_empty_table(spark, no_docs):
     docs = no_docs
     for _, stage in corpus_pipeline.STAGES:
